@@ -62,7 +62,7 @@ def signed_pct_error(actual: Column | str, forecast: Column | str) -> Column:
     return _error(a, f, f - a)
 
 
-def mape_severity(mape: Column | str) -> Column:
+def severity_tier(mape: Column | str) -> Column:
     m = _col(mape)
     return F.when(m >= MAPE_DANGER, "danger").when(m >= MAPE_WARNING, "warning").otherwise("success")
 

@@ -1,0 +1,81 @@
+"""Weekly demand forecasts: four-week mean and ridge regression, backtest and future.
+
+Windows prepare every feature; one grouped pandas call per series fits the two ridge
+regressions and rolls the second forward. A group is one series of weekly rows, so it is
+bounded by the number of weeks; series are spread over the cluster by the group key.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from haulcast.config import EngineConfig
+from haulcast.operators.ridge import OUTPUT, RIDGE, series_forecaster
+from haulcast.operators.series import SERIES
+from haulcast.workspace import dataset
+
+# Fixed value: half-width of the forecast interval in spreads.
+INTERVAL_Z = 1.64
+
+
+@dataset
+def backtest_inputs(backtest_split: DataFrame, config: EngineConfig) -> DataFrame:
+    """Split features with the naive forecast of every row's side of the split.
+
+    The four-week mean is carried forward inside the hold-out, then falls back to the
+    hold-out's own mean (the whole series' mean in the simple recipe).
+    """
+    side = Window.partitionBy(*SERIES, "is_holdout")
+    carried = F.last("roll4", ignorenulls=True).over(
+        side.orderBy("week").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    base = Window.partitionBy(*SERIES) if config.recipe == "simple" else side
+    return backtest_split.withColumn("naive_forecast", F.coalesce(carried, F.avg("y").over(base)))
+
+
+@dataset
+def naive_ma4_backtest(backtest_inputs: DataFrame) -> DataFrame:
+    """Hold-out forecasts of the four-week mean."""
+    return backtest_inputs.filter("is_holdout").select("week", *SERIES, F.col("naive_forecast").alias("forecast_units"))
+
+
+@dataset
+def naive_ma4_future(future_weeks: DataFrame) -> DataFrame:
+    """The mean of the last four weeks, repeated over the horizon."""
+    return future_weeks.select("week", *SERIES, F.col("last4_mean").alias("forecast_units"))
+
+
+def with_interval(raw: DataFrame) -> DataFrame:
+    """Forecast and its bounds, none below zero."""
+    margin = F.col("spread") * INTERVAL_Z
+    levels = {
+        "forecast_units": F.col("prediction"),
+        "lower_ci": F.col("prediction") - margin,
+        "upper_ci": F.col("prediction") + margin,
+    }
+    floored = (F.greatest(F.lit(0.0), level).alias(name) for name, level in levels.items())
+    return raw.select("week", *SERIES, *floored, "model_name", "is_backtest")
+
+
+@dataset
+def demand_forecast_all(backtest_inputs: DataFrame, config: EngineConfig) -> DataFrame:
+    """Every model's backtest and future forecast with its interval."""
+    fit = series_forecaster(config.horizon_weeks, recursive=config.recipe == "full")
+    return with_interval(backtest_inputs.groupBy(*SERIES).applyInPandas(fit, OUTPUT))
+
+
+FORECAST_COLUMNS = ("week", *SERIES, "forecast_units", "lower_ci", "upper_ci")
+
+
+@dataset
+def demand_forecast(demand_forecast_all: DataFrame) -> DataFrame:
+    """The ridge backtest, which accuracy is measured on."""
+    chosen = (F.col("model_name") == RIDGE) & (F.col("is_backtest") == 1.0)
+    return demand_forecast_all.filter(chosen).select(*FORECAST_COLUMNS)
+
+
+@dataset
+def demand_forecast_future(demand_forecast_all: DataFrame) -> DataFrame:
+    """Both models over the coming weeks."""
+    return demand_forecast_all.filter(F.col("is_backtest") == 0.0).select(*FORECAST_COLUMNS, "model_name")
