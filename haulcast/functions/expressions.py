@@ -79,12 +79,17 @@ def without_words(name: Column | str, words: tuple[str, ...]) -> Column:
     return F.upper(out)
 
 
+def shown(value: Column | str, digits: int) -> Column:
+    """Rounded half up. The last bits go first, where sums differ with the order of addition."""
+    return F.round(F.round(_col(value), 10), digits)
+
+
 def percent_text(rate: Column | str) -> Column:
-    return F.concat(F.round(_col(rate) * 100, 1).cast("string"), F.lit("%"))
+    return F.concat(shown(_col(rate) * 100, 1).cast("string"), F.lit("%"))
 
 
 def dollar_text(amount: Column | str) -> Column:
-    return F.call_function("format_number", F.round(_col(amount), 2), F.lit("$#,##0.00"))
+    return F.call_function("format_number", shown(amount, 2), F.lit("$#,##0.00"))
 
 
 def count_text(units: Column | str, pattern: str = "#,##0") -> Column:

@@ -12,6 +12,7 @@ from haulcast.functions.expressions import (
     count_text,
     ratio_floored,
     ratio_or_null,
+    shown,
     steady,
 )
 from haulcast.operators.gold import FREIGHT_SUMS, freight_sums, lane_sums
@@ -113,8 +114,8 @@ def freight_lanes(
         control_tower_weekly.filter(since("week", as_of, config.lookback_days))
         .groupBy("plant_id", "dc_id")
         .agg(
-            F.round(F.avg("freight_cost_per_ton"), 2).alias("freight_cost_per_ton"),
-            F.round(F.avg("co2_kg_per_ton"), 1).alias("co2_kg_per_ton"),
+            shown(F.avg("freight_cost_per_ton"), 2).alias("freight_cost_per_ton"),
+            shown(F.avg("co2_kg_per_ton"), 1).alias("co2_kg_per_ton"),
             F.count(F.lit(1)).alias("weekly_volume"),
         )
     )
@@ -187,13 +188,13 @@ def co2_by_month(kpi_freight_weekly) -> DataFrame:
 def co2_by_mode_13w(kpi_freight_weekly, as_of: Column, *, weeks=13) -> DataFrame:
     """CO2 per ton and tons by transport mode over the trailing weeks, for display."""
     by_mode = freight_sums(kpi_freight_weekly.filter(since("week", as_of, 7 * weeks)), "mode")
-    per_ton = F.round(ratio_or_null("co2_kg", "total_weight_tons"), 3)
-    shown = by_mode.select(
+    per_ton = shown(ratio_or_null("co2_kg", "total_weight_tons"), 3)
+    display = by_mode.select(
         F.col("mode").alias("Mode"),
         per_ton.alias("CO2 kg/ton"),
-        count_text(F.round("total_weight_tons", 1), "#,##0.0").alias("Tons (13w)"),
+        count_text(shown("total_weight_tons", 1), "#,##0.0").alias("Tons (13w)"),
     )
-    return shown.orderBy(F.col("CO2 kg/ton").desc())
+    return display.orderBy(F.col("CO2 kg/ton").desc())
 
 
 @query
@@ -205,8 +206,8 @@ def transport_mode_comparison(silver_tms_shipments, as_of: Column, config: Engin
         freight_sums(recent, F.col("mode").alias("transport_mode"))
         .select(
             "transport_mode",
-            F.round(ratio_or_null("freight_cost_usd", tons), 2).alias("freight_cost_per_ton"),
-            F.round(ratio_or_null("co2_kg", tons), 2).alias("co2_kg_per_ton"),
+            shown(ratio_or_null("freight_cost_usd", tons), 2).alias("freight_cost_per_ton"),
+            shown(ratio_or_null("co2_kg", tons), 2).alias("co2_kg_per_ton"),
             tons.alias("tons_shipped"),
         )
         .orderBy(F.col("tons_shipped").desc())

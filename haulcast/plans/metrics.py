@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulcast.functions.calendar import since
-from haulcast.functions.expressions import dollar_text, percent_text, steady
+from haulcast.functions.expressions import dollar_text, percent_text, shown, steady
 from haulcast.operators.metric_view import CONTROL_TOWER, FORECAST_ACCURACY, LATE_RISK
 from haulcast.workspace import query
 
@@ -23,7 +23,7 @@ def _worst(name: str) -> Column:
 
 
 def _rounded(name: str, digits: int) -> Column:
-    return F.round(f"`{name}`", digits).alias(name)
+    return shown(F.col(f"`{name}`"), digits).alias(name)
 
 
 @query

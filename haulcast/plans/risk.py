@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haulcast.config import EngineConfig
 from haulcast.functions.calendar import week_of
-from haulcast.functions.expressions import steady
+from haulcast.functions.expressions import shown, steady
 from haulcast.operators.late_risk import HIGH_RISK, in_test_window
 from haulcast.plans.ranking import top
 from haulcast.workspace import query
@@ -69,7 +69,7 @@ def late_risk_top_orders(order_late_risk_scored_ml, *, count=25, above=None) ->
     ranked = top(scored, count, steady("late_risk_prob").desc(), *SHOWN)
     return ranked.select(
         *(F.col(c).alias("region") if c == "customer_region" else F.col(c) for c in SHOWN),
-        F.round("late_risk_prob", 3).alias("late_risk_prob"),
+        shown("late_risk_prob", 3).alias("late_risk_prob"),
     )
 
 

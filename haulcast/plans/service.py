@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haulcast.config import EngineConfig
 from haulcast.functions.calendar import since
-from haulcast.functions.expressions import share_true
+from haulcast.functions.expressions import share_true, shown
 from haulcast.workspace import dataset, query
 
 
@@ -33,7 +33,7 @@ def service_performance_kpis(recent_orders) -> DataFrame:
     """Perfect-order, cancellation and backorder rates by line, over all lines."""
     perfect = ~F.col("is_cancelled") & ~F.col("is_backorder") & F.col("is_otif")
     rates = {"perfect_order_rate": perfect, "cancellation_rate": F.col("is_cancelled"), "backorder_rate": F.col("is_backorder")}
-    return recent_orders.agg(*(F.round(share_true(flag), 4).alias(name) for name, flag in rates.items()))
+    return recent_orders.agg(*(shown(share_true(flag), 4).alias(name) for name, flag in rates.items()))
 
 
 @query
@@ -41,7 +41,7 @@ def product_family_mix(recent_orders) -> DataFrame:
     """Units by family and their share of all units, the total coming from the same family sums."""
     families = recent_orders.groupBy("sku_family").agg(F.sum("units_ordered").alias("total_units"))
     total = families.agg(F.sum("total_units")).scalar()
-    percent = F.round(F.try_divide(F.col("total_units") * 100.0, F.col("all_units")), 1)
+    percent = shown(F.try_divide(F.col("total_units") * 100.0, F.col("all_units")), 1)
     return (
         families.withColumn("all_units", total)
         .select("sku_family", "total_units", percent.alias("pct_of_total"))
@@ -57,7 +57,7 @@ def orders_by_channel(recent_orders) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("order_count"),
             F.sum("units_ordered").alias("units_ordered"),
-            F.round(share_true(F.col("is_otif")), 4).alias("otif_rate"),
+            shown(share_true(F.col("is_otif")), 4).alias("otif_rate"),
         )
         .orderBy(F.col("order_count").desc())
     )

@@ -13,6 +13,23 @@ DIGITS = 6
 _HEADER = re.compile(r"^-- :(\w+)[ \t]*(.*)$", re.MULTILINE)
 
 
+def _expand(sql: str) -> str:
+    """``half_up(x, n)``: rounding through decimals, which drops the last bits of x first."""
+    while (start := sql.find("half_up(")) >= 0:
+        depth, comma, end = 0, -1, start + len("half_up")
+        while True:
+            char = sql[end]
+            depth += (char == "(") - (char == ")")
+            if char == "," and depth == 1:
+                comma = end
+            if depth == 0:
+                break
+            end += 1
+        value, digits = sql[start + len("half_up(") : comma], sql[comma + 1 : end].strip()
+        sql = f"{sql[:start]}CAST(round(CAST({value} AS DECIMAL(38, 10)), {digits}) AS DOUBLE){sql[end + 1 :]}"
+    return sql
+
+
 def _blocks(file: str) -> dict[str, tuple[str, list[str]]]:
     parts = _HEADER.split((Path(__file__).parent / file).read_text())[1:]
     triples = zip(parts[::3], parts[1::3], parts[2::3], strict=True)
@@ -38,7 +55,7 @@ def statements() -> dict[str, str]:
         _needed(body, tables, ctes)
         clause = ",\n".join(f"{t} AS (\n{sql}\n)" for t, sql in ctes.items())
         if doubles:
-            replaced = ", ".join(f'round("{c}", {DIGITS}) AS "{c}"' for c in doubles)
+            replaced = ", ".join(f'half_up("{c}", {DIGITS}) AS "{c}"' for c in doubles)
             body = f"SELECT * REPLACE ({replaced}) FROM (\n{body}\n) AS result"
-        out[name] = f"WITH {clause}\n{body}" if clause else body
+        out[name] = _expand(f"WITH {clause}\n{body}" if clause else body)
     return out

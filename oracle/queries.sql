@@ -1,36 +1,36 @@
 -- Results equal to a table of tables.sql.
 
--- :bronze_erp_orders_raw unit_price
+-- :bronze_erp_orders_raw
 SELECT * FROM bronze_erp_orders_raw
 
--- :bronze_tms_shipments_raw route_distance_km, total_weight_tons, freight_cost_usd, co2_kg
+-- :bronze_tms_shipments_raw
 SELECT * FROM bronze_tms_shipments_raw
 
--- :bronze_production_output_raw energy_kwh
+-- :bronze_production_output_raw
 SELECT * FROM bronze_production_output_raw
 
 -- :bronze_inventory_positions_raw
 SELECT * FROM bronze_inventory_positions_raw
 
--- :bronze_external_signals_raw construction_index, precipitation_mm, avg_temp_c
+-- :bronze_external_signals_raw
 SELECT * FROM bronze_external_signals_raw
 
--- :bronze_plant_locations plant_lat, plant_lon
+-- :bronze_plant_locations
 SELECT * FROM bronze_plant_locations
 
--- :bronze_dc_locations dc_lat, dc_lon
+-- :bronze_dc_locations
 SELECT * FROM bronze_dc_locations
 
--- :silver_erp_orders unit_price
+-- :silver_erp_orders
 SELECT * FROM silver_erp_orders
 
--- :silver_tms_shipments route_distance_km, total_weight_tons, freight_cost_usd, co2_kg
+-- :silver_tms_shipments
 SELECT * FROM silver_tms_shipments
 
 -- :silver_inventory_positions
 SELECT * FROM silver_inventory_positions
 
--- :silver_production_output energy_kwh
+-- :silver_production_output
 SELECT * FROM silver_production_output
 
 -- :silver_external_signals construction_index, precipitation_mm, avg_temp_c
@@ -60,7 +60,7 @@ SELECT * FROM lane_weekly
 -- :freight_lanes plant_lat, plant_lon, dc_lat, dc_lon, freight_cost_per_ton, co2_kg_per_ton
 SELECT * FROM freight_lanes
 
--- :sku_dim unit_price
+-- :sku_dim
 SELECT * FROM sku_dim
 
 -- :customer_dim
@@ -105,19 +105,19 @@ SELECT * FROM kpi_mape_sku_weekly
 -- :late_risk_features unit_price, construction_index, precipitation_mm, avg_temp_c, days_to_request, dow, woy, month
 SELECT * FROM late_risk_features
 
--- :silver_plant_locations plant_lat, plant_lon
+-- :silver_plant_locations
 SELECT * FROM bronze_plant_locations
 
--- :silver_dc_locations dc_lat, dc_lon
+-- :silver_dc_locations
 SELECT * FROM bronze_dc_locations
 
--- :late_risk_heuristic days_to_request, late_risk_prob
+-- :late_risk_heuristic
 SELECT * FROM scored_by_rule
 
--- :plant_locations plant_lat, plant_lon
+-- :plant_locations
 SELECT plant_id, plant_name, plant_city, plant_state, plant_region, plant_lat, plant_lon FROM bronze_plant_locations
 
--- :dc_locations dc_lat, dc_lon
+-- :dc_locations
 SELECT dc_id, dc_name, dc_city, dc_state, dc_region, dc_lat, dc_lon FROM bronze_dc_locations
 
 -- :facility_labels
@@ -148,7 +148,7 @@ SELECT order_id, sku_id, channel, order_date,
        order_date + CASE channel WHEN 'DOT' THEN 10 WHEN 'contractor' THEN 6 WHEN 'ag' THEN 7 ELSE 5 END AS promised_date
 FROM bronze_erp_orders_raw
 
--- :shipment_costing route_distance_km, total_weight_tons, freight_cost_usd, co2_kg, other_freight_cost_usd, other_co2_kg
+-- :shipment_costing
 SELECT shipment_id, truck_id, route_distance_km, total_weight_tons, mode,
        CASE mode WHEN 'carrier' THEN 'own_fleet' ELSE 'carrier' END AS other_mode, freight_cost_usd, co2_kg,
        (180.0 + route_distance_km * CAST(1.1 AS DOUBLE) + total_weight_tons * CAST(42.0 AS DOUBLE))
@@ -159,7 +159,7 @@ FROM bronze_tms_shipments_raw
 -- :order_enrichment list_price, season_annual, weekday_factor, construction_index, precipitation_mm, avg_temp_c
 SELECT o.order_id, o.order_date, o.customer_id, o.sku_id, o.units_ordered, c.customer_region AS home_region,
        c.channel AS home_channel, s.sku_family AS rule_family, s.unit_price AS list_price, d.primary_dc_id,
-       len(p.plants) AS plants_nearby, f.season_annual, f.weekday_factor, e.construction_index, e.precipitation_mm, e.avg_temp_c
+       CAST(len(p.plants) AS INTEGER) AS plants_nearby, f.season_annual, f.weekday_factor, e.construction_index, e.precipitation_mm, e.avg_temp_c
 FROM bronze_erp_orders_raw o
 LEFT JOIN customer_dim c ON c.customer_id = o.customer_id
 LEFT JOIN sku_dim s ON s.sku_id = o.sku_id
@@ -184,7 +184,7 @@ SELECT 'nonnegative_shipped' AS rule, count(*) FILTER (WHERE units_shipped >= 0)
        count(*) FILTER (WHERE units_shipped < 0 OR units_shipped IS NULL) AS dropped
 FROM bronze_erp_orders_raw
 
--- :ensure_numeric o_totalprice, priority
+-- :ensure_numeric
 SELECT o_orderkey, TRY_CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE) AS o_totalprice,
        TRY_CAST(o_orderpriority AS DOUBLE) AS priority FROM orders
 
@@ -265,19 +265,19 @@ FROM freight_lanes
 
 -- :top_lanes_by_cost total_cost, total_tons
 SELECT plant_id, dc_id, sum(freight_cost_usd) AS total_cost, sum(total_weight_tons) AS total_tons
-FROM kpi_freight_weekly GROUP BY 1, 2 ORDER BY round(sum(freight_cost_usd), 4) DESC, plant_id, dc_id LIMIT 10
+FROM kpi_freight_weekly GROUP BY 1, 2 ORDER BY half_up(sum(freight_cost_usd), 4) DESC, plant_id, dc_id LIMIT 10
 
 -- :co2_by_month total_co2_kg
 SELECT CAST(date_trunc('month', week) AS DATE) AS month, sum(co2_kg) AS total_co2_kg FROM kpi_freight_weekly GROUP BY 1
 
 -- :co2_by_mode_13w CO2 kg/ton
-SELECT mode AS "Mode", round(sum(co2_kg) / nullif(sum(total_weight_tons), 0), 3) AS "CO2 kg/ton",
-       format('{:,.1f}', round(sum(total_weight_tons), 1)) AS "Tons (13w)"
+SELECT mode AS "Mode", half_up(sum(co2_kg) / nullif(sum(total_weight_tons), 0), 3) AS "CO2 kg/ton",
+       format('{:,.1f}', half_up(sum(total_weight_tons), 1)) AS "Tons (13w)"
 FROM kpi_freight_weekly WHERE week >= (SELECT d - 91 FROM as_of) GROUP BY 1
 
 -- :transport_mode_comparison freight_cost_per_ton, co2_kg_per_ton, tons_shipped
-SELECT mode AS transport_mode, round(sum(freight_cost_usd) / nullif(sum(total_weight_tons), 0), 2) AS freight_cost_per_ton,
-       round(sum(co2_kg) / nullif(sum(total_weight_tons), 0), 2) AS co2_kg_per_ton, sum(total_weight_tons) AS tons_shipped
+SELECT mode AS transport_mode, half_up(sum(freight_cost_usd) / nullif(sum(total_weight_tons), 0), 2) AS freight_cost_per_ton,
+       half_up(sum(co2_kg) / nullif(sum(total_weight_tons), 0), 2) AS co2_kg_per_ton, sum(total_weight_tons) AS tons_shipped
 FROM silver_tms_shipments WHERE ship_date >= (SELECT d - 91 FROM as_of) GROUP BY 1
 
 -- :co2_weekly_region_mode co2_kg, total_weight_tons, co2_kg_per_ton
@@ -300,18 +300,18 @@ SELECT count(*) AS total_orders, count(DISTINCT customer_id) AS unique_customers
        CAST(sum(units_ordered) AS BIGINT) AS total_units_ordered FROM recent_orders
 
 -- :service_performance_kpis perfect_order_rate, cancellation_rate, backorder_rate
-SELECT round(avg(CASE WHEN is_otif AND NOT is_cancelled AND NOT is_backorder THEN 1 ELSE 0 END), 4) AS perfect_order_rate,
-       round(avg(CASE WHEN is_cancelled THEN 1 ELSE 0 END), 4) AS cancellation_rate,
-       round(avg(CASE WHEN is_backorder THEN 1 ELSE 0 END), 4) AS backorder_rate FROM recent_orders
+SELECT half_up(avg(CASE WHEN is_otif AND NOT is_cancelled AND NOT is_backorder THEN 1 ELSE 0 END), 4) AS perfect_order_rate,
+       half_up(avg(CASE WHEN is_cancelled THEN 1 ELSE 0 END), 4) AS cancellation_rate,
+       half_up(avg(CASE WHEN is_backorder THEN 1 ELSE 0 END), 4) AS backorder_rate FROM recent_orders
 
 -- :product_family_mix pct_of_total
 SELECT sku_family, CAST(units AS BIGINT) AS total_units,
-       round(CAST(units * 100.0 AS DOUBLE) / (SELECT sum(units_ordered) FROM recent_orders), 1) AS pct_of_total
+       half_up(CAST(units * 100.0 AS DOUBLE) / (SELECT sum(units_ordered) FROM recent_orders), 1) AS pct_of_total
 FROM (SELECT sku_family, sum(units_ordered) AS units FROM recent_orders GROUP BY 1)
 
 -- :orders_by_channel otif_rate
 SELECT channel AS sales_channel, count(*) AS order_count, CAST(sum(units_ordered) AS BIGINT) AS units_ordered,
-       round(avg(CASE WHEN is_otif THEN 1 ELSE 0 END), 4) AS otif_rate FROM recent_orders GROUP BY 1
+       half_up(avg(CASE WHEN is_otif THEN 1 ELSE 0 END), 4) AS otif_rate FROM recent_orders GROUP BY 1
 
 -- :planner_actual_slice
 SELECT week, actual_units, shipped_units FROM weekly_demand_actual WHERE region = 'ASIA' AND sku_family = 'pipe'
@@ -344,31 +344,31 @@ SELECT CASE WHEN order_date >= (SELECT d - 90 FROM as_of) THEN 'test' ELSE 'trai
 FROM late_risk_features GROUP BY 1
 
 -- :mv_exec_13w CO2 kg/ton, Energy kWh/unit
-SELECT week, round(avg(otif_rate) * 100, 1) || '%' AS "OTIF",
-       format('${:,.2f}', round(avg(freight_cost_per_ton), 2)) AS "Freight $/ton",
-       round(avg(premium_freight_pct) * 100, 1) || '%' AS "Premium Freight",
-       round(avg(co2_kg_per_ton), 3) AS "CO2 kg/ton", round(avg(energy_kwh_per_unit), 3) AS "Energy kWh/unit"
+SELECT week, half_up(avg(otif_rate) * 100, 1) || '%' AS "OTIF",
+       format('${:,.2f}', half_up(avg(freight_cost_per_ton), 2)) AS "Freight $/ton",
+       half_up(avg(premium_freight_pct) * 100, 1) || '%' AS "Premium Freight",
+       half_up(avg(co2_kg_per_ton), 3) AS "CO2 kg/ton", half_up(avg(energy_kwh_per_unit), 3) AS "Energy kWh/unit"
 FROM control_tower_13w GROUP BY 1
 
 -- :mv_otif_region_13w
-SELECT week, region, round(avg(otif_rate) * 100, 1) || '%' AS "OTIF" FROM control_tower_13w GROUP BY 1, 2
+SELECT week, region, half_up(avg(otif_rate) * 100, 1) || '%' AS "OTIF" FROM control_tower_13w GROUP BY 1, 2
 
 -- :mv_worst_dcs
-SELECT dc_id AS "DC", round(avg(otif_rate) * 100, 1) || '%' AS "OTIF (13w)"
+SELECT dc_id AS "DC", half_up(avg(otif_rate) * 100, 1) || '%' AS "OTIF (13w)"
 FROM control_tower_13w GROUP BY 1 ORDER BY round(avg(otif_rate), 9) NULLS FIRST, 1 LIMIT 10
 
 -- :mv_premium_lanes
-SELECT plant_id AS "Plant", dc_id AS "DC", round(avg(premium_freight_pct) * 100, 1) || '%' AS "Premium Freight (13w)"
+SELECT plant_id AS "Plant", dc_id AS "DC", half_up(avg(premium_freight_pct) * 100, 1) || '%' AS "Premium Freight (13w)"
 FROM control_tower_13w GROUP BY 1, 2 ORDER BY round(avg(premium_freight_pct), 9) DESC, 1, 2 LIMIT 10
 
 -- :mv_freight_lanes CO2 kg/ton
-SELECT plant_id AS "Plant", dc_id AS "DC", format('${:,.2f}', round(avg(freight_cost_per_ton), 2)) AS "Freight $/ton",
-       round(avg(premium_freight_pct) * 100, 1) || '%' AS "Premium Freight %", round(avg(co2_kg_per_ton), 3) AS "CO2 kg/ton"
+SELECT plant_id AS "Plant", dc_id AS "DC", format('${:,.2f}', half_up(avg(freight_cost_per_ton), 2)) AS "Freight $/ton",
+       half_up(avg(premium_freight_pct) * 100, 1) || '%' AS "Premium Freight %", half_up(avg(co2_kg_per_ton), 3) AS "CO2 kg/ton"
 FROM control_tower_13w GROUP BY 1, 2 ORDER BY round(avg(freight_cost_per_ton), 9) DESC, 1, 2 LIMIT 10
 
 -- :top_5_freight_lanes CO2 kg/ton
-SELECT plant_id AS "Plant", dc_id AS "DC", format('${:,.2f}', round(avg(freight_cost_per_ton), 2)) AS "Freight $/ton",
-       round(avg(premium_freight_pct) * 100, 1) || '%' AS "Premium Freight %", round(avg(co2_kg_per_ton), 3) AS "CO2 kg/ton"
+SELECT plant_id AS "Plant", dc_id AS "DC", format('${:,.2f}', half_up(avg(freight_cost_per_ton), 2)) AS "Freight $/ton",
+       half_up(avg(premium_freight_pct) * 100, 1) || '%' AS "Premium Freight %", half_up(avg(co2_kg_per_ton), 3) AS "CO2 kg/ton"
 FROM control_tower_13w GROUP BY 1, 2 ORDER BY round(avg(freight_cost_per_ton), 9) DESC, 1, 2 LIMIT 5
 
 -- :mv_otif_now otif_rate
@@ -452,7 +452,7 @@ SELECT week, sku_family, region, actual_units, forecast_units, ape FROM naive_er
 SELECT * FROM series_mape_naive ORDER BY round(avg_mape, 9) DESC, sku_family, region LIMIT 50
 
 -- :mape_family_summary_naive avg_mape
-SELECT sku_family, avg_mape, round(avg_mape * 100, 1) || '%' AS avg_mape_pct FROM family_mape_naive
+SELECT sku_family, avg_mape, half_up(avg_mape * 100, 1) || '%' AS avg_mape_pct FROM family_mape_naive
 
 -- :mape_severity_naive avg_mape
 SELECT sku_family, avg_mape, CASE WHEN avg_mape >= 0.25 THEN 'danger' WHEN avg_mape >= 0.15 THEN 'warning' ELSE 'success' END AS severity
@@ -471,7 +471,7 @@ SELECT avg(avg_mape) AS baseline_mape,
 FROM series_mape_naive
 
 -- :mv_mape_worst_naive
-SELECT sku_family AS "Family", region AS "Region", round(avg(mape) * 100, 1) || '%' AS "MAPE (13w)"
+SELECT sku_family AS "Family", region AS "Region", half_up(avg(mape) * 100, 1) || '%' AS "MAPE (13w)"
 FROM kpi_mape_weekly_naive WHERE week >= (SELECT d - 91 FROM as_of)
 GROUP BY 1, 2 ORDER BY round(avg(mape), 9) DESC, 1, 2 LIMIT 10
 
@@ -486,7 +486,7 @@ ORDER BY order_date DESC, order_id, customer_region, channel, dc_id, plant_id, s
          late_risk_prob, late_risk_flag, actual_late LIMIT 5000
 
 -- :late_risk_top_orders_heuristic late_risk_prob
-SELECT order_id, order_date, customer_region AS region, plant_id, dc_id, sku_family, round(late_risk_prob, 3) AS late_risk_prob
+SELECT order_id, order_date, customer_region AS region, plant_id, dc_id, sku_family, half_up(late_risk_prob, 3) AS late_risk_prob
 FROM scored_by_rule WHERE late_risk_prob > CAST(0.25 AS DOUBLE)
 ORDER BY round(scored_by_rule.late_risk_prob, 9) DESC, order_id, order_date, customer_region, plant_id, dc_id, sku_family LIMIT 25
 

@@ -13,7 +13,7 @@ FROM places
 
 -- :bronze_dc_locations
 SELECT 'DC' || lpad(CAST(k + 1 AS VARCHAR), 2, '0') AS dc_id, 'ADS ' || n_name || ' Distribution' AS dc_name,
-       n_name AS dc_city, 'ST' AS dc_state, CAST(31.0 + k * 0.9 AS DOUBLE) AS dc_lat,
+       n_name AS dc_city, 'ST' AS dc_state, 31.0 + k * CAST(0.9 AS DOUBLE) AS dc_lat,
        CAST(-118.0 + k * 3.5 AS DOUBLE) AS dc_lon, r_name AS dc_region
 FROM places
 
@@ -180,7 +180,7 @@ FROM lane_totals t LEFT JOIN kpi_premium_freight_weekly p USING (week, dc_id, pl
 
 -- :freight_lanes
 SELECT l.plant_id, plant_name, plant_lat, plant_lon, l.dc_id, dc_name, dc_lat, dc_lon,
-       round(cost, 2) AS freight_cost_per_ton, round(co2, 1) AS co2_kg_per_ton, weekly_volume
+       half_up(cost, 2) AS freight_cost_per_ton, half_up(co2, 1) AS co2_kg_per_ton, weekly_volume
 FROM (SELECT plant_id, dc_id, avg(freight_cost_per_ton) AS cost, avg(co2_kg_per_ton) AS co2, count(*) AS weekly_volume
       FROM control_tower_13w GROUP BY 1, 2) l
 JOIN bronze_plant_locations p ON p.plant_id = l.plant_id
@@ -192,7 +192,7 @@ SELECT * FROM silver_erp_orders WHERE order_date >= (SELECT d - 91 FROM as_of)
 -- :sku_dim
 SELECT printf('SKU%05d', p_partkey) AS sku_id,
        CASE WHEN p_partkey % 10 < 6 THEN 'pipe' WHEN p_partkey % 10 < 8 THEN 'chambers' ELSE 'structures' END AS sku_family,
-       CAST(CASE WHEN p_partkey % 10 < 6 THEN 75.0 + (p_partkey % 50) * 1.2
+       CAST(CASE WHEN p_partkey % 10 < 6 THEN 75.0 + (p_partkey % 50) * CAST(1.2 AS DOUBLE)
                  WHEN p_partkey % 10 < 8 THEN 240.0 + (p_partkey % 40) * 2.5
                  ELSE 520.0 + (p_partkey % 30) * 4.0 END AS DOUBLE) AS unit_price
 FROM part

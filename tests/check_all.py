@@ -9,7 +9,7 @@ from pathlib import Path
 sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parent.parent)]
 
 import __spark_entry__ as entry  # noqa: E402
-from compare import connect, differences  # noqa: E402
+from compare import connect, differences, type_differences  # noqa: E402
 from haulcast.session import local_session  # noqa: E402
 
 
@@ -25,6 +25,7 @@ def main(source_dir: str, *only: str) -> int:
             frame = build(spark, source_dir)
             if name in statements:
                 wrong, kind = differences(frame, con, statements[name]), "oracle"
+                wrong = wrong or type_differences(frame, con, statements[name])
             else:
                 wrong, kind = ([] if (n := frame.count()) else ["no rows"]), f"rows={n}"
         except Exception as error:  # noqa: BLE001

@@ -37,6 +37,26 @@ def _table(columns, rows) -> list[tuple]:
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+# DuckDB types a Spark type may come back as.
+_TYPES = {
+    "int": {"INTEGER"},
+    "bigint": {"BIGINT"},
+    "double": {"DOUBLE"},
+    "string": {"VARCHAR"},
+    "date": {"DATE"},
+    "boolean": {"BOOLEAN"},
+}
+
+
+def type_differences(frame, con, sql: str) -> list[str]:
+    described = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [
+        f"type of {name}: {kind} != {described.get(name)}"
+        for name, kind in frame.dtypes
+        if described.get(name) not in _TYPES.get(kind, {kind.upper()})
+    ]
+
+
 def differences(frame, con, sql: str) -> list[str]:
     """Empty when columns, row counts and all values agree."""
     cursor = con.execute(sql)
