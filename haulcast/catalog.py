@@ -139,6 +139,20 @@ def rounded(frame: DataFrame, digits: int = DIGITS) -> DataFrame:
     )
 
 
+# Weekly Gold tables, forecasts and scores: small next to the orders they sum up, and each read by
+# many queries. They are written to the shared folder once and read from there.
+PUBLISHED = (
+    "silver_external_signals",
+    "weekly_demand_actual",
+    "kpi_otif_weekly",
+    "kpi_freight_weekly",
+    "kpi_energy_intensity_weekly",
+    "control_tower_weekly",
+    "demand_forecast_all",
+    "kpi_mape_sku_weekly",
+    "order_late_risk_scored_ml",
+)
+
 _workspaces: dict[tuple[str, str], Workspace] = {}
 
 
@@ -146,7 +160,7 @@ def workspace(spark: SparkSession, source_dir: str) -> Workspace:
     """One workspace per application and source, so a model is fitted once for all its queries."""
     key = (spark.sparkContext.applicationId, source_dir)
     if key not in _workspaces:
-        _workspaces[key] = Workspace(spark, source_dir)
+        _workspaces[key] = Workspace(spark, source_dir, published=PUBLISHED)
     return _workspaces[key]
 
 

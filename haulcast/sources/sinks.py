@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 from functools import reduce
 
@@ -12,10 +13,14 @@ from pyspark.sql import types as T
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint directory."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return f"{configured.rstrip('/')}/{spark.sparkContext.applicationId}"
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")  # one machine: tests and the benchmark
+        context.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{context.applicationId}"
 
 
 def overwrite_path(frame: DataFrame, path: str) -> DataFrame:

@@ -9,8 +9,11 @@ reads the same upstream twice shares it (Spark then reuses the exchange).
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable, Mapping
+import uuid
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass, replace
+from datetime import date
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +66,12 @@ def _load_definitions() -> None:
     import haulcast.sources  # noqa: F401
 
 
+def _reads(name: str, targets: set[str]) -> bool:
+    """Whether a dataset reads any of the targets, directly or through others."""
+    node = DATASETS.get(name)
+    return node is not None and any(i in targets or _reads(i, targets) for i in node.inputs)
+
+
 class Workspace:
     """Resolves datasets and queries for one source and one configuration."""
 
@@ -72,13 +81,16 @@ class Workspace:
         source_dir: str | None = None,
         config: EngineConfig | None = None,
         tables: Mapping[str, DataFrame] | None = None,
+        published: Collection[str] = (),
     ):
+        """``published`` names datasets that are written to the shared folder when first read."""
         _load_definitions()
         self.spark = spark
         self.source_dir = source_dir
         self.config = config or EngineConfig()
         self._fixed: dict[str, DataFrame] = dict(tables or {})  # passed in or written out
         self._derived: dict[str, DataFrame] = {}
+        self._published = frozenset(published)
         self._pending: list[str] = []
 
     @classmethod
@@ -92,9 +104,21 @@ class Workspace:
         if name in self._fixed:
             return self._fixed[name]
         if name not in self._derived:
-            self._derived[name] = self._resolve(name)
+            frame = self._resolve(name)
+            self._derived[name] = self._written(name, frame) if name in self._published else frame
         return self._derived[name]
 
+    def _written(self, name: str, frame: DataFrame) -> DataFrame:
+        from haulcast.sources import sinks
+
+        return sinks.overwrite_path(frame, f"{self._folder}/{name}")
+
+    @cached_property
+    def _folder(self) -> str:
+        from haulcast.sources import sinks
+
+        return f"{sinks.shared_folder(self.spark)}/{uuid.uuid4().hex}"
+
     def _resolve(self, name: str) -> DataFrame:
         if name in SOURCE_TABLES and self.source_dir is not None:
             return self.spark.read.parquet(f"{self.source_dir}/{name}.parquet")
@@ -123,10 +147,19 @@ class Workspace:
 
     @property
     def as_of(self) -> Column:
-        """Today: the configured date, else a one-row scalar subquery over the source."""
-        if self.config.as_of is not None:
-            return F.lit(self.config.as_of)
-        return self["newest_order_date"].scalar()
+        """Today, as a literal.
+
+        A literal lets Spark carry a trailing-window filter across joins to every table with the
+        same week or date, which it does not do for a subquery.
+        """
+        return F.lit(self.config.as_of or self._newest)
+
+    @cached_property
+    def _newest(self) -> date:
+        """The newest order date of the source: one column scanned, one value returned."""
+        if self.source_dir is not None or "newest_order_date" in self._fixed:
+            return self["newest_order_date"].first()[0]
+        return self["silver_erp_orders"].agg(F.max("order_date")).first()[0]
 
     def run(self, name: str, **options) -> DataFrame:
         """The lazy result of a registered query (or of a dataset, by its name)."""
@@ -138,11 +171,19 @@ class Workspace:
 
     def with_tables(self, **tables: DataFrame) -> Workspace:
         """A workspace where the given datasets replace the derived ones, downstream included."""
-        return Workspace(self.spark, self.source_dir, self.config, {**self._fixed, **tables})
+        return self._branch(self.config, {**self._fixed, **tables}, set(tables))
 
     def with_config(self, **changes) -> Workspace:
         """The same source under a changed configuration."""
-        return Workspace(self.spark, self.source_dir, replace(self.config, **changes), self._fixed)
+        return self._branch(replace(self.config, **changes), self._fixed, {"config", "as_of"})
+
+    def _branch(self, config: EngineConfig, tables: Mapping, changed: set[str]) -> Workspace:
+        """A workspace that keeps every dataset the change does not reach."""
+        other = Workspace(self.spark, self.source_dir, config, tables, self._published)
+        other._derived = {n: f for n, f in self._derived.items() if n not in changed and not _reads(n, changed)}
+        if "_newest" in self.__dict__:
+            other._newest = self._newest
+        return other
 
     def materialize(self, *names: str, schema: str | None = None, path: str | None = None) -> Workspace:
         """Write datasets as tables of ``schema`` or Parquet under ``path`` and read them from there on.
