@@ -1,55 +1,44 @@
-"""Declared column types of the Bronze inputs and the fixed-schema outputs."""
-
-from pyspark.sql import types as T
-
-
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
+"""Declared column types (DDL) of the Bronze inputs and the fixed-schema outputs."""
 
 BRONZE = {
-    "bronze_erp_orders_raw": _schema(
+    "bronze_erp_orders_raw": (
         "order_id string, order_date date, requested_delivery_date date, actual_ship_date date, "
         "actual_delivery_date date, customer_id string, customer_region string, channel string, "
         "plant_id string, dc_id string, sku_id string, sku_family string, units_ordered int, "
         "units_shipped int, unit_price double, order_status string"
     ),
-    "bronze_tms_shipments_raw": _schema(
+    "bronze_tms_shipments_raw": (
         "shipment_id string, order_id string, plant_id string, dc_id string, truck_id string, "
         "route_distance_km double, mode string, ship_date date, delivery_date date, "
         "total_weight_tons double, freight_cost_usd double, co2_kg double"
     ),
-    "bronze_production_output_raw": _schema(
-        "date date, plant_id string, sku_family string, units_produced int, energy_kwh double"
-    ),
-    "bronze_inventory_positions_raw": _schema(
+    "bronze_production_output_raw": "date date, plant_id string, sku_family string, units_produced int, energy_kwh double",
+    "bronze_inventory_positions_raw": (
         "snapshot_date date, plant_id string, dc_id string, sku_id string, on_hand_units int, "
         "on_order_units int, safety_stock_units int, days_of_supply int"
     ),
-    "bronze_external_signals_raw": _schema(
-        "date date, region string, construction_index double, precipitation_mm double, avg_temp_c double"
-    ),
-    "bronze_plant_locations": _schema(
+    "bronze_external_signals_raw": "date date, region string, construction_index double, precipitation_mm double, avg_temp_c double",
+    "bronze_plant_locations": (
         "plant_id string, plant_name string, plant_city string, plant_state string, "
         "plant_lat double, plant_lon double, plant_region string"
     ),
-    "bronze_dc_locations": _schema(
+    "bronze_dc_locations": (
         "dc_id string, dc_name string, dc_city string, dc_state string, "
         "dc_lat double, dc_lon double, dc_region string"
     ),
 }
 
-FORECAST_ALL = _schema(
+FORECAST_ALL = (
     "week date not null, sku_family string not null, region string not null, forecast_units double not null, "
     "lower_ci double not null, upper_ci double not null, model_name string not null, is_backtest double not null"
 )
 
 # The forecast table as a typed placeholder before the first forecast run.
-FORECAST = _schema(
+FORECAST = (
     "week date, sku_family string, region string, forecast_units double, lower_ci double, upper_ci double"
 )
 
-SCORED_ORDERS = _schema(
+SCORED_ORDERS = (
     "order_id string, order_date date, customer_region string, channel string, dc_id string, plant_id string, "
     "sku_family string, units_ordered int, days_to_request double, late_risk_prob double, "
     "late_risk_flag int, actual_late int"

@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,7 +54,7 @@ def drop_relation(spark: SparkSession, name: str) -> None:
         spark.sql(f"DROP {kind} IF EXISTS {name}")
 
 
-def table_or_placeholder(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
+def table_or_placeholder(spark: SparkSession, name: str, schema: str) -> DataFrame:
     """The table if it exists, else an empty frame of its schema, so readers can plan."""
     if spark.catalog.tableExists(name):
         return spark.table(name)

@@ -1,0 +1,3 @@
+"""Silver on a stream."""
+
+from haulcast.streaming.silver import start_silver  # noqa: F401
