@@ -147,11 +147,7 @@ class Workspace:
 
     @property
     def as_of(self) -> Column:
-        """Today, as a literal.
-
-        A literal lets Spark carry a trailing-window filter across joins to every table with the
-        same week or date, which it does not do for a subquery.
-        """
+        """Today, as a literal, so that trailing-window filters reach the Parquet reader."""
         return F.lit(self.config.as_of or self._newest)
 
     @cached_property
