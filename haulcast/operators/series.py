@@ -103,17 +103,12 @@ def future_weeks(series_last_state: DataFrame, config: EngineConfig) -> DataFram
 def dense_week_grid(weekly_demand_actual: DataFrame) -> DataFrame:
     """Demand for every series and every week of the history; missing weeks count zero.
 
-    Each series expands its own week list, so there is no cross join; the bounds are two
-    scalars and the rows per series stay within the number of weeks.
+    Each series expands the same list of weeks, one scalar, so there is no cross join and the
+    rows per series stay within the number of weeks.
     """
-    first = weekly_demand_actual.agg(F.min("week")).scalar()
-    last = weekly_demand_actual.agg(F.max("week")).scalar()
-    grid = (
-        weekly_demand_actual.select(*SERIES)
-        .distinct()
-        .select(*SERIES, first.alias("first"), last.alias("last"))
-        .select(*SERIES, F.explode(F.sequence("first", "last", F.expr("interval 7 days"))).alias("week"))
-    )
+    weeks = F.sequence(F.min("week"), F.max("week"), F.expr("interval 7 days"))
+    history = weekly_demand_actual.agg(weeks).scalar()
+    grid = weekly_demand_actual.select(*SERIES).distinct().select(*SERIES, F.explode(history).alias("week"))
     return grid.join(weekly_demand_actual, ["week", *SERIES], "left").na.fill(
         0, ["actual_units", "shipped_units", "order_lines"]
     )

@@ -141,16 +141,16 @@ def costliest_lanes(freight_lanes, *, count=10, label_width=10) -> DataFrame:
 @query
 def lane_cost_scaled(freight_lanes) -> DataFrame:
     """Lane cost scaled to the range of all lanes, and a capped line width by volume."""
-    low = freight_lanes.agg(F.min("freight_cost_per_ton")).scalar()
-    high = freight_lanes.agg(F.max("freight_cost_per_ton")).scalar()
-    bounded = freight_lanes.withColumns({"low": low, "high": high})
+    cost = F.col("freight_cost_per_ton")
+    span = freight_lanes.agg(F.struct(F.min(cost).alias("low"), F.max(cost).alias("high"))).scalar()
+    bounded = freight_lanes.withColumn("span", span).select("*", "span.low", "span.high")
     span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
     width = F.least(LINE_BASE + F.col("weekly_volume") / LINE_VOLUME, F.lit(LINE_CAP))
     return bounded.select(
         "plant_id",
         "dc_id",
         "freight_cost_per_ton",
-        ((F.col("freight_cost_per_ton") - F.col("low")) / span).alias("cost_scaled"),
+        ((cost - F.col("low")) / span).alias("cost_scaled"),
         width.alias("line_width"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcast.config import EngineConfig
@@ -38,15 +38,14 @@ def service_performance_kpis(recent_orders) -> DataFrame:
 
 @query
 def product_family_mix(recent_orders) -> DataFrame:
-    """Units by family and their share of all units, the total coming from the same family sums."""
+    """Units by family and their share of all units.
+
+    The window without a partition runs over the family sums, one row per product family.
+    """
     families = recent_orders.groupBy("sku_family").agg(F.sum("units_ordered").alias("total_units"))
-    total = families.agg(F.sum("total_units")).scalar()
-    percent = shown(F.try_divide(F.col("total_units") * 100.0, F.col("all_units")), 1)
-    return (
-        families.withColumn("all_units", total)
-        .select("sku_family", "total_units", percent.alias("pct_of_total"))
-        .orderBy(F.col("total_units").desc())
-    )
+    everything = F.sum("total_units").over(Window.partitionBy())
+    percent = shown(F.try_divide(F.col("total_units") * 100.0, everything), 1)
+    return families.withColumn("pct_of_total", percent).orderBy(F.col("total_units").desc())
 
 
 @query
