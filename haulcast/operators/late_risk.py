@@ -25,6 +25,9 @@ HIGH_RISK = 0.5
 INVERSE_PENALTY = 1.0
 MAX_ITERATIONS = 200
 
+# Rows worth a task of their own: each of the many passes of the optimiser costs a task launch.
+ROWS_PER_TASK = 25_000
+
 # Fixed values of the rule-based score: base, three surcharges, bounds.
 RULE_BASE = 0.10
 RULE_SHORT_NOTICE_DAYS, RULE_SHORT_NOTICE = 5, 0.18
@@ -117,7 +120,7 @@ def train(features: DataFrame) -> PipelineModel:
         count = rows.count()
         if count == 0:
             raise ValueError("no labelled orders in the training window")
-        return _pipeline(count).fit(rows)
+        return _pipeline(count).fit(rows.coalesce(max(1, count // ROWS_PER_TASK)))
     finally:
         rows.unpersist()
 
