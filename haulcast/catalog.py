@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from haulcast.functions.expressions import shown
 from haulcast.operators.ridge import NAIVE
+from haulcast.session import size_shuffles
 from haulcast.workspace import Workspace
 
 DIGITS = 6
@@ -66,6 +67,8 @@ OPTIONS = {
     "mape_by_sku_family": ("mape_by_sku", {"sku_family": "pipe"}),
     "top_5_freight_lanes": ("mv_freight_lanes", {"count": 5}),
     "top_3_lanes": ("costliest_lanes", {"count": 3, "label_width": 40}),
+    "ridge_backtest": ("demand_forecast", {}),
+    "order_late_risk_scored": ("order_late_risk_scored_ml", {}),
 }
 NAIVE_OPTIONS = {"planner_kpis": {"model": NAIVE}, "demand_outlook": {"model": NAIVE}}
 # The rule-based score rarely reaches one half, so its lists use a lower threshold.
@@ -160,7 +163,8 @@ def workspace(spark: SparkSession, source_dir: str) -> Workspace:
     """One workspace per application and source, so a model is fitted once for all its queries."""
     key = (spark.sparkContext.applicationId, source_dir)
     if key not in _workspaces:
-        _workspaces[key] = Workspace(spark, source_dir, published=PUBLISHED)
+        ws = _workspaces[key] = Workspace(spark, source_dir, published=PUBLISHED)
+        size_shuffles(spark, ws["lineitem"], ws["orders"])
     return _workspaces[key]
 
 

@@ -71,6 +71,11 @@ def kpi_mape_sku_weekly(silver_erp_orders: DataFrame, sku_names: DataFrame) -> D
     )
 
 
+def with_backtest(actual: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Every actual with the backtest forecast of its week, where there is one."""
+    return actual.select(*KEYS, "actual_units").join(forecast.select(*KEYS, "forecast_units"), KEYS, "left")
+
+
 @dataset
 def demand_vs_forecast_weekly(
     weekly_demand_actual: DataFrame, demand_forecast: DataFrame, demand_forecast_future: DataFrame
@@ -80,8 +85,4 @@ def demand_vs_forecast_weekly(
     Coming weeks have no actual and so no row; ``demand_outlook`` includes them.
     """
     future = demand_forecast_future.select(*KEYS, F.col("forecast_units").alias("forecast_units_future"))
-    return (
-        weekly_demand_actual.select(*KEYS, "actual_units")
-        .join(demand_forecast.select(*KEYS, "forecast_units"), KEYS, "left")
-        .join(future, KEYS, "left")
-    )
+    return with_backtest(weekly_demand_actual, demand_forecast).join(future, KEYS, "left")

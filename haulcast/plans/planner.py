@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haulcast.functions.calendar import week_of
 from haulcast.functions.expressions import UNITS_FLOOR, count_text, ratio_floored, signed_pct_error, steady
-from haulcast.operators.accuracy import KEYS, demand_vs_forecast_weekly
+from haulcast.operators.accuracy import KEYS, with_backtest
 from haulcast.operators.ridge import RIDGE
 from haulcast.operators.rules import not_cancelled
 from haulcast.operators.series import SERIES
@@ -98,19 +98,15 @@ def top_mape_problems(kpi_mape_weekly, *, count=10) -> DataFrame:
 @query
 def demand_vs_forecast_recent(weekly_demand_actual, demand_forecast, *, count=4000) -> DataFrame:
     """Newest actuals with their backtest forecast."""
-    joined = weekly_demand_actual.select(*KEYS, "actual_units").join(
-        demand_forecast.select(*KEYS, "forecast_units"), KEYS, "left"
-    )
-    return top(joined, count, F.col("week").desc(), *SERIES)
+    return top(with_backtest(weekly_demand_actual, demand_forecast), count, F.col("week").desc(), *SERIES)
 
 
 @query
 def demand_outlook(weekly_demand_actual, demand_forecast, demand_forecast_future, *, model=RIDGE) -> DataFrame:
     """Demand against forecast with the coming weeks included, one model's future only."""
     future = demand_forecast_future.filter(F.col("model_name") == model)
-    past = demand_vs_forecast_weekly(weekly_demand_actual, demand_forecast, future.limit(0))
     ahead = future.select(*KEYS, F.col("forecast_units").alias("forecast_units_future"))
-    return past.drop("forecast_units_future").join(ahead, KEYS, "full")
+    return with_backtest(weekly_demand_actual, demand_forecast).join(ahead, KEYS, "full")
 
 
 @query
@@ -129,10 +125,8 @@ def demand_vs_forecast_series(demand_vs_forecast_weekly, *, region=REGION, sku_f
 @query
 def demand_long(weekly_demand_actual, demand_forecast, *, region=None, sku_family=None) -> DataFrame:
     """Actual and forecast units as one row per week and measure, for charting."""
-    joined = weekly_demand_actual.select(*KEYS, F.col("actual_units").cast("double").alias("actual_units")).join(
-        demand_forecast.select(*KEYS, "forecast_units"), KEYS, "left"
-    )
-    wide = one_series(joined, region, sku_family)
+    wide = one_series(with_backtest(weekly_demand_actual, demand_forecast), region, sku_family)
+    wide = wide.withColumn("actual_units", F.col("actual_units").cast("double"))
     return wide.unpivot(KEYS, ["actual_units", "forecast_units"], "series", "units")
 
 

@@ -1,8 +1,14 @@
-"""A session with the settings this library expects; a cluster's own settings win."""
+"""Session settings: a local session for tests, and shuffle sizing from the input size."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from math import ceil
+
+from pyspark.sql import DataFrame, SparkSession
+
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+BYTES_PER_PARTITION = 128 * 1024 * 1024
+MOST_PARTITIONS = 100_000
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -27,3 +33,20 @@ def local_session(app: str, cores: str = "*", memory: str = "8g") -> SparkSessio
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def size_shuffles(spark: SparkSession, *inputs: DataFrame) -> int:
+    """Start shuffles with one partition per 128 MB of input where that is more than the default.
+
+    Adaptive execution merges partitions that turn out small, but cannot cut a plain aggregate's
+    partitions finer than it starts with. A session that sets the number keeps its own. The sizes
+    come from file listings, so no job runs.
+    """
+    start = int(spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        size = sum(int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in inputs)
+        wanted = min(MOST_PARTITIONS, ceil(size / BYTES_PER_PARTITION))
+        if wanted > start:
+            spark.conf.set(INITIAL_PARTITIONS, wanted)
+            start = wanted
+    return start

@@ -10,7 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from test_medallion import line, orders
 
-from haulcast import EngineConfig, Workspace
+from haulcast import EngineConfig, Workspace, session
 from haulcast.operators.metric_view import CONTROL_TOWER, VIEWS, MetricView
 from haulcast.schemas import BRONZE, FORECAST
 from haulcast.sources import quality, sinks
@@ -181,3 +181,17 @@ def test_streamed_silver_equals_batch(spark, tmp_path):
     assert query.awaitTermination(120)
     batch = Workspace(spark, tables={"bronze_erp_orders_raw": source})["silver_erp_orders"]
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=str) == sorted(batch.collect(), key=str)
+
+
+def test_shuffles_start_with_enough_partitions(spark, small, monkeypatch):
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.size_shuffles(spark, small["lineitem"]) == base
+    assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None
+    monkeypatch.setattr(session, "BYTES_PER_PARTITION", 1000)
+    try:
+        sized = session.size_shuffles(spark, small["lineitem"])
+        assert sized > base and spark.conf.get(session.INITIAL_PARTITIONS) == str(sized)
+        spark.conf.set(session.INITIAL_PARTITIONS, 7)
+        assert session.size_shuffles(spark, small["lineitem"]) == 7
+    finally:
+        spark.conf.unset(session.INITIAL_PARTITIONS)
