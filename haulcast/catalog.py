@@ -142,9 +142,12 @@ def rounded(frame: DataFrame, digits: int = DIGITS) -> DataFrame:
     )
 
 
-# Weekly Gold tables, forecasts and scores: small next to the orders they sum up, and each read by
-# many queries. They are written to the shared folder once and read from there.
+# Written to the shared folder when first read, and read from there by every query of the application.
+# Bronze order lines are the one wide join everything starts from: written once, all later work on them
+# is a scan of the columns it needs. The rest are weekly Gold tables, forecasts and scores, small next to
+# the orders they sum up and each read by many queries.
 PUBLISHED = (
+    "bronze_erp_orders_raw",
     "silver_external_signals",
     "weekly_demand_actual",
     "kpi_otif_weekly",

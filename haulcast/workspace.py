@@ -109,15 +109,17 @@ class Workspace:
         return self._derived[name]
 
     def _written(self, name: str, frame: DataFrame) -> DataFrame:
+        """The dataset as read back from the shared folder; unwritten on a cluster that names none."""
         from haulcast.sources import sinks
 
-        return sinks.overwrite_path(frame, f"{self._folder}/{name}")
+        return sinks.overwrite_path(frame, f"{self._folder}/{name}") if self._folder else frame
 
     @cached_property
-    def _folder(self) -> str:
+    def _folder(self) -> str | None:
         from haulcast.sources import sinks
 
-        return f"{sinks.shared_folder(self.spark)}/{uuid.uuid4().hex}"
+        shared = sinks.shared_folder(self.spark)
+        return shared and f"{shared}/{uuid.uuid4().hex}"
 
     def _resolve(self, name: str) -> DataFrame:
         if name in SOURCE_TABLES and self.source_dir is not None:
@@ -195,7 +197,10 @@ class Workspace:
                 comment = DATASETS[name].comment if name in DATASETS else ""
                 written = sinks.overwrite_table(frame, f"{schema}.{name}", comment)
             else:
-                written = sinks.overwrite_path(frame, f"{path or sinks.shared_folder(self.spark)}/{name}")
+                root = path or sinks.shared_folder(self.spark)
+                if root is None:
+                    raise ValueError("give a schema or path, or set spark.checkpoint.dir to a folder all executors reach")
+                written = sinks.overwrite_path(frame, f"{root}/{name}")
             self._fixed[name] = written
             self._derived.clear()
         return self
