@@ -97,7 +97,7 @@ class Workspace:
     def from_schema(cls, spark: SparkSession, schema: str, config: EngineConfig | None = None) -> Workspace:
         """Read every dataset that already exists as a table or view of ``schema``; derive the rest."""
         _load_definitions()
-        present = {t.name for t in spark.catalog.listTables(schema)}
+        present = {t.name for t in spark.catalog.listTables(schema) if not t.isTemporary}
         return cls(spark, None, config, {n: spark.table(f"{schema}.{n}") for n in sorted(present & DATASETS.keys())})
 
     def __getitem__(self, name: str) -> DataFrame:

@@ -79,7 +79,10 @@ def test_materialize_to_tables_and_read_them_back(spark, small, schema):
     assert "HashAggregate" not in ws["weekly_demand_actual"]._jdf.queryExecution().executedPlan().toString()
     comment = spark.catalog.getTable(f"{schema}.kpi_otif_weekly").description
     assert comment.startswith("Gold:")
+    spark.range(1).createOrReplaceTempView("kpi_freight_weekly")  # not part of the schema
     again = Workspace.from_schema(spark, schema, EngineConfig(as_of=date(2001, 8, 1)))
+    spark.catalog.dropTempView("kpi_freight_weekly")
+    assert sorted(again._fixed) == ["kpi_otif_weekly", "weekly_demand_actual"]
     assert sorted(again.run("worst_dcs_13w").collect()) == sorted(small.run("worst_dcs_13w").collect())
     fresh = Workspace(spark, small.source_dir).materialize("weekly_demand_actual", schema=schema)
     assert fresh["weekly_demand_actual"].count() == small["weekly_demand_actual"].count()
