@@ -9,7 +9,6 @@ from haulcast.functions.calendar import calendar_columns, daily_spine
 from haulcast.functions.expressions import DC_NAME_WORDS, PLANT_NAME_WORDS, without_words
 from haulcast.operators import rules
 from haulcast.operators.silver import ORDER_RULES, SIGNALS
-from haulcast.schemas import BRONZE
 from haulcast.sources.quality import rule_report, to_numeric
 from haulcast.sources.sinks import row_counts
 from haulcast.workspace import dataset, query

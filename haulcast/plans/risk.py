@@ -77,7 +77,8 @@ def late_risk_top_orders(order_late_risk_scored_ml, *, count=25, above=None) ->
 def high_risk_orders(order_late_risk_scored_ml, *, threshold=HIGH_RISK, count=10) -> DataFrame:
     """Newest orders at or above the threshold."""
     risky = order_late_risk_scored_ml.filter(F.col("late_risk_prob") >= threshold)
-    ranked = top(risky, count, F.col("order_date").desc(), "order_id", steady("late_risk_prob").desc(), "customer_region", "sku_family")
+    order = [F.col("order_date").desc(), "order_id", steady("late_risk_prob").desc(), "customer_region", "sku_family"]
+    ranked = top(risky, count, *order)
     return ranked.select("order_date", "customer_region", "sku_family", "late_risk_prob")
 
 

@@ -102,7 +102,7 @@ SELECT * FROM demand_vs_forecast_weekly_naive
 -- :kpi_mape_sku_weekly mape
 SELECT * FROM kpi_mape_sku_weekly
 
--- :late_risk_features unit_price, construction_index, precipitation_mm, avg_temp_c, days_to_request, dow, woy, month
+-- :late_risk_features construction_index, precipitation_mm, avg_temp_c
 SELECT * FROM late_risk_features
 
 -- :silver_plant_locations
@@ -156,7 +156,7 @@ SELECT shipment_id, truck_id, route_distance_km, total_weight_tons, mode,
        route_distance_km * total_weight_tons * CAST(CASE mode WHEN 'carrier' THEN 0.095 ELSE 0.105 END AS DOUBLE) AS other_co2_kg
 FROM bronze_tms_shipments_raw
 
--- :order_enrichment list_price, season_annual, weekday_factor, construction_index, precipitation_mm, avg_temp_c
+-- :order_enrichment season_annual
 SELECT o.order_id, o.order_date, o.customer_id, o.sku_id, o.units_ordered, c.customer_region AS home_region,
        c.channel AS home_channel, s.sku_family AS rule_family, s.unit_price AS list_price, d.primary_dc_id,
        CAST(len(p.plants) AS INTEGER) AS plants_nearby, f.season_annual, f.weekday_factor, e.construction_index, e.precipitation_mm, e.avg_temp_c

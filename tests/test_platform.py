@@ -198,3 +198,12 @@ def test_shuffles_start_with_enough_partitions(spark, small, monkeypatch):
         assert session.size_shuffles(spark, small["lineitem"]) == 7
     finally:
         spark.conf.unset(session.INITIAL_PARTITIONS)
+
+
+def test_without_a_shared_folder_nothing_is_written(spark, small, monkeypatch):
+    monkeypatch.setattr(sinks, "shared_folder", lambda _: None)
+    ws = Workspace(spark, small.source_dir, published=("bronze_plant_locations",))
+    assert ws["bronze_plant_locations"].count() == 25
+    assert {Path(f).name for f in ws["bronze_plant_locations"].inputFiles()} == {"nation.parquet", "region.parquet"}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ws.materialize("bronze_plant_locations")
