@@ -6,15 +6,37 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from haulcast.llm import log_bilinear
+from haulcast.llm.embedding_near_dedup import embedding_near_dedup
 from haulcast.llm.ngram_jaccard_join import ngram_jaccard_join
 
 SQL = Path(__file__).with_name("sql")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a model trained on the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = log_bilinear.score(docs, log_bilinear.train(docs, ~held_out))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class and number of links: five-word n-grams, similarity 0.8."""
-    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.9, and its component."""
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
