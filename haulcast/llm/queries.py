@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from haulcast.llm import log_bilinear
 from haulcast.llm.embedding_near_dedup import embedding_near_dedup
 from haulcast.llm.ngram_jaccard_join import ngram_jaccard_join
+from haulcast.llm.robust_outliers import robust_outliers
 
 SQL = Path(__file__).with_name("sql")
 
@@ -29,6 +30,13 @@ def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, and whether it is kept by the base rules and the robust distance."""
+    return robust_outliers(table(spark, sf_dir, "documents")).select(
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class and number of links: five-word n-grams, similarity 0.8."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
