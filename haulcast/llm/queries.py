@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import log_bilinear
+import corpus_pipeline
+from haulcast.llm import log_bilinear, positive_unlabelled
+from haulcast.llm.best_fit_packing import best_fit_packing
 from haulcast.llm.embedding_near_dedup import embedding_near_dedup
 from haulcast.llm.ngram_jaccard_join import ngram_jaccard_join
 from haulcast.llm.robust_outliers import robust_outliers
+from haulcast.llm.systematic_mix import systematic_mix
 
 SQL = Path(__file__).with_name("sql")
 
@@ -20,10 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scored_only(modulus: int, remainder: int) -> Column:
+    """Whether a row is held out of training, by crc32 of its doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
+
+
+def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share of a mix with source weights 5, 2, 1 in turn."""
+    mixed = systematic_mix(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    )
+
+
 def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability under a model trained on the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    held_out = scored_only(7, 2)
     scored = log_bilinear.score(docs, log_bilinear.train(docs, ~held_out))
     return scored.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
@@ -37,6 +53,19 @@ def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; labels whose crc32 remainder is 1 are never read."""
+    docs = table(spark, sf_dir, "documents")
+    model = positive_unlabelled.train(docs, table(spark, sf_dir, "labels"), ~scored_only(3, 1))
+    scored = positive_unlabelled.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        scored_only(3, 1).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class and number of links: five-word n-grams, similarity 0.8."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
@@ -47,8 +76,14 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in a bin of 2048 words."""
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    operators = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return operators | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
