@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from haulcast.llm import log_bilinear, positive_unlabelled
+from haulcast.llm import dom_marginals, log_bilinear, positive_unlabelled
 from haulcast.llm.best_fit_packing import best_fit_packing
 from haulcast.llm.embedding_near_dedup import embedding_near_dedup
+from haulcast.llm.licence_scan import licence_scan
 from haulcast.llm.ngram_jaccard_join import ngram_jaccard_join
 from haulcast.llm.robust_outliers import robust_outliers
+from haulcast.llm.sequence_files import read_documents, write_sequences
+from haulcast.llm.storage import new_path
 from haulcast.llm.systematic_mix import systematic_mix
 
 SQL = Path(__file__).with_name("sql")
@@ -28,6 +32,12 @@ def scored_only(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+def op1_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the sequence files it was written to."""
+    tokenizer = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    return read_documents(write_sequences(table(spark, sf_dir, "documents"), new_path(spark, "sequences"), tokenizer))
+
+
 def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of a mix with source weights 5, 2, 1 in turn."""
     mixed = systematic_mix(table(spark, sf_dir, "documents"))
@@ -53,6 +63,12 @@ def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_dom_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    pages = table(spark, sf_dir, "pages")
+    return dom_marginals.extract(pages, dom_marginals.train(dom_marginals.labelled_pages(pages)))
+
+
 def op6_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score; labels whose crc32 remainder is 1 are never read."""
     docs = table(spark, sf_dir, "documents")
@@ -76,6 +92,11 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence families and the paragraphs that name them."""
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in a bin of 2048 words."""
     return best_fit_packing(table(spark, sf_dir, "documents"))
