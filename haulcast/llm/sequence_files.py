@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulcast.llm.storage import publish, source_bytes
+from haulcast.llm.storage import publish
 from haulcast.llm.words import blocks
 
 LENGTH = 2048
@@ -76,7 +76,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_json: str, length: i
     A null text is empty, so its only id is the end. Null doc_ids come first, repeated rows stay, other columns are not
     read. An empty table writes no file.
     """
-    files = max(1, ceil(source_bytes(docs) / FILE_BYTES))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    files = max(1, ceil(size / FILE_BYTES))
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
