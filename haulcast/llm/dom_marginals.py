@@ -24,15 +24,17 @@ from pyspark.sql import functions as F
 from haulcast.llm.words import blocks
 
 MOST_PAGES = 400  # bound of the sample of labelled pages
+BUILT_TIMES = 3  # how often each built page counts
 BUCKETS = 256  # hashed tags and class words
 DENSE = 6
-EPOCHS = 300
+EPOCHS = 1500
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time u var".split())
 HIDDEN = frozenset("script style template noscript".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("article aside body div footer header main nav ol section table td ul".split())
+FRAME = frozenset(("#root", "html", "body"))
 BOILER_TAGS = "nav header footer aside form button select label".split()
 BOILER_CLASSES = "ad ads advert sidebar comments comment menu cookie notice banner promo share related newsletter breadcrumb popup widget social".split()
 _WORD = re.compile(r"[a-z]+")
@@ -145,11 +147,19 @@ def labels_of(tree: Tree) -> np.ndarray:
     return out
 
 
+def relation(tree: Tree, i: int) -> int:
+    """What a node is to its parent: 1 a text, 2 an element right below the page's frame, 0 any other element."""
+    return 1 if tree.tag[i] == "" else 2 if tree.tag[tree.parent[i]] in FRAME else 0
+
+
 def built_pages() -> list[str]:
-    """Labelled pages with each kind of boilerplate before, inside and after an article."""
+    """Labelled pages with each kind of boilerplate before, inside and after an article.
+
+    Its words are those of the article, so that a paragraph's place decides and not its wording.
+    """
     kinds = [(f"<{t}>", f"</{t}>") for t in BOILER_TAGS] + [(f'<{e} class="{c}">', f"</{e}>") for c in BOILER_CLASSES for e in ("div", "section")]
     body = "<h1>Some title</h1><p>Several words make up this sentence, and here they end.</p><ul><li>One item.</li></ul><p>More <b>words</b> follow.</p>"
-    line = "<p>Words of another kind, outside the text.</p>"
+    line = "<p>Several words make up this sentence, and here they end.</p><ul><li><a href=x>One item.</a></li></ul>"
     return [
         f"<html><head><title>Some title</title></head><body>{a}{line}{z}<{m}>{body}{a}{line}{z}</{m}>{a}{line}{z}</body></html>"
         for a, z in kinds
@@ -161,7 +171,7 @@ def built_pages() -> list[str]:
 class Potentials:
     dense: np.ndarray
     names: np.ndarray
-    pair: np.ndarray  # logarithm, [child is text, parent's label, child's label]
+    pair: np.ndarray  # logarithm, [relation, parent's label, child's label]
 
 
 def train(pages: list[str]) -> Potentials:
@@ -172,11 +182,11 @@ def train(pages: list[str]) -> Potentials:
     x = np.vstack([d for d, _ in found])
     index = np.vstack([np.pad(i, ((0, 0), (0, width - i.shape[1])), constant_values=BUCKETS) for _, i in found])
     y = np.concatenate([labels_of(t) for t in trees])
-    joint = np.ones((2, 2, 2))
+    joint = np.ones((3, 2, 2))
     for tree in trees:
         label = labels_of(tree)
         up = np.array(tree.parent[1:], np.int64)
-        kind = np.array([t == "" for t in tree.tag[1:]], np.int64)
+        kind = np.array([relation(tree, i) for i in range(1, len(tree.tag))], np.int64)
         np.add.at(joint, (kind, label[up], label[1:]), 1)
     joint /= joint.sum(axis=(1, 2), keepdims=True)
     pair = np.log(joint / (joint.sum(axis=2, keepdims=True) * joint.sum(axis=1, keepdims=True)))
@@ -185,8 +195,8 @@ def train(pages: list[str]) -> Potentials:
     for _ in range(EPOCHS):
         z = x @ dense + names[index].sum(axis=1)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g_dense = x.T @ error + 1e-5 * dense
-        g_names = np.bincount(index.ravel(), np.repeat(error, width), BUCKETS + 1) + 1e-5 * names
+        g_dense = x.T @ error + 1e-7 * dense
+        g_names = np.bincount(index.ravel(), np.repeat(error, width), BUCKETS + 1) + 1e-7 * names
         power_d, power_n = power_d + g_dense**2, power_n + g_names**2
         dense -= 0.3 * g_dense / np.sqrt(power_d)
         names -= 0.3 * g_names / np.sqrt(power_n)
@@ -201,14 +211,14 @@ def marginals(tree: Tree, p: Potentials) -> np.ndarray:
     up = np.stack([np.zeros(len(z)), z], axis=1)  # own potential and all messages from below
     message = np.zeros_like(up)
     for i in range(len(z) - 1, 0, -1):
-        both = p.pair[int(tree.tag[i] == "")] + up[i][None, :]
+        both = p.pair[relation(tree, i)] + up[i][None, :]
         message[i] = np.logaddexp(both[:, 0], both[:, 1])
         message[i] -= message[i].max()
         up[tree.parent[i]] += message[i]
     belief = up.copy()
     for i in range(1, len(z)):
         rest = belief[tree.parent[i]] - message[i]
-        both = p.pair[int(tree.tag[i] == "")] + rest[:, None]
+        both = p.pair[relation(tree, i)] + rest[:, None]
         down = np.logaddexp(both[0], both[1])
         belief[i] = up[i] + down - down.max()
     return 1 / (1 + np.exp(belief[:, 0] - belief[:, 1]))
@@ -227,7 +237,7 @@ def main_text(html: str | None, p: Potentials) -> str:
 def labelled_pages(pages: DataFrame, most: int = MOST_PAGES) -> list[str]:
     """The built pages and at most ``most`` pages of the table that mark their article, by hash of the html."""
     marked = pages.where(F.lower("html").contains("<article") & (F.length("html") < 200_000))
-    return built_pages() + [r["html"] for r in marked.select("html").orderBy(F.xxhash64("html"), "html").limit(most).collect()]
+    return built_pages() * BUILT_TIMES + [r["html"] for r in marked.select("html").orderBy(F.xxhash64("html"), "html").limit(most).collect()]
 
 
 def extract(pages: DataFrame, p: Potentials) -> DataFrame:
