@@ -58,7 +58,7 @@ def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts, and whether it is kept by the base rules and the robust distance."""
-    return robust_outliers(table(spark, sf_dir, "documents")).select(
+    return robust_outliers(table(spark, sf_dir, "documents"), carried=["doc_id"]).select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )
 

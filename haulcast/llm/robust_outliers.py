@@ -138,19 +138,22 @@ def _measured(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> Data
     return joined.withColumn("distance", total).withColumn("worst", worst).drop(*extra)
 
 
-def robust_outliers(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def robust_outliers(docs: DataFrame, cutoff: float = CUTOFF, carried: list[str] | None = None) -> DataFrame:
     """Every row of ``docs(text, lang, source, ...)`` as struct ``doc``, with its counts, ``distance`` and ``kept``.
 
+    ``carried`` names the columns of ``doc``, by default all. The counts are computed once and written with them.
+
     ``base_failed``: fewer than 50 words, or over half of them in repeated windows. ``kept`` is false for those and
     for outliers. A null text is empty; a null language or source is a group of its own. Repeated rows count each.
-    Other columns, whatever their names, are carried inside ``doc``. An empty table gives no rows.
+    Carried columns, whatever their names, lie inside ``doc``. An empty table gives no rows.
     """
-    given = counted(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "doc.text")
+    doc = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carried is None else carried)]).alias("doc")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    given = docs.select(doc, F.col("text").alias("whole"), key("lang").alias("g_lang"), key("source").alias("g_source"))
     failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
-    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"doc.{c}").cast("string")), F.lit(""))
-    given = given.withColumns({"g_lang": key("lang"), "g_source": key("source"), "base_failed": failed, **statistics()})
-    rows = publish(given.select("g_lang", "g_source", *STATISTICS, "base_failed"), "statistics")
-    rows = rows.where(~F.col("base_failed")).drop("base_failed")
+    given = counted(given, "whole").withColumns({"base_failed": failed, **statistics()}).drop("whole")
+    given = publish(given, "statistics")
+    rows = given.where(~F.col("base_failed")).select("g_lang", "g_source", *STATISTICS)
 
     keys = ["g_lang", "g_source"]
     middle = rows.groupBy(*keys).agg(*[F.percentile_approx(a, 0.5, 1000).alias(f"c_{a}") for a in STATISTICS])
