@@ -1,7 +1,8 @@
 """Quality classifier by positive-unlabelled learning: the non-negative unbiased risk is minimised in numpy.
 
-Trusted positives and unlabelled texts are bounded samples (``MOST_ROWS`` each, by hash of the text); the scorer is
-applied to every whole text in Arrow batches. The prior is the share of positives among learnable labels.
+Trusted positives and unlabelled texts are bounded samples (``MOST_ROWS`` each, by hash of id and text); the scorer is
+applied to every whole text in Arrow batches. The driver sees vectors of features, never texts. The prior is the share
+of positives among learnable labels.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from haulcast.llm.storage import publish
 from haulcast.llm.words import blocks
 
 MOST_ROWS = 20_000  # bound of either training sample
@@ -57,11 +59,19 @@ def features(text: str | None) -> np.ndarray:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (bias last), means and deviations. Logistic loss; where the estimated negative risk falls below zero,
+    """Weights (bias last), means and deviations. The matrices have a last column of ones, and are standardised in place.
+
+    Logistic loss; where the estimated negative risk falls below zero,
     the step goes against it, so it does not fit the positives among the unlabelled away."""
-    both = np.vstack([positive, unlabelled])
-    mean, spread = both.mean(axis=0), both.std(axis=0) + 0.02
-    p, u = ((np.hstack([(x - mean) / spread, np.ones((len(x), 1))])).clip(-8, 8) for x in (positive, unlabelled))
+    p, u = positive, unlabelled
+    rows = len(p) + len(u)
+    mean = sum(x[:, :-1].sum(axis=0, dtype=np.float64) for x in (p, u)) / rows
+    square = sum(np.einsum("ij,ij->j", x[:, :-1], x[:, :-1], dtype=np.float64) for x in (p, u)) / rows
+    spread = np.sqrt(np.maximum(square - mean**2, 0)) + 0.02
+    for x in (p, u):
+        x[:, :-1] -= mean.astype(np.float32)
+        x[:, :-1] /= spread.astype(np.float32)
+        np.clip(x, -8, 8, out=x)
     rng, w = np.random.default_rng(seed), np.zeros(p.shape[1])
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -82,9 +92,25 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return w, mean, spread
 
 
-def matrix(texts: DataFrame) -> np.ndarray:
-    rows = [features(r["text"]) for r in texts.select("text").toLocalIterator()]
-    return np.array(rows, np.float32).reshape(-1, DENSE + BUCKETS)
+def sampled(texts: DataFrame, chosen: DataFrame, most: int) -> np.ndarray:
+    """Features of up to ``most`` rows of ``chosen``, those of the smallest ``key``, with a last column of ones.
+
+    Only keys are sorted; the broadcast table has at most ``most`` of them. Repeated rows share a key and count each.
+    """
+    picked = publish(chosen.select("key").orderBy("key").limit(most).distinct(), "sample-keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks(whole):
+                vectors = [features(t).tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary())], ["vector"])
+
+    rows = texts.join(F.broadcast(picked), "key", "left_semi").select("text").mapInArrow(run, "vector binary")
+    rows = publish(rows.limit(most), "sample")
+    out = np.ones((rows.count(), DENSE + BUCKETS + 1), np.float32)
+    for i, row in enumerate(rows.toLocalIterator()):
+        out[i, :-1] = np.frombuffer(row["vector"], np.float32)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = MOST_ROWS) -> tuple:
@@ -97,10 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = MOS
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     prior = min(0.95, max(0.05, share if share is not None else 0.5))
-    texts = docs.where(learnable).select("doc_id", "text")
-    pick = lambda t: t.orderBy(F.xxhash64("text"), "text").limit(most)
-    positive = matrix(pick(texts.join(known.where("quality = 1"), "doc_id")))
-    unlabelled = matrix(pick(texts))
+    texts = docs.where(learnable).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    positive = sampled(texts, texts.select("doc_id", "key").join(known.where("quality = 1"), "doc_id"), most)
+    unlabelled = sampled(texts, texts, most)
     if not len(positive) or not len(unlabelled):
         w = np.zeros(DENSE + BUCKETS + 1)
         w[-1] = np.log(prior / (1 - prior))
