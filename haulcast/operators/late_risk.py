@@ -25,9 +25,6 @@ HIGH_RISK = 0.5
 INVERSE_PENALTY = 1.0
 MAX_ITERATIONS = 200
 
-# Rows worth a task of their own: each of the many passes of the optimiser costs a task launch.
-ROWS_PER_TASK = 25_000
-
 # Fixed values of the rule-based score: base, three surcharges, bounds.
 RULE_BASE = 0.10
 RULE_SHORT_NOTICE_DAYS, RULE_SHORT_NOTICE = 5, 0.18
@@ -120,7 +117,7 @@ def train(features: DataFrame) -> PipelineModel:
         count = rows.count()
         if count == 0:
             raise ValueError("no labelled orders in the training window")
-        return _pipeline(count).fit(rows.coalesce(max(1, count // ROWS_PER_TASK)))
+        return _pipeline(count).fit(rows)
     finally:
         rows.unpersist()
 
@@ -191,7 +188,7 @@ def late_risk_metrics(
     scored = scored.select(F.col("is_late").cast("double"), "rawPrediction", "prediction")
     scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        auc = BinaryClassificationEvaluator(labelCol="is_late", metricName="areaUnderROC").evaluate(scored)
+        auc = BinaryClassificationEvaluator(labelCol="is_late", metricName="areaUnderROC", numBins=0).evaluate(scored)
         accuracy = MulticlassClassificationEvaluator(labelCol="is_late", metricName="accuracy").evaluate(scored)
     finally:
         scored.unpersist()

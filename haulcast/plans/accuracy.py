@@ -24,8 +24,8 @@ def ape_rows(weekly_demand_actual, demand_forecast) -> DataFrame:
 
 
 @query
-def mape_by_family_region(kpi_mape_weekly, *, count=50) -> DataFrame:
-    """Worst series by mean error."""
+def mape_by_family_region(kpi_mape_weekly, *, count=None) -> DataFrame:
+    """Mean error of every series, worst first."""
     return top(series_means(kpi_mape_weekly), count, steady("avg_mape").desc(), *SERIES)
 
 
@@ -39,8 +39,8 @@ def sku_means(kpi_mape_sku_weekly: DataFrame, sku_family: str | None) -> DataFra
 
 
 @query
-def mape_by_sku(kpi_mape_sku_weekly, *, sku_family=None, count=100) -> DataFrame:
-    """Worst SKUs by mean error, of one family or all."""
+def mape_by_sku(kpi_mape_sku_weekly, *, sku_family=None, count=None) -> DataFrame:
+    """Mean error of every SKU of one family or all, worst first."""
     return top(sku_means(kpi_mape_sku_weekly, sku_family), count, steady("avg_mape").desc(), "sku_id", "region")
 
 
@@ -71,10 +71,8 @@ def mape_severity(kpi_mape_weekly) -> DataFrame:
 
 
 @query
-def mape_pivot(kpi_mape_weekly, nation_region, *, regions=None) -> DataFrame:
-    """Families down, regions across. The regions come from the caller or the short region list."""
-    if regions is None:
-        regions = sorted(r.region for r in nation_region.select("region").distinct().collect())
+def mape_pivot(kpi_mape_weekly, *, regions=None) -> DataFrame:
+    """Families down, regions across. The regions come from the caller or from the errors themselves."""
     return kpi_mape_weekly.groupBy(*SERIES).agg(F.avg("mape").alias("avg_mape")).groupBy("sku_family").pivot(
         "region", regions
     ).agg(F.avg("avg_mape"))

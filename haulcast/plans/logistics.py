@@ -30,8 +30,8 @@ def control_tower_snapshot(control_tower_weekly, as_of: Column, config: EngineCo
 
 
 @query
-def control_tower_recent(control_tower_weekly, *, count=2000) -> DataFrame:
-    """Newest control-tower rows."""
+def control_tower_recent(control_tower_weekly, *, count=None) -> DataFrame:
+    """Control-tower rows, newest first."""
     return top(control_tower_weekly, count, F.col("week").desc(), "region", "plant_id", "dc_id", "sku_family")
 
 
@@ -56,16 +56,20 @@ def kpi_snapshot_latest(control_tower_weekly) -> DataFrame:
     return newest.agg(F.max("week").alias("week"), *(F.avg(c).alias(c) for c in means))
 
 
+def in_region(frame: DataFrame, region: str | None) -> DataFrame:
+    return frame if region is None else frame.filter(F.col("region") == region)
+
+
 @query
 def otif_region_weeks(kpi_otif_weekly, *, region="ASIA") -> DataFrame:
-    """OTIF by week and DC of one region, newest first."""
-    return kpi_otif_weekly.filter(F.col("region") == region).orderBy(F.col("week").desc(), "dc_id")
+    """OTIF by week and DC of one region or all (``None``), newest first."""
+    return in_region(kpi_otif_weekly, region).orderBy(F.col("week").desc(), "dc_id")
 
 
 @query
 def worst_dcs_13w(kpi_otif_weekly, *, region="ASIA", weeks=13, count=10) -> DataFrame:
     """DCs with the lowest mean OTIF over the region's newest weeks."""
-    recent = last_weeks(kpi_otif_weekly.filter(F.col("region") == region), weeks)
+    recent = last_weeks(in_region(kpi_otif_weekly, region), weeks)
     by_dc = recent.groupBy("dc_id").agg(
         F.avg("otif_rate").alias("otif_rate_13w"), F.sum("orders").alias("orders_13w")
     )
@@ -85,8 +89,8 @@ def lane_weekly(kpi_freight_weekly) -> DataFrame:
 
 
 @query
-def lane_recent(lane_weekly, *, count=30) -> DataFrame:
-    """Newest lane weeks."""
+def lane_recent(lane_weekly, *, count=None) -> DataFrame:
+    """Lane weeks, newest first."""
     return top(lane_weekly, count, F.col("week").desc(), "plant_id", "dc_id")
 
 
@@ -231,8 +235,8 @@ def co2_weekly_region_mode(kpi_freight_weekly, kpi_otif_weekly) -> DataFrame:
 
 
 @query
-def energy_recent(kpi_energy_intensity_weekly, *, count=50) -> DataFrame:
-    """Newest energy-intensity rows."""
+def energy_recent(kpi_energy_intensity_weekly, *, count=None) -> DataFrame:
+    """Energy-intensity rows, newest first."""
     return top(kpi_energy_intensity_weekly, count, F.col("week").desc(), "plant_id", "sku_family")
 
 

@@ -96,8 +96,8 @@ def top_mape_problems(kpi_mape_weekly, *, count=10) -> DataFrame:
 
 
 @query
-def demand_vs_forecast_recent(weekly_demand_actual, demand_forecast, *, count=4000) -> DataFrame:
-    """Newest actuals with their backtest forecast."""
+def demand_vs_forecast_recent(weekly_demand_actual, demand_forecast, *, count=None) -> DataFrame:
+    """Actuals with their backtest forecast, newest first."""
     return top(with_backtest(weekly_demand_actual, demand_forecast), count, F.col("week").desc(), *SERIES)
 
 
@@ -110,7 +110,7 @@ def demand_outlook(weekly_demand_actual, demand_forecast, demand_forecast_future
 
 
 @query
-def demand_vs_forecast_series(demand_vs_forecast_weekly, *, region=REGION, sku_family=FAMILY, count=52) -> DataFrame:
+def demand_vs_forecast_series(demand_vs_forecast_weekly, *, region=REGION, sku_family=FAMILY, count=None) -> DataFrame:
     """One series formatted for display, newest weeks first."""
     rows = one_series(demand_vs_forecast_weekly, region, sku_family)
     newest = top(rows, count, F.col("week").desc(), "actual_units", "forecast_units", "forecast_units_future")

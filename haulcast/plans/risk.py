@@ -53,8 +53,8 @@ def train_test_split_counts(late_risk_features, as_of: Column, config: EngineCon
 
 
 @query
-def recent_scored_orders(order_late_risk_scored_ml, *, count=5000) -> DataFrame:
-    """Newest scored orders."""
+def recent_scored_orders(order_late_risk_scored_ml, *, count=None) -> DataFrame:
+    """Scored orders, newest first."""
     newest = F.col("order_date").desc()
     rest = [steady(c) if c == "late_risk_prob" else F.col(c) for c in SCORED[1:]]
     return top(order_late_risk_scored_ml.select(*SCORED, "order_id"), count, newest, "order_id", *rest).drop("order_id")
@@ -74,8 +74,8 @@ def late_risk_top_orders(order_late_risk_scored_ml, *, count=25, above=None) ->
 
 
 @query
-def high_risk_orders(order_late_risk_scored_ml, *, threshold=HIGH_RISK, count=10) -> DataFrame:
-    """Newest orders at or above the threshold."""
+def high_risk_orders(order_late_risk_scored_ml, *, threshold=HIGH_RISK, count=None) -> DataFrame:
+    """Orders at or above the threshold, newest first."""
     risky = order_late_risk_scored_ml.filter(F.col("late_risk_prob") >= threshold)
     order = [F.col("order_date").desc(), "order_id", steady("late_risk_prob").desc(), "customer_region", "sku_family"]
     ranked = top(risky, count, *order)
@@ -83,8 +83,8 @@ def high_risk_orders(order_late_risk_scored_ml, *, threshold=HIGH_RISK, count=10
 
 
 @query
-def late_risk_hotspots_weekly(order_late_risk_scored_ml, *, count=50) -> DataFrame:
-    """Week, region and family with the highest mean risk."""
+def late_risk_hotspots_weekly(order_late_risk_scored_ml, *, count=None) -> DataFrame:
+    """Mean risk by week, region and family, highest first."""
     means = order_late_risk_scored_ml.groupBy(
         week_of("order_date").alias("week"), "customer_region", "sku_family"
     ).agg(F.avg("late_risk_prob").alias("avg_late_risk"))
@@ -92,8 +92,8 @@ def late_risk_hotspots_weekly(order_late_risk_scored_ml, *, count=50) -> DataFra
 
 
 @query
-def risk_hotspots(order_late_risk_scored_ml, *, count=12) -> DataFrame:
-    """Region and family with the highest mean risk."""
+def risk_hotspots(order_late_risk_scored_ml, *, count=None) -> DataFrame:
+    """Mean risk by region and family, highest first."""
     means = order_late_risk_scored_ml.groupBy("customer_region", "sku_family").agg(
         F.avg("late_risk_prob").alias("late_risk_prob")
     )

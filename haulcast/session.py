@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 BYTES_PER_PARTITION = 128 * 1024 * 1024
-MOST_PARTITIONS = 100_000
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -45,7 +44,7 @@ def size_shuffles(spark: SparkSession, *inputs: DataFrame) -> int:
     start = int(spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
     if spark.conf.get(INITIAL_PARTITIONS, None) is None:
         size = sum(int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in inputs)
-        wanted = min(MOST_PARTITIONS, ceil(size / BYTES_PER_PARTITION))
+        wanted = ceil(size / BYTES_PER_PARTITION)
         if wanted > start:
             spark.conf.set(INITIAL_PARTITIONS, wanted)
             start = wanted

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
@@ -23,10 +24,31 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def overwrite_path(frame: DataFrame, path: str) -> DataFrame:
-    frame.write.mode("overwrite").parquet(path)
+    """Replace the files at ``path``: written aside whole, then put in place, so a frame may read what it replaces."""
+    spark = frame.sparkSession
+    aside = f"{path.rstrip('/')}.next-{uuid.uuid4().hex}"
+    frame.write.parquet(aside)
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside))
+    files = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"could not put {aside} in place of {path}")
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
+
+
+def write_new(frame: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write below ``folder`` at a path never used before, so that no live frame loses its files."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
     return frame.sparkSession.read.parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def overwrite_table(frame: DataFrame, name: str, comment: str = "") -> DataFrame:
     """Replace a managed table, its schema included."""
     spark = frame.sparkSession

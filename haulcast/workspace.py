@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from haulcast.config import EngineConfig
 
 # Physical tables of the test schema that the Bronze adapters read.
-SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+SOURCE_TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
 
 
 @dataclass(frozen=True)
@@ -92,18 +92,31 @@ class Workspace:
         self._derived: dict[str, DataFrame] = {}
         self._published = frozenset(published)
         self._pending: list[str] = []
+        self._written_out: set[str] = set()  # fixed by materialize, not passed in
+        self._parent: Workspace | None = None  # resolves published datasets that a branch leaves as they are
+        self._changed: set[str] = set()
 
     @classmethod
-    def from_schema(cls, spark: SparkSession, schema: str, config: EngineConfig | None = None) -> Workspace:
-        """Read every dataset that already exists as a table or view of ``schema``; derive the rest."""
+    def from_schema(
+        cls, spark: SparkSession, schema: str, config: EngineConfig | None = None, reuse: Collection[str] = ()
+    ) -> Workspace:
+        """Read the Bronze tables that exist in ``schema`` and derive the rest from them.
+
+        A derived table is read as it stands, however old, only where ``reuse`` names it.
+        """
         _load_definitions()
-        present = {t.name for t in spark.catalog.listTables(schema) if not t.isTemporary}
-        return cls(spark, None, config, {n: spark.table(f"{schema}.{n}") for n in sorted(present & DATASETS.keys())})
+        present = {t.name for t in spark.catalog.listTables(schema) if not t.isTemporary} & DATASETS.keys()
+        if missing := set(reuse) - present:
+            raise KeyError(f"{schema} has no table(s) {sorted(missing)}")
+        inputs = sorted(n for n in present if n.startswith("bronze_") or n in reuse)
+        return cls(spark, None, config, {n: spark.table(f"{schema}.{n}") for n in inputs})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._fixed:
             return self._fixed[name]
         if name not in self._derived:
+            if self._parent is not None and name in self._published and not self._reached(name):
+                return self._parent[name]
             frame = self._resolve(name)
             self._derived[name] = self._written(name, frame) if name in self._published else frame
         return self._derived[name]
@@ -112,7 +125,19 @@ class Workspace:
         """The dataset as read back from the shared folder; unwritten on a cluster that names none."""
         from haulcast.sources import sinks
 
-        return sinks.overwrite_path(frame, f"{self._folder}/{name}") if self._folder else frame
+        return sinks.write_new(frame, self._folder, name) if self._folder else frame
+
+    def _reached(self, name: str) -> bool:
+        """Whether what sets this branch apart from its parent bears on a dataset."""
+        return name in self._changed or _reads(name, self._changed)
+
+    def release(self) -> None:
+        """Delete what this workspace and its branches published; their frames can't be read afterwards."""
+        from haulcast.sources import sinks
+
+        if self._folder:
+            sinks.delete_path(self.spark, self._folder)
+        self._derived.clear()
 
     @cached_property
     def _folder(self) -> str | None:
@@ -178,8 +203,13 @@ class Workspace:
     def _branch(self, config: EngineConfig, tables: Mapping, changed: set[str]) -> Workspace:
         """A workspace that keeps every dataset the change does not reach."""
         other = Workspace(self.spark, self.source_dir, config, tables, self._published)
-        other._derived = {n: f for n, f in self._derived.items() if n not in changed and not _reads(n, changed)}
-        if "_newest" in self.__dict__:
+        today = "newest_order_date" if self.source_dir is not None or "newest_order_date" in tables else "silver_erp_orders"
+        moved = today in changed or _reads(today, changed)
+        other._parent, other._changed = self, changed | ({"as_of"} if moved else set())
+        other._written_out = self._written_out - changed
+        other._derived = {n: f for n, f in self._derived.items() if not other._reached(n)}
+        other._folder = self._folder
+        if "_newest" in self.__dict__ and not moved:
             other._newest = self._newest
         return other
 
@@ -188,19 +218,24 @@ class Workspace:
 
         Later datasets and queries of this workspace then start from the written table,
         which also cuts their lineage: a lost executor costs a re-read, not a recompute.
+        A dataset written before is built from its inputs again. Without schema or path, each
+        write goes to a new place; with one, frames read from the replaced files are void.
         """
         from haulcast.sources import sinks
 
         for name in names:
+            if name in self._written_out:
+                del self._fixed[name]
             frame = self[name]
             if schema is not None:
                 comment = DATASETS[name].comment if name in DATASETS else ""
                 written = sinks.overwrite_table(frame, f"{schema}.{name}", comment)
             else:
-                root = path or sinks.shared_folder(self.spark)
-                if root is None:
+                if path is None and self._folder is None:
                     raise ValueError("give a schema or path, or set spark.checkpoint.dir to a folder all executors reach")
-                written = sinks.overwrite_path(frame, f"{root}/{name}")
+                written = sinks.overwrite_path(frame, f"{path}/{name}") if path else sinks.write_new(frame, self._folder, name)
             self._fixed[name] = written
-            self._derived.clear()
+            self._written_out.add(name)
+            self._changed = self._changed | {name}
+            self._derived = {n: f for n, f in self._derived.items() if not self._reached(n)}
         return self

@@ -212,7 +212,7 @@ SELECT * FROM control_tower_13w
 
 -- :control_tower_recent otif_rate, freight_cost_per_ton, premium_freight_pct, co2_kg_per_ton, energy_kwh_per_unit
 SELECT * FROM control_tower_weekly
-ORDER BY week DESC, region NULLS FIRST, plant_id, dc_id, sku_family NULLS FIRST LIMIT 2000
+ORDER BY week DESC, region NULLS FIRST, plant_id, dc_id, sku_family NULLS FIRST
 
 -- :control_tower_freight freight_cost_per_ton, premium_freight_pct
 SELECT week, dc_id, plant_id, freight_cost_per_ton, premium_freight_pct FROM control_tower_weekly
@@ -235,7 +235,7 @@ WHERE region = 'ASIA' AND week IN (SELECT DISTINCT week FROM kpi_otif_weekly WHE
 GROUP BY 1 ORDER BY round(avg(otif_rate), 9), dc_id LIMIT 10
 
 -- :lane_recent freight_cost_usd, total_weight_tons, co2_kg, premium_freight_pct, freight_cost_per_ton, co2_kg_per_ton
-SELECT * FROM lane_weekly ORDER BY week DESC, plant_id, dc_id LIMIT 30
+SELECT * FROM lane_weekly ORDER BY week DESC, plant_id, dc_id
 
 -- :worst_lanes_13w avg_freight_cost_per_ton_13w, avg_premium_freight_pct_13w, freight_cost_usd_13w, tons_13w
 SELECT plant_id, dc_id, avg(freight_cost_per_ton) AS avg_freight_cost_per_ton_13w,
@@ -288,7 +288,7 @@ LEFT JOIN (SELECT DISTINCT week, dc_id, region FROM kpi_otif_weekly) r ON r.week
 GROUP BY 1, 2, 3
 
 -- :energy_recent energy_kwh, energy_kwh_per_unit
-SELECT * FROM kpi_energy_intensity_weekly ORDER BY week DESC, plant_id, sku_family LIMIT 50
+SELECT * FROM kpi_energy_intensity_weekly ORDER BY week DESC, plant_id, sku_family
 
 -- :energy_13w avg_energy_kwh_per_unit_13w
 SELECT plant_id, sku_family, avg(energy_kwh_per_unit) AS avg_energy_kwh_per_unit_13w
@@ -323,10 +323,10 @@ SELECT order_week AS week, CAST(sum(units_ordered - units_shipped) AS DOUBLE) AS
 FROM live_orders WHERE customer_region = 'ASIA' AND sku_family = 'pipe' GROUP BY 1
 
 -- :mape_by_sku avg_mape
-SELECT * FROM sku_mape ORDER BY round(avg_mape, 9) DESC, sku_id, region LIMIT 100
+SELECT * FROM sku_mape ORDER BY round(avg_mape, 9) DESC, sku_id, region
 
 -- :mape_by_sku_family avg_mape
-SELECT * FROM sku_mape WHERE sku_family = 'pipe' ORDER BY round(avg_mape, 9) DESC, sku_id, region LIMIT 100
+SELECT * FROM sku_mape WHERE sku_family = 'pipe' ORDER BY round(avg_mape, 9) DESC, sku_id, region
 
 -- :mape_sku_summary avg_mape, worst_mape, best_mape
 SELECT count(DISTINCT sku_id) AS skus_analyzed, avg(avg_mape) AS avg_mape, max(avg_mape) AS worst_mape, min(avg_mape) AS best_mape
@@ -420,12 +420,12 @@ WHERE m.region = 'ASIA' AND m.sku_family = 'pipe'
 SELECT * FROM series_mape_naive ORDER BY round(avg_mape, 9) DESC, sku_family, region LIMIT 10
 
 -- :demand_vs_forecast_recent_naive forecast_units
-SELECT * FROM demand_vs_naive ORDER BY week DESC, sku_family, region LIMIT 4000
+SELECT * FROM demand_vs_naive ORDER BY week DESC, sku_family, region
 
 -- :demand_vs_forecast_series_naive
 SELECT week, sku_family, region, format('{:,.0f}', CAST(actual_units AS DOUBLE)) AS "Actual Units",
        format('{:,.0f}', forecast_units) AS "Forecast Units", format('{:,.0f}', forecast_units_future) AS "Future Forecast Units"
-FROM (SELECT * FROM demand_vs_forecast_weekly_naive WHERE region = 'ASIA' AND sku_family = 'pipe' ORDER BY week DESC LIMIT 52)
+FROM (SELECT * FROM demand_vs_forecast_weekly_naive WHERE region = 'ASIA' AND sku_family = 'pipe' ORDER BY week DESC)
 
 -- :demand_outlook_naive forecast_units, forecast_units_future
 SELECT week, sku_family, region, actual_units, v.forecast_units, f.forecast_units AS forecast_units_future
@@ -449,7 +449,7 @@ WHERE week >= (SELECT d FROM as_of) AND week < (SELECT d + 28 FROM as_of) GROUP
 SELECT week, sku_family, region, actual_units, forecast_units, ape FROM naive_errors
 
 -- :mape_by_family_region_naive avg_mape
-SELECT * FROM series_mape_naive ORDER BY round(avg_mape, 9) DESC, sku_family, region LIMIT 50
+SELECT * FROM series_mape_naive ORDER BY round(avg_mape, 9) DESC, sku_family, region
 
 -- :mape_family_summary_naive avg_mape
 SELECT sku_family, avg_mape, half_up(avg_mape * 100, 1) || '%' AS avg_mape_pct FROM family_mape_naive
@@ -483,7 +483,7 @@ SELECT order_date, customer_region, channel, dc_id, plant_id, sku_family, units_
        late_risk_flag, actual_late
 FROM scored_by_rule
 ORDER BY order_date DESC, order_id, customer_region, channel, dc_id, plant_id, sku_family, units_ordered, days_to_request,
-         late_risk_prob, late_risk_flag, actual_late LIMIT 5000
+         late_risk_prob, late_risk_flag, actual_late
 
 -- :late_risk_top_orders_heuristic late_risk_prob
 SELECT order_id, order_date, customer_region AS region, plant_id, dc_id, sku_family, half_up(late_risk_prob, 3) AS late_risk_prob
@@ -492,15 +492,15 @@ ORDER BY round(scored_by_rule.late_risk_prob, 9) DESC, order_id, order_date, cus
 
 -- :high_risk_orders_heuristic late_risk_prob
 SELECT order_date, customer_region, sku_family, late_risk_prob FROM scored_by_rule WHERE late_risk_prob >= CAST(0.25 AS DOUBLE)
-ORDER BY order_date DESC, order_id, round(late_risk_prob, 9) DESC, customer_region, sku_family LIMIT 10
+ORDER BY order_date DESC, order_id, round(late_risk_prob, 9) DESC, customer_region, sku_family
 
 -- :late_risk_hotspots_weekly_heuristic avg_late_risk
 SELECT CAST(date_trunc('week', order_date) AS DATE) AS week, customer_region, sku_family, avg(late_risk_prob) AS avg_late_risk
-FROM scored_by_rule GROUP BY 1, 2, 3 ORDER BY round(avg(late_risk_prob), 9) DESC, 1, 2, 3 LIMIT 50
+FROM scored_by_rule GROUP BY 1, 2, 3 ORDER BY round(avg(late_risk_prob), 9) DESC, 1, 2, 3
 
 -- :risk_hotspots_heuristic late_risk_prob
 SELECT * FROM (SELECT customer_region, sku_family, avg(late_risk_prob) AS late_risk_prob FROM scored_by_rule GROUP BY 1, 2)
-ORDER BY round(late_risk_prob, 9) DESC, 1, 2 LIMIT 12
+ORDER BY round(late_risk_prob, 9) DESC, 1, 2
 
 -- :risk_summary_heuristic avg_risk, max_risk
 SELECT count(*) AS orders_scored, count(*) FILTER (WHERE late_risk_prob >= CAST(0.25 AS DOUBLE)) AS high_risk_orders,

@@ -80,7 +80,9 @@ def test_materialize_to_tables_and_read_them_back(spark, small, schema):
     comment = spark.catalog.getTable(f"{schema}.kpi_otif_weekly").description
     assert comment.startswith("Gold:")
     spark.range(1).createOrReplaceTempView("kpi_freight_weekly")  # not part of the schema
-    again = Workspace.from_schema(spark, schema, EngineConfig(as_of=date(2001, 8, 1)))
+    again = Workspace.from_schema(
+        spark, schema, EngineConfig(as_of=date(2001, 8, 1)), reuse=("kpi_otif_weekly", "weekly_demand_actual")
+    )
     spark.catalog.dropTempView("kpi_freight_weekly")
     assert sorted(again._fixed) == ["kpi_otif_weekly", "weekly_demand_actual"]
     assert sorted(again.run("worst_dcs_13w").collect()) == sorted(small.run("worst_dcs_13w").collect())
@@ -101,6 +103,74 @@ def test_materialize_to_the_shared_folder(spark, small):
     assert ws["kpi_freight_weekly"].inputFiles() != small["kpi_freight_weekly"].inputFiles()
 
 
+def test_materialize_twice_to_a_path(spark, small, tmp_path):
+    ws = Workspace(spark, small.source_dir)
+    for _ in range(2):
+        ws.materialize("kpi_freight_weekly", path=str(tmp_path))
+    assert ws["kpi_freight_weekly"].count() == small["kpi_freight_weekly"].count()
+    assert [p.name for p in tmp_path.iterdir()] == ["kpi_freight_weekly"]
+
+
+def test_materialize_twice_to_a_table(spark, small, schema):
+    ws = Workspace(spark, small.source_dir)
+    for _ in range(2):
+        ws.materialize("kpi_freight_weekly", schema=schema)
+    assert ws["kpi_freight_weekly"].count() == small["kpi_freight_weekly"].count()
+
+
+def test_a_path_may_replace_what_it_was_read_from(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.overwrite_path(spark.range(5), path)
+    assert sinks.overwrite_path(spark.read.parquet(path).where("id > 1"), path).count() == 3
+
+
+def test_a_schema_gives_bronze_only_so_derived_tables_follow_it(spark, small, schema):
+    sinks.overwrite_table(orders(spark, line()), f"{schema}.bronze_erp_orders_raw")
+    Workspace.from_schema(spark, schema).materialize("weekly_demand_actual", schema=schema)
+    sinks.overwrite_table(orders(spark, line(), line("O2")), f"{schema}.bronze_erp_orders_raw")
+    units = lambda ws: ws["weekly_demand_actual"].agg(F.sum("actual_units")).first()[0]
+    new, old = (units(Workspace.from_schema(spark, schema, reuse=r)) for r in ((), ("weekly_demand_actual",)))
+    assert new == 2 * old
+    with pytest.raises(KeyError):
+        Workspace.from_schema(spark, schema, reuse=("kpi_otif_weekly",))
+
+
+def test_live_frames_outlast_a_materialize(spark, small):
+    ws = Workspace(spark, small.source_dir, published=("kpi_otif_weekly", "weekly_demand_actual"))
+    live = ws["kpi_otif_weekly"], ws["weekly_demand_actual"]
+    ws.materialize("weekly_demand_actual").materialize("kpi_otif_weekly")
+    assert all(frame.count() for frame in live)
+
+
+def test_branches_share_published_tables_until_released(spark, small):
+    ws = Workspace(spark, small.source_dir, published=("weekly_demand_actual",))
+    files = [ws.with_config(horizon_weeks=n)["weekly_demand_actual"].inputFiles() for n in (4, 5)]
+    assert files[0] and files[0] == files[1] == ws["weekly_demand_actual"].inputFiles()
+    folder = Path(ws._folder.removeprefix("file:"))
+    assert folder.exists()
+    ws.release()
+    assert not folder.exists()
+
+
+def test_replaced_orders_move_today(spark, small):
+    ws = Workspace(spark, small.source_dir)
+    before = ws._newest
+    later = ws["orders"].withColumn("o_orderdate", F.date_add("o_orderdate", 100))
+    assert ws.with_tables(orders=later)._newest == before + timedelta(days=100)
+
+
+def test_no_region_means_all(small):
+    assert small.run("otif_region_weeks", region=None).count() == small["kpi_otif_weekly"].count()
+    assert small.run("worst_dcs_13w", region=None).count() > 0
+
+
+def test_pivot_takes_its_regions_from_the_errors(spark):
+    rows = [(date(2001, 1, 1), "pipe", "Midwest", 0.5)]
+    errors = spark.createDataFrame(rows, "week date, sku_family string, region string, mape double")
+    pivot = Workspace(spark, tables={"kpi_mape_weekly": errors}).run("mape_pivot")
+    assert pivot.columns == ["sku_family", "Midwest"] and pivot.first().Midwest == 0.5
+
+
 def test_published_tables_are_written_once(spark, small):
     ws = Workspace(spark, small.source_dir, published=("kpi_otif_weekly",))
     files = ws["kpi_otif_weekly"].inputFiles()
