@@ -28,6 +28,7 @@ MOST_HASHES = 240  # MinHash values a document
 TILE = 1024  # documents a side of a tile
 COLUMNS = 4096  # n-grams a matrix product counts at once
 STEP = 1024  # n-grams hashed at once
+SALTS = 32  # parts in which the documents of one level of a large cluster meet its figures
 
 
 def banding(similarity: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -260,7 +261,9 @@ def _tiles(candidate: DataFrame, similarity: float) -> DataFrame:
     def pair(a, b, side):
         return at(F.concat_ws("-", F.lit("t"), F.col("cluster").cast("string"), a, b), F.lit(side))
 
-    cut = sized.join(large, ["cluster", "level"]).withColumn("block", own)
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(F.lit("salt"), "row"), F.lit(SALTS)).cast("int")
+    cut = sized.withColumn("salt", salt).join(large, ["cluster", "level", "salt"]).withColumn("block", own)
     same = meets(
         F.col("level"),
         F.col("blocks"),
