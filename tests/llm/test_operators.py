@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from haulcast.llm import dom_marginals, log_bilinear, positive_unlabelled
 from haulcast.llm.best_fit_packing import best_fit, best_fit_packing
 from haulcast.llm.embedding_near_dedup import embedding_near_dedup
-from haulcast.llm.licence_scan import licence_scan
+from haulcast.llm.licence_scan import TEMPLATES, licence_scan
 from haulcast.llm.ngram_jaccard_join import ngram_jaccard_join
 from haulcast.llm.robust_outliers import robust_outliers
 from haulcast.llm.sequence_files import read_documents, write_sequences
@@ -174,6 +174,26 @@ def test_licences_and_look_alikes(spark):
     assert got == {0: (["mit"], [1]), 1: (["cc-by-nc-4.0"], [1]), 2: ([], []), 3: ([], []), 4: ([], [])}
 
 
+NOTICES = {
+    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "mit": "Released under the MIT License.",
+    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "bsd": "Released under the BSD license.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "proprietary": "All rights reserved.",
+}
+
+
+def test_a_licence_line_of_every_family(spark):
+    assert set(NOTICES) == set(TEMPLATES)
+    rows = [(i, f"{prose(i, 30)}\n{t}\n{prose(i + 50, 30)}") for i, t in enumerate(NOTICES.values())]
+    got = {r.doc_id: (r.families, r.paragraphs) for r in licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ([f], [1]) for i, f in enumerate(NOTICES)}
+
+
 def test_messages_give_exact_marginals():
     p = dom_marginals.train(dom_marginals.built_pages())
     tree = dom_marginals.parse("<div><p>Some text here, and more.</p><nav><a href=x>Go</a></nav></div>")
