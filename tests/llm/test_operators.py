@@ -194,6 +194,32 @@ def test_a_licence_line_of_every_family(spark):
     assert got == {i: ([f], [1]) for i, f in enumerate(NOTICES)}
 
 
+WRAPPED = [
+    ("bsd", """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""),
+    ("gpl-3.0", """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by"""),
+    ("mit", """Permission is hereby granted,
+free of charge, to any person
+obtaining a copy of this
+software and associated
+documentation files"""),
+]
+
+
+def test_wrapped_notices(spark):
+    """A wrapped notice is one licence with its span; a line without a word between its lines ends it; lines of two notices stay two."""
+    rows = [f"{prose(i, 30)}\n{t}\n{prose(i + 50, 30)}" for i, (_, t) in enumerate(WRAPPED)]
+    want = [([f], [1], [1 + t.count("\n")]) for f, t in WRAPPED]
+    rows += [WRAPPED[0][1].replace("\n", "\n\n"), "Released under the MIT License.\nReleased under the MIT License."]
+    want += [([], [], []), (["mit"], [0, 1], [0, 1])]
+    rows.append("\n".join(t for _, t in WRAPPED))
+    want.append((["bsd", "gpl-3.0", "mit"], [0, 3, 5], [2, 4, 9]))
+    got = licence_scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.families, r.paragraphs, r.last_lines) for r in got} == dict(enumerate(want))
+
+
 def test_messages_give_exact_marginals():
     p = dom_marginals.train(dom_marginals.built_pages())
     tree = dom_marginals.parse("<div><p>Some text here, and more.</p><nav><a href=x>Go</a></nav></div>")
