@@ -60,6 +60,7 @@ def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
     """
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     given = given.withColumns({"size": n_words(F.col("doc.text")), "input": F.monotonically_increasing_id()})
+    given = publish(given, "numbered")  # numbered once: a second scan of the source may be split otherwise
     slim = given.select(
         F.col("doc.source").alias("source"), "size", F.md5(F.col("doc.doc_id").cast("string")).alias("key"),
         F.col("doc.doc_id").alias("doc_id"), "input",

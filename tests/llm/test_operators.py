@@ -106,6 +106,26 @@ def test_mix_keeps_rows_and_bounds(docs):
     assert repeated(mixed).count() == sum(r.copies for r in rows)
 
 
+def test_mix_keeps_every_row_if_later_scans_are_split_otherwise(spark, docs):
+    path = new_path(spark, "source")
+    docs.repartition(8).write.parquet(path)
+    mixed = systematic_mix(spark.read.parquet(path)).select("doc.doc_id", "doc.source", "size", "source_size", "copies")
+    conf = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    given = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = mixed.collect()
+    finally:
+        for k, v in given.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == docs.count()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r.size
+    assert all(r.source_size == sizes[r.source] for r in rows)
+
+
 def test_base_counts(docs):
     for r in robust_outliers(docs).collect():
         text = r.doc.text or ""
