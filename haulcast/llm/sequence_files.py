@@ -70,6 +70,32 @@ class Writer:
             x.close()
 
 
+class Sequences:
+    """Sequence i of a file and its mask, as read-only slices of the memory-mapped file; nothing is copied.
+
+    The file must be in a local file system, as only that can be mapped.
+    """
+
+    def __init__(self, path: str):
+        system, local = fs.FileSystem.from_uri(path)
+        if not isinstance(system, fs.LocalFileSystem):
+            raise ValueError(f"only a local file can be memory-mapped: {path}")
+        self.mapped = pa.memory_map(local)
+        self.batches = list(pa.ipc.open_stream(self.mapped))
+        self.ends = np.cumsum([len(b) for b in self.batches], dtype=np.int64)
+
+    def __len__(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k = int(np.searchsorted(self.ends, i, "right"))
+        at = i - (int(self.ends[k]) - len(self.batches[k]))
+        ids, mask = (self.batches[k].column(c)[at].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+        return ids, mask
+
+
 def write_sequences(docs: DataFrame, folder: str, tokenizer_json: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """``file_no, path, n_docs, n_tokens``: the files written for ``docs(doc_id, text)``, in ascending order of doc_id.
 

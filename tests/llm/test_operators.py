@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,7 +20,7 @@ from haulcast.llm.embedding_near_dedup import embedding_near_dedup
 from haulcast.llm.licence_scan import TEMPLATES, licence_scan
 from haulcast.llm.ngram_jaccard_join import ngram_jaccard_join
 from haulcast.llm.robust_outliers import robust_outliers
-from haulcast.llm.sequence_files import read_documents, write_sequences
+from haulcast.llm.sequence_files import Sequences, read_documents, write_sequences
 from haulcast.llm.storage import new_path
 from haulcast.llm.systematic_mix import repeated, systematic_mix, targets
 
@@ -75,6 +76,25 @@ def test_sequence_files_round_trip(spark, docs):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
+def test_memory_mapped_sequences(spark, docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files = write_sequences(docs, new_path(spark, "sequences"), Path(path).read_text(), length=16).collect()
+    assert files
+    for file in files:
+        with pa.OSFile(file.path.removeprefix("file://")) as data:
+            table = pa.ipc.open_stream(data).read_all()
+        streamed = list(zip(table.column("ids").to_pylist(), table.column("mask").to_pylist()))
+        mapped = Sequences(file.path)
+        held = pa.total_allocated_bytes()
+        assert len(mapped) == len(streamed) > 256
+        for i in reversed(range(len(mapped))):
+            ids, mask = mapped[i]
+            assert (ids.tolist(), mask.tolist()) == streamed[i] and not ids.flags.writeable
+        assert pa.total_allocated_bytes() == held
+        with pytest.raises(IndexError):
+            mapped[len(mapped)]
+
+
 def reshared(sizes, weights):
     """Targets by repeated resharing, as the contract words it."""
     total, full = sum(sizes), set()
