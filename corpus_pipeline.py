@@ -9,7 +9,7 @@ from haulcast.llm import positive_unlabelled
 from haulcast.llm.best_fit_packing import best_fit_packing
 from haulcast.llm.ngram_jaccard_join import ngram_jaccard_join
 from haulcast.llm.robust_outliers import robust_outliers
-from haulcast.llm.storage import new_path
+from haulcast.llm.storage import new_path, publish
 from haulcast.llm.systematic_mix import repeated, systematic_mix
 
 
@@ -25,13 +25,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that of the smallest doc_id, once if its row is repeated.
+    """One row of each near-duplicate class: that of the smallest doc_id, or one without an id if the class has no other.
 
-    Rows without an id are classes of their own only by text, so they all stay.
+    Rows are told apart by a key of their own, so repeated and null ids lose no class and keep no copy.
     """
-    kept = ngram_jaccard_join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    given = publish(given.withColumn("key", F.monotonically_increasing_id()), "numbered")
+    classes = ngram_jaccard_join(given.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text")))
+    known = given.select("key", F.col("doc.doc_id").alias("id")).join(classes.withColumnRenamed("doc_id", "key"), "key")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first")
+    kept = known.groupBy("class_id").agg(first).select("first.key")
+    return given.join(kept, "key", "left_semi").select("doc.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

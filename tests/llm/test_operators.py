@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from corpus_pipeline import near_duplicates
 from haulcast.llm import dom_marginals, log_bilinear, positive_unlabelled
 from haulcast.llm.best_fit_packing import best_fit, best_fit_packing
 from haulcast.llm.embedding_near_dedup import embedding_near_dedup
@@ -146,6 +147,18 @@ def test_mix_keeps_every_row_if_later_scans_are_split_otherwise(spark, docs):
     assert all(r.source_size == sizes[r.source] for r in rows)
 
 
+def test_near_duplicates_keep_one_row_of_every_class(spark):
+    """Ids repeated over different texts lose no class; rows without an id keep no copy."""
+    a, b, c, d = (prose(i, 200) for i in (1, 2, 3, 4))
+    near = lambda t: t + " thirteen"
+    rows = [(1, a), (1, b), (1, near(a)), (2, b), (None, c), (None, near(c)), (None, a), (3, d), (3, d), (4, near(d)), (5, None)]
+    table = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in near_duplicates(spark, table, "").collect()]
+    kept = lambda i, *texts: sum((i, t) in got for t in texts)
+    assert len(got) == 5
+    assert kept(1, a, near(a)) == kept(1, b) == kept(None, c, near(c)) == kept(3, d) == kept(5, None) == 1
+
+
 def test_base_counts(docs):
     for r in robust_outliers(docs).collect():
         text = r.doc.text or ""
