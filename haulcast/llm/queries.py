@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from pathlib import Path
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from haulcast.llm import dom_marginals, log_bilinear, positive_unlabelled
+from haulcast.llm import dom_marginals, log_bilinear, merkle_manifest, positive_unlabelled
 from haulcast.llm.best_fit_packing import best_fit_packing
 from haulcast.llm.embedding_near_dedup import embedding_near_dedup
 from haulcast.llm.licence_scan import licence_scan
@@ -102,6 +103,30 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its proof, and the root that proof leads to; every fifth document is presented in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    capitals = string.ascii_uppercase
+    altered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    presented = F.when(altered, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    fields = [F.col(c) for c in merkle_manifest.FIELDS]
+    own = merkle_manifest.leaf_digest(fields).alias("leaf")
+    other = F.when(altered, merkle_manifest.leaf_digest([*fields[:-1], presented])).alias("presented")
+    manifest = merkle_manifest.build(docs.select("doc_id", "source", own, other))
+    proved = merkle_manifest.prove(manifest)
+    subroots = manifest.trees.select("tree", F.col("digest").alias("subroot"))
+    root = F.lit(manifest.root).cast("string")
+    found = proved.join(subroots, "tree").select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        root.alias("root"),
+        merkle_manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+        merkle_manifest.fold(F.coalesce("presented", "leaf"), F.col("proof")).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return operators | {"pipeline": corpus_pipeline.run}
