@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from haulcast.llm import dom_marginals, log_bilinear, merkle_manifest, positive_unlabelled
 from haulcast.llm.best_fit_packing import best_fit_packing
+from haulcast.llm.chat_format import chat_format, read_back
 from haulcast.llm.embedding_near_dedup import embedding_near_dedup
 from haulcast.llm.licence_scan import licence_scan
 from haulcast.llm.ngram_jaccard_join import ngram_jaccard_join
 from haulcast.llm.robust_outliers import robust_outliers
 from haulcast.llm.sequence_files import read_documents, write_sequences
-from haulcast.llm.storage import new_path
+from haulcast.llm.storage import new_path, publish
 from haulcast.llm.systematic_mix import systematic_mix
 
 SQL = Path(__file__).with_name("sql")
@@ -127,6 +128,28 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that says control strings, as read back from the strings and masks it was written as."""
+    tricky = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
+    read = read_back(publish(chat_format(turns.unionByName(own)), "chats"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return operators | {"pipeline": corpus_pipeline.run}
