@@ -21,6 +21,7 @@ from haulcast.llm.robust_outliers import robust_outliers
 from haulcast.llm.sequence_files import read_documents, write_sequences
 from haulcast.llm.storage import new_path, publish
 from haulcast.llm.systematic_mix import systematic_mix
+from haulcast.llm.tokenizer_alignment import tokenizer_alignment
 
 SQL = Path(__file__).with_name("sql")
 
@@ -150,6 +151,13 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between its byte-level and its sentence-piece tokens."""
+    byte_json = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+    pieces = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return tokenizer_alignment(table(spark, sf_dir, "documents"), byte_json, public_tokenizers.PATTERN, pieces)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return operators | {"pipeline": corpus_pipeline.run}

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import random
-import zlib
+from collections import Counter
 from itertools import groupby
+from pathlib import Path
 
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from haulcast.llm import chat_format as chat
 from haulcast.llm import merkle_manifest as merkle
+from haulcast.llm import tokenizer_alignment as alignment
 
 
 def sha(text: str) -> str:
@@ -152,3 +157,98 @@ def test_escaping_is_reversible_and_leaves_no_control_string(spark):
 
 def test_no_chats(spark):
     assert chat.read_back(chat.chat_format(spark.createDataFrame([], CHAT))).count() == 0
+
+
+BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def align(docs):
+    return alignment.tokenizer_alignment(docs, Path(BYTES).read_text(), public_tokenizers.PATTERN, Path(PIECES).read_bytes())
+
+
+def plain_alignment(texts: list[str | None]) -> list[tuple]:
+    """The contract's columns by direct comparison of byte ranges, without windows, blocks or the faster encoder."""
+    first = Tokenizer.from_file(BYTES)
+    first.encode_special_tokens = True
+    second = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    table = alignment.byte_of()
+    rows, held = [], Counter()
+    for text in texts:
+        a = first.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = second.encode(text, num_threads=1) if text else []
+        left = [bytes(table[c] for c in first.id_to_token(i)) for i in a]
+        right = [bytes([int(p[3:5], 16)]) if second.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in ((i, second.id_to_piece(i)) for i in b)]
+        if not text or b"".join(left) != (" " + text).encode() or b"".join(right) != (" " + text).encode():
+            rows.append(None)
+            continue
+        end, ends = 0, []
+        for t in left:
+            ends.append(end := end + len(t))
+        other, end = [], 0
+        for t in right:
+            other.append(end := end + len(t))
+        cuts = sorted(set(ends) & set(other))
+        groups = [([], []) for _ in cuts]
+        for ids, at, side in ((a, ends, 0), (b, other, 1)):
+            k = 0
+            for i, e in zip(ids, at):
+                while e > cuts[k]:
+                    k += 1
+                groups[k][side].append(i)
+        links = Counter((x, y) for xs, ys in groups for x in xs for y in ys)
+        held.update(links.keys())
+        rows.append((len(a), len(b), groups, links))
+    highest = {}
+    for (x, _), n in held.items():
+        highest[x] = max(highest.get(x, 0), n)
+    out = []
+    for row in rows:
+        if row is None:
+            out.append((0, 0, 0, 0, 0, 0, ""))
+            continue
+        n_a, n_b, groups, links = row
+        written = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        best = sum(n for (x, y), n in links.items() if held[x, y] == highest[x])
+        out.append((n_a, n_b, len(groups), sum(links.values()), best, sum(n * held[k] for k, n in links.items()), sha(written)))
+    return out
+
+
+def alignment_texts(spark) -> list[str | None]:
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    odd = [None, "", " ", "a", "  two  spaces ", "\u2581", "a\u2581b", "<s>hi</s><|endoftext|>", "\n\n\tx\r\n", "\U0001f600\u0301 e\u0301", "x" * 5000, "\x00", "日本語 текст", "  "]
+    return given + odd + ["the same text"] * 5
+
+
+def test_alignment_against_byte_ranges(spark, monkeypatch):
+    texts = alignment_texts(spark)
+    docs = spark.createDataFrame([(i if i % 9 else None, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, windows string, a int")
+    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    expected = sorted(zip([i if i % 9 else None for i in range(len(texts))], plain_alignment(texts)), key=repr)
+    got = sorted(((r.doc_id, tuple(r[n] for n in names)) for r in align(docs.repartition(3)).collect()), key=repr)
+    assert got == expected
+
+
+def test_alignment_in_many_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(alignment, "REMEMBERED", 50)
+    texts = alignment_texts(spark)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert alignment.aligned(docs, Path(BYTES).read_text(), public_tokenizers.PATTERN, Path(PIECES).read_bytes()).select("block").distinct().count() > 5
+    got = sorted((r.doc_id, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in align(docs).collect())
+    assert got == [(i, r[3], r[4], r[5], r[6]) for i, r in enumerate(plain_alignment(texts))]
+
+
+def test_alignment_of_nothing(spark):
+    assert align(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert [tuple(r) for r in align(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_the_faster_encoder_gives_the_library_s_ids():
+    library = Tokenizer.from_file(BYTES)
+    library.encode_special_tokens = True
+    faster = alignment.ByteTokens(Path(BYTES).read_text(), public_tokenizers.PATTERN)
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 2048):
+        text = "".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)}.{chr(c)}{chr(c)} 's{chr(c)}" for c in points[i : i + 2048])
+        assert faster.encode(text).tolist() == library.encode(" " + text, add_special_tokens=False).ids
