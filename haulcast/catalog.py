@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from haulcast.functions.expressions import shown
 from haulcast.operators.ridge import NAIVE
-from haulcast.operators.silver import SIGNALS
 from haulcast.session import size_shuffles
 from haulcast.workspace import Workspace
 
-DIGITS = 6
-
 TABLES = """
 bronze_erp_orders_raw bronze_tms_shipments_raw bronze_production_output_raw bronze_inventory_positions_raw
 bronze_external_signals_raw bronze_plant_locations bronze_dc_locations
@@ -63,6 +58,15 @@ recent_scored_orders late_risk_top_orders high_risk_orders late_risk_hotspots_we
 risk_histogram mv_late_risk_by_region
 """.split()
 
+# Registered runs that show one region or one series; without options these queries return all of them.
+REGION = {"region": "ASIA"}
+ONE_SERIES = {**REGION, "sku_family": "pipe"}
+SLICES = {
+    **dict.fromkeys(("otif_region_weeks", "worst_dcs_13w"), REGION),
+    **dict.fromkeys(("planner_actual_slice", "backorders_weekly", "planner_backtest_slice", "planner_future_slice"), ONE_SERIES),
+    **dict.fromkeys(("planner_kpis", "demand_vs_forecast_series", "series_plot_data"), ONE_SERIES),
+}
+
 # The same query or dataset under other options.
 OPTIONS = {
     "mape_by_sku_family": ("mape_by_sku", {"sku_family": "pipe"}),
@@ -110,27 +114,13 @@ class Run:
         return ws.run(self.name, **dict(self.options))
 
 
-# Row-wise results: no sums in them, so their doubles are the same on every engine and stay as they are.
-ROW_WISE = frozenset(
-    """
-    bronze_erp_orders_raw bronze_tms_shipments_raw bronze_production_output_raw bronze_inventory_positions_raw
-    bronze_external_signals_raw bronze_plant_locations bronze_dc_locations silver_erp_orders silver_tms_shipments
-    silver_inventory_positions silver_production_output silver_plant_locations silver_dc_locations
-    plant_locations dc_locations shipment_costing sku_dim ensure_numeric late_risk_heuristic
-    """.split()
-)
-
-
-# Row-wise but for a few columns: means of signals, and a sine that engines compute in their own way.
-ROUNDED_COLUMNS = {"order_enrichment": ("season_annual",), "late_risk_features": SIGNALS}
-
-
 def runs() -> dict[str, Run]:
-    out = {name: Run(name) for name in (*TABLES, *QUERY_NAMES, *FORECAST_FED, *RISK_FED)}
+    names = (*TABLES, *QUERY_NAMES, *FORECAST_FED, *RISK_FED)
+    out = {name: Run(name, tuple(SLICES.get(name, {}).items())) for name in names}
     for alias, (name, options) in OPTIONS.items():
         out[alias] = Run(name, tuple(options.items()))
     for name in (*FORECAST_FED, *FORECAST_TABLES):
-        out[f"{name}_naive"] = Run(name, tuple(NAIVE_OPTIONS.get(name, {}).items()), on_naive)
+        out[f"{name}_naive"] = Run(name, tuple((SLICES.get(name, {}) | NAIVE_OPTIONS.get(name, {})).items()), on_naive)
     for name in RISK_FED:
         out[f"{name}_heuristic"] = Run(name, tuple(HEURISTIC_OPTIONS.get(name, {}).items()), on_heuristic)
     simple = (("recipe", "simple"), ("backtest_weeks", 26))
@@ -139,15 +129,6 @@ def runs() -> dict[str, Run]:
     return out
 
 
-def rounded(frame: DataFrame, columns: Collection[str] | None = None) -> DataFrame:
-    """Doubles (all, or the named ones) rounded, so results compare across engines that add in another order."""
-    doubles = [f.name for f in frame.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    chosen = set(doubles if columns is None else columns)
-    return frame.select(
-        *(shown(F.col(f"`{c}`"), DIGITS).alias(c) if c in chosen else F.col(f"`{c}`") for c in frame.columns)
-    )
-
-
 # Written to the shared folder when first read, and read from there by every query of the application.
 # Bronze order lines are the one wide join everything starts from: written once, all later work on them
 # is a scan of the columns it needs. The rest are weekly Gold tables, forecasts and scores, small next to
@@ -178,8 +159,7 @@ def workspace(spark: SparkSession, source_dir: str) -> Workspace:
 
 
 def run(name: str, spark: SparkSession, source_dir: str) -> DataFrame:
-    result = runs()[name](workspace(spark, source_dir))
-    return result if name in ROW_WISE else rounded(result, ROUNDED_COLUMNS.get(name))
+    return runs()[name](workspace(spark, source_dir))
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

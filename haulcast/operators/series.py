@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from haulcast.config import EngineConfig
 from haulcast.functions.expressions import season_angle
+from haulcast.operators.ridge import MEMORY
 from haulcast.operators.silver import SIGNALS
 from haulcast.workspace import dataset
 
@@ -80,10 +81,13 @@ def backtest_split(series_features: DataFrame, config: EngineConfig) -> DataFram
 
 @dataset
 def series_last_state(backtest_split: DataFrame) -> DataFrame:
-    """One row per series: last week, mean of its last four weeks, last known signals."""
+    """One row per series: last week, mean of its last four weeks, its last year in order, last known signals."""
     known = {s: F.max_by(s, F.when(F.col(s).isNotNull(), F.col("week"))) for s in SIGNALS}
+    year = F.sort_array(F.collect_list(F.when(F.col("t") >= F.col("n") - MEMORY, F.struct("t", "y"))))
     return backtest_split.groupBy(*SERIES).agg(
         F.max("week").alias("last_week"),
+        F.max("n").alias("n"),
+        year.getField("y").alias("recent"),
         F.avg(F.when(F.col("t") >= F.col("n") - 4, F.col("y"))).alias("last4_mean"),
         *(F.coalesce(v, F.lit(0.0)).alias(s) for s, v in known.items()),
     )

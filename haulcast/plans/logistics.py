@@ -61,13 +61,13 @@ def in_region(frame: DataFrame, region: str | None) -> DataFrame:
 
 
 @query
-def otif_region_weeks(kpi_otif_weekly, *, region="ASIA") -> DataFrame:
+def otif_region_weeks(kpi_otif_weekly, *, region=None) -> DataFrame:
     """OTIF by week and DC of one region or all (``None``), newest first."""
     return in_region(kpi_otif_weekly, region).orderBy(F.col("week").desc(), "dc_id")
 
 
 @query
-def worst_dcs_13w(kpi_otif_weekly, *, region="ASIA", weeks=13, count=10) -> DataFrame:
+def worst_dcs_13w(kpi_otif_weekly, *, region=None, weeks=13, count=10) -> DataFrame:
     """DCs with the lowest mean OTIF over the region's newest weeks."""
     recent = last_weeks(in_region(kpi_otif_weekly, region), weeks)
     by_dc = recent.groupBy("dc_id").agg(

@@ -14,8 +14,6 @@ from haulcast.operators.series import SERIES
 from haulcast.plans.ranking import top
 from haulcast.workspace import query
 
-REGION, FAMILY = "ASIA", "pipe"
-
 
 def one_series(frame: DataFrame, region: str | None, sku_family: str | None, region_column: str = "region") -> DataFrame:
     """Slice by region and family; ``None`` leaves that side open."""
@@ -27,21 +25,21 @@ def one_series(frame: DataFrame, region: str | None, sku_family: str | None, reg
 
 
 @query
-def planner_actual_slice(weekly_demand_actual, *, region=REGION, sku_family=FAMILY) -> DataFrame:
+def planner_actual_slice(weekly_demand_actual, *, region=None, sku_family=None) -> DataFrame:
     """Actual and shipped units of one series by week."""
     sliced = one_series(weekly_demand_actual, region, sku_family)
     return sliced.select("week", "actual_units", "shipped_units").orderBy("week")
 
 
 @query
-def planner_backtest_slice(demand_forecast_all, *, region=REGION, sku_family=FAMILY) -> DataFrame:
+def planner_backtest_slice(demand_forecast_all, *, region=None, sku_family=None) -> DataFrame:
     """Backtest forecasts of one series by week and model."""
     sliced = one_series(demand_forecast_all, region, sku_family).filter(F.col("is_backtest") == 1.0)
     return sliced.select("week", "forecast_units", "model_name").orderBy("week", "model_name")
 
 
 @query
-def planner_future_slice(demand_forecast_future, *, region=REGION, sku_family=FAMILY) -> DataFrame:
+def planner_future_slice(demand_forecast_future, *, region=None, sku_family=None) -> DataFrame:
     """Future forecasts of one series by week and model, with whatever bounds the source carries."""
     bounds = [c for c in ("lower_ci", "upper_ci") if c in demand_forecast_future.columns]
     sliced = one_series(demand_forecast_future, region, sku_family)
@@ -60,7 +58,7 @@ def backorders(orders: DataFrame) -> DataFrame:
 
 
 @query
-def backorders_weekly(silver_erp_orders, *, region=REGION, sku_family=FAMILY) -> DataFrame:
+def backorders_weekly(silver_erp_orders, *, region=None, sku_family=None) -> DataFrame:
     """Backorder proxy of one series by week."""
     return backorders(one_series(silver_erp_orders, region, sku_family, "customer_region"))
 
@@ -72,8 +70,8 @@ def planner_kpis(
     demand_forecast_all,
     silver_erp_orders,
     *,
-    region=REGION,
-    sku_family=FAMILY,
+    region=None,
+    sku_family=None,
     model=RIDGE,
 ) -> DataFrame:
     """Error, bias and backorders of one series, week by week over the backtest."""
@@ -110,7 +108,7 @@ def demand_outlook(weekly_demand_actual, demand_forecast, demand_forecast_future
 
 
 @query
-def demand_vs_forecast_series(demand_vs_forecast_weekly, *, region=REGION, sku_family=FAMILY, count=None) -> DataFrame:
+def demand_vs_forecast_series(demand_vs_forecast_weekly, *, region=None, sku_family=None, count=None) -> DataFrame:
     """One series formatted for display, newest weeks first."""
     rows = one_series(demand_vs_forecast_weekly, region, sku_family)
     newest = top(rows, count, F.col("week").desc(), "actual_units", "forecast_units", "forecast_units_future")
@@ -131,7 +129,7 @@ def demand_long(weekly_demand_actual, demand_forecast, *, region=None, sku_famil
 
 
 @query
-def series_plot_data(weekly_demand_actual, demand_forecast_all, *, region=REGION, sku_family=FAMILY) -> DataFrame:
+def series_plot_data(weekly_demand_actual, demand_forecast_all, *, region=None, sku_family=None) -> DataFrame:
     """One series: actuals with every model's forecast of the week."""
     actual = one_series(weekly_demand_actual, region, sku_family).select("week", F.col("actual_units").alias("actual"))
     predicted = one_series(demand_forecast_all, region, sku_family).select(

@@ -1,7 +1,10 @@
 """DuckDB statements the results are checked against, composed from tables.sql and queries.sql.
 
-``-- :name columns`` starts a block; the columns are doubles rounded in the result. A query
-gets a WITH clause holding exactly the tables it reads, directly or through other tables.
+``-- :name columns`` starts a block; the columns are doubles rounded in the result, ``column:3`` to
+three digits. A query gets a WITH clause holding exactly the tables it reads, directly or through
+other tables. ``-- :name@variant`` is a table's definition in the queries of that variant, or a query
+of that variant. A query ``x_naive``, over the four-week mean, also gives query ``x`` of variant
+``ridge``, where ``x`` is not written out: the same SQL over the ridge model's forecast.
 """
 
 from __future__ import annotations
@@ -10,7 +13,11 @@ import re
 from pathlib import Path
 
 DIGITS = 6
-_HEADER = re.compile(r"^-- :(\w+)[ \t]*(.*)$", re.MULTILINE)
+UNIT_DIGITS = 3
+# Forecast units of a model differ between solvers in their last bits, so they compare to fewer digits.
+UNITS = frozenset("forecast_units lower_ci upper_ci forecast_units_future units forecast".split())
+TWIN, NAIVE = "ridge", "_naive"
+_HEADER = re.compile(r"^-- :(\w+(?:@\w+)?)[ \t]*(.*)$", re.MULTILINE)
 
 
 def _expand(sql: str) -> str:
@@ -47,15 +54,31 @@ def _needed(body: str, tables: dict, found: dict[str, str]) -> None:
             found[word] = inner
 
 
+def _of(variant: str, tables: dict) -> dict:
+    """The tables as a variant defines them."""
+    own = {name.removesuffix(f"@{variant}"): block for name, block in tables.items() if variant and name.endswith(f"@{variant}")}
+    return {name: block for name, block in tables.items() if "@" not in name} | own
+
+
+def _rounded(column: str) -> str:
+    name, _, digits = column.partition(":")
+    return f'half_up("{name}", {digits or DIGITS}) AS "{name}"'
+
+
 def statements() -> dict[str, str]:
-    tables = _blocks("tables.sql")
+    tables, queries = _blocks("tables.sql"), _blocks("queries.sql")
+    named = {name.split("@")[0] for name in queries}
+    for name, (body, doubles) in list(queries.items()):
+        twin = name.removesuffix(NAIVE)
+        if twin != name and twin not in named:
+            queries[f"{twin}@{TWIN}"] = (body, [f"{c}:{UNIT_DIGITS}" if c in UNITS else c for c in doubles])
     out = {}
-    for name, (body, doubles) in _blocks("queries.sql").items():
+    for title, (body, doubles) in queries.items():
+        name, _, variant = title.partition("@")
         ctes: dict[str, str] = {}
-        _needed(body, tables, ctes)
+        _needed(body, _of(variant, tables), ctes)
         clause = ",\n".join(f"{t} AS (\n{sql}\n)" for t, sql in ctes.items())
         if doubles:
-            replaced = ", ".join(f'half_up("{c}", {DIGITS}) AS "{c}"' for c in doubles)
-            body = f"SELECT * REPLACE ({replaced}) FROM (\n{body}\n) AS result"
+            body = f"SELECT * REPLACE ({', '.join(map(_rounded, doubles))}) FROM (\n{body}\n) AS result"
         out[name] = _expand(f"WITH {clause}\n{body}" if clause else body)
     return out

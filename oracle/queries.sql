@@ -87,6 +87,43 @@ SELECT * FROM backtest_split
 -- :future_weeks last4_mean
 SELECT * FROM future_weeks
 
+-- :demand_forecast_all forecast_units:3, lower_ci:3, upper_ci:3
+SELECT * FROM forecasts
+
+-- :demand_forecast_all_simple@simple forecast_units:3, lower_ci:3, upper_ci:3
+SELECT * FROM forecasts
+
+-- :demand_forecast forecast_units:3, lower_ci:3, upper_ci:3
+SELECT * FROM chosen_forecast
+
+-- :ridge_backtest forecast_units:3, lower_ci:3, upper_ci:3
+SELECT * FROM chosen_forecast
+
+-- :demand_forecast_future forecast_units:3, lower_ci:3, upper_ci:3
+SELECT * EXCLUDE (is_backtest) FROM forecasts WHERE is_backtest = 0
+
+-- :ridge_future forecast_units:3, lower_ci:3, upper_ci:3
+SELECT * EXCLUDE (is_backtest) FROM forecasts WHERE is_backtest = 0 AND model_name = 'ridge_time_lags'
+
+-- :mape_by_series mape
+SELECT sku_family, region, model_name, avg(ape) AS mape FROM all_errors GROUP BY 1, 2, 3
+
+-- :mape_global mape_mean_across_series
+SELECT model_name, avg(m) AS mape_mean_across_series
+FROM (SELECT model_name, avg(ape) AS m FROM all_errors GROUP BY sku_family, region, model_name) GROUP BY 1
+
+-- :planner_backtest_slice forecast_units:3
+SELECT week, forecast_units, model_name FROM forecasts WHERE region = 'ASIA' AND sku_family = 'pipe' AND is_backtest = 1
+
+-- :planner_future_slice forecast_units:3, lower_ci:3, upper_ci:3
+SELECT week, forecast_units, lower_ci, upper_ci, model_name FROM forecasts
+WHERE region = 'ASIA' AND sku_family = 'pipe' AND is_backtest = 0
+
+-- :demand_outlook@ridge forecast_units:3, forecast_units_future:3
+SELECT week, sku_family, region, actual_units, v.forecast_units, f.forecast_units AS forecast_units_future
+FROM demand_vs_naive v
+FULL JOIN (SELECT * FROM naive_ma4_future WHERE model_name = 'ridge_time_lags') f USING (week, sku_family, region)
+
 -- :naive_ma4_backtest forecast_units
 SELECT * FROM naive_ma4_backtest
 

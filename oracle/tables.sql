@@ -242,13 +242,33 @@ FROM forecast_training_set GROUP BY 1, 2
 SELECT f.*, n, holdout_weeks, t >= n - holdout_weeks AS is_holdout
 FROM series_features f JOIN series_sizes USING (sku_family, region)
 
--- :naive_ma4_backtest
+-- :four_week_mean
 SELECT week, sku_family, region,
        coalesce(last_value(roll4 IGNORE NULLS) OVER (PARTITION BY sku_family, region ORDER BY week
                                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                 avg(y) OVER (PARTITION BY sku_family, region)) AS forecast_units
 FROM backtest_split WHERE is_holdout
 
+-- :naive_ma4_backtest
+SELECT * FROM four_week_mean
+
+-- :naive_ma4_backtest@ridge
+SELECT week, sku_family, region, forecast_units FROM chosen_forecast
+
+-- :naive_ma4_future@ridge
+SELECT week, sku_family, region, forecast_units, model_name FROM forecasts WHERE is_backtest = 0
+
+-- :naive_ma4_all@ridge
+SELECT week, sku_family, region, forecast_units, model_name, is_backtest FROM forecasts
+
+-- :series_sizes@simple
+SELECT sku_family, region, CAST(count(*) AS INTEGER) AS n, CAST(least(26, greatest(8, count(*) // 4)) AS INTEGER) AS holdout_weeks
+FROM forecast_training_set GROUP BY 1, 2
+
+-- :ridge_rows@simple
+SELECT 'train' AS fit, * FROM backtest_inputs_x WHERE NOT is_holdout AND usable
+QUALIFY count(*) OVER (PARTITION BY sku_family, region) >= 20
+
 -- :series_last_state
 SELECT sku_family, region, max(week) AS last_week, avg(y) FILTER (WHERE t >= n - 4) AS last4_mean,
        coalesce(arg_max(construction_index, week) FILTER (WHERE construction_index IS NOT NULL), 0) AS construction_index,
@@ -267,6 +287,121 @@ SELECT week, sku_family, region, last4_mean AS forecast_units FROM future_weeks
 SELECT *, 'naive_ma4' AS model_name, CAST(1.0 AS DOUBLE) AS is_backtest FROM naive_ma4_backtest
 UNION ALL SELECT *, 'naive_ma4', CAST(0.0 AS DOUBLE) FROM naive_ma4_future
 
+-- :ridge_rows
+SELECT * FROM (
+  SELECT 'train' AS fit, * FROM backtest_inputs_x WHERE NOT is_holdout AND usable
+  UNION ALL SELECT 'whole', * FROM backtest_inputs_x WHERE usable)
+QUALIFY count(*) OVER (PARTITION BY fit, sku_family, region) >= 20
+
+-- :backtest_inputs_x
+SELECT *, lag_1 IS NOT NULL AND lag_4 IS NOT NULL AND roll4 IS NOT NULL AS usable,
+       list_transform([t, sin_woy, cos_woy, lag_1, lag_4, lag_52, roll4, construction_index, precipitation_mm, avg_temp_c],
+                      lambda v: coalesce(v, 0.0)::DOUBLE) AS x
+FROM backtest_split
+
+-- :ridge_values
+SELECT fit, sku_family, region, week, y - avg(y) OVER s AS y, avg(y) OVER s AS level, i, v, avg(v) OVER f AS centre,
+       CASE WHEN stddev_pop(v) OVER f > 0 THEN stddev_pop(v) OVER f ELSE 1.0 END AS width
+FROM (SELECT fit, sku_family, region, week, y, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM ridge_rows)
+WINDOW f AS (PARTITION BY fit, sku_family, region, i), s AS (PARTITION BY fit, sku_family, region)
+
+-- :ridge_system
+SELECT fit, sku_family, region, list(line ORDER BY i) AS m
+FROM (SELECT fit, sku_family, region, i, list(value ORDER BY j) AS line
+      FROM (SELECT a.fit, a.sku_family, a.region, a.i, b.i AS j,
+                   sum((a.v - a.centre) / a.width * (b.v - b.centre) / b.width) + max(CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END) AS value
+            FROM ridge_values a JOIN ridge_values b USING (fit, sku_family, region, week) GROUP BY ALL
+            UNION ALL
+            SELECT fit, sku_family, region, i, 11, sum((v - centre) / width * y) FROM ridge_values GROUP BY ALL)
+      GROUP BY ALL)
+GROUP BY ALL
+
+-- :ridge_weights
+WITH RECURSIVE elimination AS (
+  SELECT fit, sku_family, region, 1 AS k, m FROM ridge_system
+  UNION ALL
+  SELECT fit, sku_family, region, k + 1, list_transform(m, lambda r, i:
+           CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+                ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END)
+  FROM elimination WHERE k <= 10)
+SELECT fit, sku_family, region, list_transform(m, lambda r: r[11]) AS weights FROM elimination WHERE k = 11
+
+-- :ridge_models
+SELECT fit, sku_family, region, slopes, intercept, spread
+FROM (SELECT fit, sku_family, region, list(weights[i] / width ORDER BY i) AS slopes,
+             any_value(level) - sum(centre * weights[i] / width) AS intercept
+      FROM (SELECT DISTINCT fit, sku_family, region, i, level, centre, width FROM ridge_values)
+      JOIN ridge_weights USING (fit, sku_family, region) GROUP BY 1, 2, 3)
+JOIN (SELECT fit, sku_family, region, stddev_pop(y - list_dot_product(slopes_, x)) AS spread
+      FROM ridge_rows JOIN (SELECT fit AS fit_, sku_family AS family_, region AS region_, list(weights[i] / width ORDER BY i) AS slopes_
+                            FROM (SELECT DISTINCT fit, sku_family, region, i, width FROM ridge_values)
+                            JOIN ridge_weights USING (fit, sku_family, region) GROUP BY 1, 2, 3)
+        ON fit_ = fit AND family_ = sku_family AND region_ = region
+      GROUP BY 1, 2, 3) USING (fit, sku_family, region)
+
+-- :step_spreads
+SELECT sku_family, region, CASE WHEN count(*) > 5 THEN stddev_pop(y - lag_1) ELSE 10.0 END AS step_spread
+FROM backtest_split WHERE NOT is_holdout GROUP BY 1, 2
+
+-- :spreads
+SELECT s.sku_family, s.region, coalesce(m.spread, step_spread, 10.0) AS spread
+FROM series_last_state s
+LEFT JOIN step_spreads t ON t.sku_family = s.sku_family AND t.region = s.region
+LEFT JOIN ridge_models m ON m.fit = 'train' AND m.sku_family = s.sku_family AND m.region = s.region
+
+-- :ridge_ahead
+WITH RECURSIVE ahead AS (
+  SELECT s.sku_family, s.region, last_week, last4_mean, [construction_index, precipitation_mm, avg_temp_c] AS signals,
+         slopes, intercept, 0 AS i, h.history, CAST(NULL AS DOUBLE) AS value
+  FROM series_last_state s
+  JOIN (SELECT sku_family, region, list(y ORDER BY t) AS history FROM backtest_split GROUP BY 1, 2) h
+    ON h.sku_family = s.sku_family AND h.region = s.region
+  JOIN ridge_models m ON m.fit = 'whole' AND m.sku_family = s.sku_family AND m.region = s.region
+  UNION ALL
+  SELECT sku_family, region, last_week, last4_mean, signals, slopes, intercept, i + 1, list_append(history, value), value
+  FROM (SELECT a.* EXCLUDE (value), greatest(0.0, intercept + list_dot_product(slopes, list_concat(
+                 [CAST(len(history) AS DOUBLE), sin(2 * pi() * weekofyear(last_week + CAST(7 * (i + 1) AS INTEGER)) / 52),
+                  cos(2 * pi() * weekofyear(last_week + CAST(7 * (i + 1) AS INTEGER)) / 52),
+                  coalesce(history[-1], last4_mean), coalesce(history[-4], last4_mean), coalesce(history[-52], last4_mean),
+                  CASE WHEN len(history) >= 4 THEN (history[-1] + history[-2] + history[-3] + history[-4]) / 4 ELSE last4_mean END],
+                 signals))) AS value
+        FROM ahead a WHERE i < 13))
+SELECT sku_family, region, last_week + CAST(7 * i AS INTEGER) AS week, value FROM ahead WHERE i > 0
+
+-- :raw_forecasts
+SELECT b.week, b.sku_family, b.region, b.forecast_units AS prediction, spread, 'naive_ma4' AS model_name, CAST(1.0 AS DOUBLE) AS is_backtest
+FROM four_week_mean b JOIN spreads p ON p.sku_family = b.sku_family AND p.region = b.region
+UNION ALL
+SELECT b.week, b.sku_family, b.region, coalesce(intercept + list_dot_product(slopes, x), b.forecast_units), p.spread, 'ridge_time_lags', 1.0
+FROM four_week_mean b
+JOIN spreads p ON p.sku_family = b.sku_family AND p.region = b.region
+JOIN backtest_inputs_x i ON i.week = b.week AND i.sku_family = b.sku_family AND i.region = b.region
+LEFT JOIN ridge_models m ON m.fit = 'train' AND m.sku_family = b.sku_family AND m.region = b.region
+UNION ALL
+SELECT f.week, f.sku_family, f.region, last4_mean, spread, 'naive_ma4', 0.0
+FROM future_weeks f JOIN spreads p ON p.sku_family = f.sku_family AND p.region = f.region
+UNION ALL
+SELECT f.week, f.sku_family, f.region, coalesce(value, last4_mean), coalesce(m.spread, p.spread), 'ridge_time_lags', 0.0
+FROM future_weeks f
+JOIN spreads p ON p.sku_family = f.sku_family AND p.region = f.region
+LEFT JOIN ridge_ahead a ON a.week = f.week AND a.sku_family = f.sku_family AND a.region = f.region
+LEFT JOIN ridge_models m ON m.fit = 'whole' AND m.sku_family = f.sku_family AND m.region = f.region
+
+-- :forecasts
+SELECT week, sku_family, region, greatest(0.0, prediction) AS forecast_units,
+       greatest(0.0, prediction - CAST(1.64 AS DOUBLE) * spread) AS lower_ci,
+       greatest(0.0, prediction + CAST(1.64 AS DOUBLE) * spread) AS upper_ci, model_name, is_backtest
+FROM raw_forecasts
+
+-- :chosen_forecast
+SELECT week, sku_family, region, forecast_units, lower_ci, upper_ci FROM forecasts WHERE model_name = 'ridge_time_lags' AND is_backtest = 1
+
+-- :all_errors
+SELECT week, sku_family, region, model_name,
+       CASE WHEN actual_units = 0 THEN CASE WHEN forecast_units = 0 THEN 0.0 ELSE 1.0 END
+            ELSE abs(actual_units - forecast_units) / actual_units END AS ape
+FROM weekly_demand_actual JOIN forecasts USING (week, sku_family, region) WHERE is_backtest = 1
+
 -- :naive_errors
 SELECT week, sku_family, region, actual_units, forecast_units,
        CASE WHEN actual_units = 0 THEN CASE WHEN forecast_units = 0 THEN 0.0 ELSE 1.0 END
