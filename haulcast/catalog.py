@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulcast.operators.ridge import NAIVE
-from haulcast.session import size_shuffles
 from haulcast.workspace import Workspace
 
 TABLES = """
@@ -19,12 +18,13 @@ bronze_external_signals_raw bronze_plant_locations bronze_dc_locations
 silver_erp_orders silver_tms_shipments silver_inventory_positions silver_production_output
 silver_external_signals silver_plant_locations silver_dc_locations
 weekly_demand_actual kpi_otif_weekly kpi_freight_weekly kpi_premium_freight_weekly kpi_energy_intensity_weekly
-control_tower_weekly lane_weekly
+control_tower_weekly lane_weekly weekly_sku_demand
 sku_dim customer_dim primary_dc_by_region calendar_spine calendar_features
 forecast_training_set series_features backtest_split future_weeks dense_week_grid
 naive_ma4_backtest naive_ma4_future demand_forecast_all demand_forecast demand_forecast_future
 kpi_mape_weekly mape_by_series mape_global mape_naive_by_series kpi_mape_sku_weekly demand_vs_forecast_weekly
-late_risk_features late_risk_heuristic order_late_risk_scored_ml late_risk_metrics freight_lanes
+late_risk_features late_risk_heuristic late_risk_heuristic_metrics order_late_risk_scored_ml late_risk_metrics
+late_risk_gradient freight_lanes
 """.split()
 
 QUERY_NAMES = """
@@ -47,14 +47,14 @@ ridge_future
 FORECAST_FED = """
 planner_backtest_slice planner_future_slice planner_kpis top_mape_problems demand_vs_forecast_recent
 demand_vs_forecast_series demand_outlook demand_long series_plot_data forecast_next_month
-ape_rows mape_by_family_region mape_family_summary mape_severity mape_pivot mape_baseline
+actual_vs_forecast_month ape_rows mape_by_family_region mape_family_summary mape_severity mape_pivot mape_baseline
 mv_mape_worst mv_mape_region
 """.split()
 FORECAST_TABLES = ("kpi_mape_weekly", "mape_by_series", "mape_global", "demand_vs_forecast_weekly")
 
 # Fed by scored orders: run once on the logistic model, once on the rule-based score.
 RISK_FED = """
-recent_scored_orders late_risk_top_orders high_risk_orders late_risk_hotspots_weekly risk_hotspots risk_summary
+recent_scored_orders late_risk_top_orders late_risk_this_week high_risk_orders late_risk_hotspots_weekly risk_hotspots risk_summary
 risk_histogram mv_late_risk_by_region
 """.split()
 
@@ -133,18 +133,27 @@ def runs() -> dict[str, Run]:
 # Bronze order lines are the one wide join everything starts from: written once, all later work on them
 # is a scan of the columns it needs. The rest are weekly Gold tables, forecasts and scores, small next to
 # the orders they sum up and each read by many queries.
-PUBLISHED = (
-    "bronze_erp_orders_raw",
-    "silver_external_signals",
-    "weekly_demand_actual",
-    "kpi_otif_weekly",
-    "kpi_freight_weekly",
-    "kpi_energy_intensity_weekly",
-    "control_tower_weekly",
-    "demand_forecast_all",
-    "kpi_mape_sku_weekly",
-    "order_late_risk_scored_ml",
-)
+# Order lines are laid out by order date, so a trailing window reads the row groups of its days only.
+PUBLISHED = {
+    "bronze_erp_orders_raw": ("order_date",),
+    **dict.fromkeys(
+        (
+            "bronze_external_signals_raw",
+            "silver_external_signals",
+            "weekly_sku_demand",
+            "weekly_demand_actual",
+            "kpi_otif_weekly",
+            "kpi_freight_weekly",
+            "kpi_energy_intensity_weekly",
+            "control_tower_weekly",
+            "ridge_coefficients",
+            "demand_forecast_all",
+            "kpi_mape_sku_weekly",
+            "order_late_risk_scored_ml",
+        ),
+        (),
+    ),
+}
 
 _workspaces: dict[tuple[str, str], Workspace] = {}
 
@@ -153,8 +162,7 @@ def workspace(spark: SparkSession, source_dir: str) -> Workspace:
     """One workspace per application and source, so a model is fitted once for all its queries."""
     key = (spark.sparkContext.applicationId, source_dir)
     if key not in _workspaces:
-        ws = _workspaces[key] = Workspace(spark, source_dir, published=PUBLISHED)
-        size_shuffles(spark, ws["lineitem"], ws["orders"])
+        _workspaces[key] = Workspace(spark, source_dir, published=PUBLISHED)
     return _workspaces[key]
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulcast.functions.expressions import absolute_pct_error
-from haulcast.operators.rules import not_cancelled
 from haulcast.operators.series import SERIES, trailing_mean
 from haulcast.workspace import dataset
 
@@ -45,18 +44,13 @@ def mape_naive_by_series(weekly_demand_actual: DataFrame, naive_ma4_backtest: Da
 
 
 @dataset
-def kpi_mape_sku_weekly(silver_erp_orders: DataFrame, sku_names: DataFrame) -> DataFrame:
+def kpi_mape_sku_weekly(weekly_sku_demand: DataFrame, sku_names: DataFrame) -> DataFrame:
     """Gold: error of the four-week mean by week, SKU and region, from the fifth week on.
 
-    Lines collapse to weekly sums before the window, so a hot SKU costs it at most one row a week.
+    The window runs over weekly sums, so a hot SKU costs it at most one row a week.
     """
     sku_series = ("sku_id", "sku_family", "region")
-    weekly = (
-        not_cancelled(silver_erp_orders)
-        .groupBy(F.col("order_week").alias("week"), "sku_id", "sku_family", F.col("customer_region").alias("region"))
-        .agg(F.sum("units_ordered").alias("actual_units"))
-    )
-    naive = weekly.withColumn("forecast_units", trailing_mean("actual_units", 4, *sku_series))
+    naive = weekly_sku_demand.withColumn("forecast_units", trailing_mean("actual_units", 4, *sku_series))
     return (
         naive.filter(F.col("forecast_units").isNotNull())
         .join(sku_names, "sku_id", "left")

@@ -10,18 +10,22 @@ from haulcast.operators.rules import not_cancelled
 from haulcast.workspace import dataset
 
 
+DEMAND = {"actual_units": "units_ordered", "shipped_units": "units_shipped"}
+
+
+@dataset
+def weekly_sku_demand(silver_erp_orders: DataFrame) -> DataFrame:
+    """Weekly ordered and shipped units and order lines by SKU and region; all demand tables are roll-ups of it."""
+    keys = (F.col("order_week").alias("week"), "sku_id", "sku_family", F.col("customer_region").alias("region"))
+    sums = (F.sum(units).alias(name) for name, units in DEMAND.items())
+    return not_cancelled(silver_erp_orders).groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("order_lines"))
+
+
 @dataset
-def weekly_demand_actual(silver_erp_orders: DataFrame) -> DataFrame:
+def weekly_demand_actual(weekly_sku_demand: DataFrame) -> DataFrame:
     """Gold: weekly ordered and shipped units and order lines by family and region."""
-    return (
-        not_cancelled(silver_erp_orders)
-        .groupBy(F.col("order_week").alias("week"), "sku_family", F.col("customer_region").alias("region"))
-        .agg(
-            F.sum("units_ordered").alias("actual_units"),
-            F.sum("units_shipped").alias("shipped_units"),
-            F.count(F.lit(1)).alias("order_lines"),
-        )
-    )
+    sums = (F.sum(c).alias(c) for c in (*DEMAND, "order_lines"))
+    return weekly_sku_demand.groupBy("week", "sku_family", "region").agg(*sums)
 
 
 @dataset

@@ -8,7 +8,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcast.config import EngineConfig
@@ -199,3 +199,61 @@ def late_risk_metrics(
         F.count_if(~held_out).alias("train_rows"),
         F.count_if(held_out).alias("test_rows"),
     )
+
+
+def feature_names(model: PipelineModel) -> list[str]:
+    """Names of the model's coefficients in their order: one for each category value, then the numbers."""
+    labels = model.stages[0].labelsArray
+    return [*(f"{c}={v}" for c, values in zip(CATEGORIES, labels, strict=True) for v in values), *NUMBERS]
+
+
+@dataset
+def late_risk_gradient(
+    late_risk_model: PipelineModel, late_risk_features: DataFrame, as_of: Column, config: EngineConfig
+) -> DataFrame:
+    """Slope of the model's penalised loss in every coefficient, as a magnitude: zero at the optimum.
+
+    One aggregation over the training rows that knows nothing of how the model was fitted: the mean of residual times
+    feature, plus the penalty's share. The intercept is not penalised.
+    """
+    fitted = late_risk_model.stages[-1]
+    names, weights = feature_names(late_risk_model), fitted.coefficients.toArray().tolist()
+    trained = late_risk_features.filter(~in_test_window(as_of, config) & F.col("is_late").isNotNull())
+    rows = late_risk_model.transform(model_inputs(trained)).select(
+        vector_to_array("features").alias("x"), (vector_to_array("probability")[1] - F.col("is_late")).alias("residual")
+    )
+    slopes = rows.agg(
+        F.avg("residual").alias("intercept"),
+        *(F.avg(F.col("residual") * F.col("x")[i]).alias(f"slope_{i}") for i in range(len(names))),
+    )
+    penalty = fitted.getRegParam()
+    listed = [F.struct(F.lit("intercept").alias("feature"), F.abs("intercept").alias("gradient"))]
+    listed += [
+        F.struct(F.lit(n).alias("feature"), F.abs(F.col(f"slope_{i}") + penalty * w).alias("gradient"))
+        for i, (n, w) in enumerate(zip(names, weights, strict=True))
+    ]
+    return slopes.select(F.inline(F.array(*listed)))
+
+
+@dataset
+def late_risk_heuristic_metrics(late_risk_heuristic: DataFrame) -> DataFrame:
+    """Exact AUC of the rule-based score by rank sums, its accuracy and the late rate, over the scored orders.
+
+    The running count goes over distinct scores; the rule has three surcharges, so there are eight at most.
+    """
+    scored = late_risk_heuristic.filter(F.col("actual_late").isNotNull())
+    by_score = scored.groupBy("late_risk_prob").agg(
+        F.sum(F.col("actual_late").cast("long")).alias("late"),
+        F.sum((1 - F.col("actual_late")).cast("long")).alias("on_time"),
+        F.count_if(F.col("late_risk_flag") == F.col("actual_late")).alias("right"),
+    )
+    lower = Window.orderBy("late_risk_prob").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = by_score.withColumn("below", F.coalesce(F.sum("on_time").over(lower), F.lit(0)))
+    won = F.sum(F.col("late") * (F.col("below") + F.col("on_time") / 2.0))
+    late, on_time = F.sum("late"), F.sum("on_time")
+    return ranked.agg(
+        F.try_divide(won, late * on_time).alias("auc"),
+        F.try_divide(F.sum("right"), late + on_time).alias("accuracy"),
+        F.try_divide(late, late + on_time).alias("late_rate"),
+        (late + on_time).alias("orders_scored"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +41,21 @@ class MetricView:
         derived = {d: F.expr(e) for d, e in self.dimensions.items() if e != d}
         rows = source.withColumns(derived) if derived else source
         if where is not None:
+            self._check_filter(rows, where)
             rows = rows.filter(where)
         result = rows.groupBy(*by).agg(*(F.expr(self.measures[m]).alias(m) for m in measures))
         if order_by:
             result = result.orderBy(*order_by)
         return result if limit is None else result.limit(limit)
 
+    def _check_filter(self, rows: DataFrame, where: Column | str) -> None:
+        """The condition must resolve on the dimensions alone."""
+        alone = rows.sparkSession.createDataFrame([], rows.select(*self.dimensions).schema)
+        try:
+            alone.filter(where).schema  # noqa: B018  resolution is the check
+        except AnalysisException as error:
+            raise ValueError(f"{self.name}: the filter must name dimensions, of {sorted(self.dimensions)}: {error}") from error
+
     def _check(self, asked: Sequence[str], known: Mapping[str, str], kind: str) -> None:
         unknown = [a for a in asked if a not in known]
         if unknown:

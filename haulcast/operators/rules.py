@@ -68,7 +68,7 @@ def safety_stock(family: str) -> Column:
 
 
 def days_of_supply(on_hand: str, safety: str) -> Column:
-    return F.round(F.col(on_hand) / F.greatest(F.lit(1.0), F.col(safety) / 20.0)).cast("int")
+    return F.round(F.col(on_hand) / F.greatest(F.lit(1.0), F.col(safety) / 20.0)).cast("bigint")
 
 
 def lead_days(channel: str) -> Column:
@@ -79,37 +79,40 @@ def lead_days(channel: str) -> Column:
 
 
 @dataset
-def sku_dim(part: DataFrame) -> DataFrame:
-    """SKU dimension: family and list price by rule from the SKU number."""
-    number = F.col("p_partkey")
+def sku_dim(bronze_erp_orders_raw: DataFrame) -> DataFrame:
+    """SKU dimension of the SKUs ordered: family and list price by rule from the SKU number."""
+    number = F.col("number")
     last_digit = number % 10
     price = {family: base + number % span * step for family, (base, span, step) in PRICE_RULE.items()}
     family = F.when(last_digit < 6, "pipe").when(last_digit < 8, "chambers").otherwise("structures")
-    return part.withColumn("sku_family", family).select(
-        F.concat(F.lit("SKU"), padded(number, 5)).alias("sku_id"),
+    skus = bronze_erp_orders_raw.select("sku_id").distinct()
+    skus = skus.withColumn("number", F.substring("sku_id", 4, 20).cast("bigint"))
+    return skus.withColumn("sku_family", family).select(
+        "sku_id",
         "sku_family",
         _by_family("sku_family", price).alias("unit_price"),
     )
 
 
 @dataset
-def regions_in_order(region: DataFrame) -> DataFrame:
-    """One row: region names by key. The region table is a fixed short list."""
-    listed = F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name")))
-    return region.agg(listed.alias("listed")).select(F.col("listed.r_name").alias("region_names"))
+def regions_in_order(bronze_plant_locations: DataFrame) -> DataFrame:
+    """One row: the regions that have a plant, by name."""
+    return bronze_plant_locations.agg(F.array_sort(F.collect_set("plant_region")).alias("region_names"))
 
 
 @dataset
-def customer_dim(customer: DataFrame, regions_in_order: DataFrame) -> DataFrame:
-    """Customer dimension: region in turn and channel by rule from the customer number."""
-    number = F.col("c_custkey")
+def customer_dim(bronze_erp_orders_raw: DataFrame, regions_in_order: DataFrame) -> DataFrame:
+    """Customer dimension of the customers that ordered: region in turn and channel by rule from the customer number."""
+    number = F.col("number")
     names = regions_in_order.scalar()
     last_digit = number % 10
     channel = (
         F.when(last_digit < 5, "distributor").when(last_digit < 8, "contractor").when(last_digit < 9, "DOT").otherwise("ag")
     )
-    return customer.withColumn("names", names).select(
-        F.concat(F.lit("C"), padded(number, 6)).alias("customer_id"),
+    people = bronze_erp_orders_raw.select("customer_id").distinct()
+    people = people.withColumn("number", F.substring("customer_id", 2, 20).cast("bigint"))
+    return people.withColumn("names", names).select(
+        "customer_id",
         F.element_at("names", (number % F.size("names")).cast("int") + 1).alias("customer_region"),
         channel.alias("channel"),
     )

@@ -10,7 +10,7 @@ from haulcast.functions.expressions import DC_NAME_WORDS, PLANT_NAME_WORDS, with
 from haulcast.operators import rules
 from haulcast.operators.silver import ORDER_RULES, SIGNALS
 from haulcast.sources.quality import rule_report, to_numeric
-from haulcast.sources.sinks import row_counts
+from haulcast.sources.sinks import broadcast_if_small, row_counts
 from haulcast.workspace import dataset, query
 
 
@@ -28,13 +28,13 @@ def dc_locations(silver_dc_locations) -> DataFrame:
 
 
 @query
-def facility_labels(silver_plant_locations, silver_dc_locations) -> DataFrame:
-    """Short upper-case map labels of every plant and DC."""
+def facility_labels(silver_plant_locations, silver_dc_locations, *, prefixes=()) -> DataFrame:
+    """Short upper-case map labels of every plant and DC; ``prefixes`` are further words to strip, such as a company's name."""
     plants = silver_plant_locations.select(
-        F.col("plant_id").alias("location_id"), without_words("plant_name", PLANT_NAME_WORDS).alias("label")
+        F.col("plant_id").alias("location_id"), without_words("plant_name", (*prefixes, *PLANT_NAME_WORDS)).alias("label")
     )
     dcs = silver_dc_locations.select(
-        F.col("dc_id").alias("location_id"), without_words("dc_name", DC_NAME_WORDS).alias("label")
+        F.col("dc_id").alias("location_id"), without_words("dc_name", (*prefixes, *DC_NAME_WORDS)).alias("label")
     )
     return plants.unionByName(dcs)
 
@@ -66,10 +66,10 @@ def channel_counts(customer_dim) -> DataFrame:
 
 
 @dataset
-def calendar_spine(orders) -> DataFrame:
+def calendar_spine(bronze_erp_orders_raw) -> DataFrame:
     """Every day from the first to the last order date."""
-    day = F.col("o_orderdate").cast("date")
-    return daily_spine(orders.agg(F.min(day).alias("first"), F.max(day).alias("last")), "first", "last")
+    bounds = bronze_erp_orders_raw.agg(F.min("order_date").alias("first"), F.max("order_date").alias("last"))
+    return daily_spine(bounds, "first", "last")
 
 
 @dataset
@@ -113,24 +113,32 @@ def shipment_costing(bronze_tms_shipments_raw) -> DataFrame:
 
 @query
 def order_enrichment(
-    bronze_erp_orders_raw, customer_dim, sku_dim, primary_dc_by_region, plants_by_region, calendar_features,
-    bronze_external_signals_raw,
+    bronze_erp_orders_raw, primary_dc_by_region, plants_by_region, calendar_features, bronze_external_signals_raw
 ) -> DataFrame:
-    """Order lines with customer, SKU, region, calendar and signal attributes, none dropped."""
-    people = customer_dim.withColumnsRenamed({"customer_region": "home_region", "channel": "home_channel"})
-    skus = sku_dim.withColumnsRenamed({"sku_family": "rule_family", "unit_price": "list_price"})
+    """Order lines with customer, SKU, region, calendar and signal attributes, none dropped.
+
+    The daily signals are broadcast if what is written of them is small; beyond that Spark joins them by day and region.
+    """
+    lines = bronze_erp_orders_raw.select(
+        "order_id",
+        "order_date",
+        "customer_id",
+        "sku_id",
+        "units_ordered",
+        F.col("customer_region").alias("home_region"),
+        F.col("channel").alias("home_channel"),
+        "sku_family",
+        F.col("unit_price").alias("list_price"),
+    )
     sites = primary_dc_by_region.join(plants_by_region, "region", "full").select(
         F.col("region").alias("home_region"), "primary_dc_id", F.size("plants_in_region").alias("plants_nearby")
     )
     days = calendar_features.select(F.col("date").alias("order_date"), "season_annual", "weekday_factor")
     signals = bronze_external_signals_raw.withColumnsRenamed({"date": "order_date", "region": "home_region"})
     return (
-        bronze_erp_orders_raw.select("order_id", "order_date", "customer_id", "sku_id", "units_ordered")
-        .join(people, "customer_id", "left")
-        .join(skus, "sku_id", "left")
-        .join(sites, "home_region", "left")
+        lines.join(sites, "home_region", "left")
         .join(days, "order_date", "left")
-        .join(signals, ["order_date", "home_region"], "left")
+        .join(broadcast_if_small(signals), ["order_date", "home_region"], "left")
     )
 
 
@@ -164,12 +172,12 @@ def expect_or_drop_orders(bronze_erp_orders_raw) -> DataFrame:
 
 
 @query
-def ensure_numeric(orders) -> DataFrame:
-    """Order totals and priorities read as text and coerced to numbers; unreadable text is null."""
-    text = orders.select(
-        "o_orderkey", F.col("o_totalprice").cast("string").alias("o_totalprice"), F.col("o_orderpriority").alias("priority")
+def ensure_numeric(bronze_erp_orders_raw) -> DataFrame:
+    """Prices and states of order lines read as text and coerced to numbers; unreadable text is null."""
+    text = bronze_erp_orders_raw.select(
+        "order_id", "sku_id", F.col("unit_price").cast("string").alias("unit_price"), F.col("order_status").alias("status")
     )
-    return to_numeric(text, ["o_totalprice", "priority", "not_there"])
+    return to_numeric(text, ["unit_price", "status", "not_there"])
 
 
 @query

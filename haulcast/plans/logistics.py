@@ -125,7 +125,7 @@ def freight_lanes(
     )
     plants = silver_plant_locations.select("plant_id", "plant_name", "plant_lat", "plant_lon")
     dcs = silver_dc_locations.select("dc_id", "dc_name", "dc_lat", "dc_lon")
-    return lanes.join(plants, "plant_id").join(dcs, "dc_id").orderBy(F.col("freight_cost_per_ton").desc())
+    return lanes.join(plants, "plant_id").join(dcs, "dc_id")
 
 
 def lane_label(width: int | None = None) -> Column:

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulcast.functions.calendar import week_of
+from haulcast.functions.calendar import month_of
 from haulcast.functions.expressions import UNITS_FLOOR, count_text, ratio_floored, signed_pct_error, steady
 from haulcast.operators.accuracy import KEYS, with_backtest
 from haulcast.operators.ridge import RIDGE
-from haulcast.operators.rules import not_cancelled
 from haulcast.operators.series import SERIES
 from haulcast.plans.ranking import top
 from haulcast.workspace import query
 
 
-def one_series(frame: DataFrame, region: str | None, sku_family: str | None, region_column: str = "region") -> DataFrame:
+def one_series(frame: DataFrame, region: str | None, sku_family: str | None) -> DataFrame:
     """Slice by region and family; ``None`` leaves that side open."""
     if region is not None:
-        frame = frame.filter(F.col(region_column) == region)
+        frame = frame.filter(F.col("region") == region)
     if sku_family is not None:
         frame = frame.filter(F.col("sku_family") == sku_family)
     return frame
@@ -46,21 +45,20 @@ def planner_future_slice(demand_forecast_future, *, region=None, sku_family=None
     return sliced.select("week", "forecast_units", *bounds, "model_name").orderBy("week", "model_name")
 
 
-def backorders(orders: DataFrame) -> DataFrame:
+def backorders(demand: DataFrame) -> DataFrame:
     """Weekly units ordered but not shipped, and their share of the units ordered."""
-    owed = F.sum((F.col("units_ordered") - F.col("units_shipped")).cast("double"))
+    ordered, shipped = F.sum("actual_units").cast("double"), F.sum("shipped_units").cast("double")
     return (
-        not_cancelled(orders)
-        .groupBy(week_of("order_date").alias("week"))
-        .agg(owed.alias("backorder_units_proxy"), F.sum(F.col("units_ordered").cast("double")).alias("ordered_units"))
+        demand.groupBy("week")
+        .agg((ordered - shipped).alias("backorder_units_proxy"), ordered.alias("ordered_units"))
         .withColumn("backorder_rate_proxy", ratio_floored("backorder_units_proxy", "ordered_units", UNITS_FLOOR))
     )
 
 
 @query
-def backorders_weekly(silver_erp_orders, *, region=None, sku_family=None) -> DataFrame:
-    """Backorder proxy of one series by week."""
-    return backorders(one_series(silver_erp_orders, region, sku_family, "customer_region"))
+def backorders_weekly(weekly_demand_actual, *, region=None, sku_family=None) -> DataFrame:
+    """Backorder proxy by week, of one series or all."""
+    return backorders(one_series(weekly_demand_actual, region, sku_family))
 
 
 @query
@@ -68,7 +66,6 @@ def planner_kpis(
     kpi_mape_weekly,
     weekly_demand_actual,
     demand_forecast_all,
-    silver_erp_orders,
     *,
     region=None,
     sku_family=None,
@@ -82,7 +79,7 @@ def planner_kpis(
         .join(one_series(backtest, region, sku_family).select("week", "forecast_units"), "week")
         .select("week", signed_pct_error("actual_units", "forecast_units").alias("bias"))
     )
-    owed = backorders(one_series(silver_erp_orders, region, sku_family, "customer_region")).drop("ordered_units")
+    owed = backorders(one_series(weekly_demand_actual, region, sku_family)).drop("ordered_units")
     return error.join(bias, "week", "full").join(owed, "week", "left").orderBy("week")
 
 
@@ -138,6 +135,14 @@ def series_plot_data(weekly_demand_actual, demand_forecast_all, *, region=None,
     return actual.join(predicted, "week", "left").orderBy("week", "model_name")
 
 
+@query
+def actual_vs_forecast_month(weekly_demand_actual, demand_forecast, as_of: Column) -> DataFrame:
+    """Units ordered and forecast by region, over the weeks that start in today's month."""
+    month = month_of("week") == month_of(as_of)
+    totals = with_backtest(weekly_demand_actual, demand_forecast).filter(month).groupBy("region")
+    return totals.agg(*(F.sum(c).alias(c) for c in ("actual_units", "forecast_units"))).orderBy("region")
+
+
 @query
 def ridge_future(demand_forecast_future) -> DataFrame:
     """Future forecast of the ridge model alone."""

@@ -73,6 +73,14 @@ def late_risk_top_orders(order_late_risk_scored_ml, *, count=25, above=None) ->
     )
 
 
+@query
+def late_risk_this_week(order_late_risk_scored_ml, as_of: Column, *, count=None) -> DataFrame:
+    """Orders of today's week, likeliest to be late first."""
+    week = order_late_risk_scored_ml.filter(week_of("order_date") == week_of(as_of))
+    ranked = top(week, count, steady("late_risk_prob").desc(), *SHOWN)
+    return ranked.select(*SHOWN, shown("late_risk_prob", 3).alias("late_risk_prob"))
+
+
 @query
 def high_risk_orders(order_late_risk_scored_ml, *, threshold=HIGH_RISK, count=None) -> DataFrame:
     """Orders at or above the threshold, newest first."""

@@ -19,12 +19,26 @@ def recent_orders(silver_erp_orders, as_of: Column, config: EngineConfig) -> Dat
 
 @query
 def order_volume_kpis(recent_orders) -> DataFrame:
-    """Order lines, distinct customers, distinct channels and units."""
-    return recent_orders.agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        F.count_distinct("customer_id").alias("unique_customers"),
-        F.count_distinct("channel").alias("sales_channels"),
-        F.sum("units_ordered").alias("total_units_ordered"),
+    """Order lines, distinct customers, distinct channels and units.
+
+    Lines collapse to one row per customer and channel first; each distinct count then groups those by its own column,
+    so no line is multiplied.
+    """
+    pairs = recent_orders.groupBy("customer_id", "channel").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("units_ordered").alias("units")
+    )
+
+    def distinct(column: str) -> Column:
+        return pairs.groupBy(column).agg(F.sum("lines")).agg(F.count(column)).scalar()
+
+    totals = pairs.agg(
+        F.coalesce(F.sum("lines"), F.lit(0)).alias("total_orders"), F.sum("units").alias("total_units_ordered")
+    )
+    return totals.select(
+        "total_orders",
+        distinct("customer_id").alias("unique_customers"),
+        distinct("channel").alias("sales_channels"),
+        "total_units_ordered",
     )
 
 

@@ -1,4 +1,9 @@
-"""Declared column types (DDL) of the Bronze inputs and the fixed-schema outputs."""
+"""Declared column types (DDL) of the Bronze inputs and the fixed-schema outputs, and what may be absent."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BRONZE = {
     "bronze_erp_orders_raw": (
@@ -12,10 +17,10 @@ BRONZE = {
         "route_distance_km double, mode string, ship_date date, delivery_date date, "
         "total_weight_tons double, freight_cost_usd double, co2_kg double"
     ),
-    "bronze_production_output_raw": "date date, plant_id string, sku_family string, units_produced int, energy_kwh double",
+    "bronze_production_output_raw": "date date, plant_id string, sku_family string, units_produced bigint, energy_kwh double",
     "bronze_inventory_positions_raw": (
-        "snapshot_date date, plant_id string, dc_id string, sku_id string, on_hand_units int, "
-        "on_order_units int, safety_stock_units int, days_of_supply int"
+        "snapshot_date date, plant_id string, dc_id string, sku_id string, on_hand_units bigint, "
+        "on_order_units bigint, safety_stock_units int, days_of_supply bigint"
     ),
     "bronze_external_signals_raw": "date date, region string, construction_index double, precipitation_mm double, avg_temp_c double",
     "bronze_plant_locations": (
@@ -43,3 +48,37 @@ SCORED_ORDERS = (
     "sku_family string, units_ordered int, days_to_request double, late_risk_prob double, "
     "late_risk_flag int, actual_late int"
 )
+
+_SIGNALS = {"construction_index": ("double", 0.0), "precipitation_mm": ("double", 0.0), "avg_temp_c": ("double", 0.0)}
+
+# Columns that a given table may lack, with their types and what stands for them.
+OPTIONAL_COLUMNS = {
+    "bronze_erp_orders_raw": {
+        "requested_delivery_date": ("date", None),
+        "actual_ship_date": ("date", None),
+        "customer_id": ("string", None),
+        "customer_region": ("string", "unknown"),
+        "channel": ("string", "unknown"),
+        "plant_id": ("string", "unknown"),
+        "dc_id": ("string", "unknown"),
+        "sku_id": ("string", "unknown"),
+        "sku_family": ("string", "unknown"),
+        "unit_price": ("double", 0.0),
+        "order_status": ("string", "closed"),
+    },
+    "bronze_external_signals_raw": {"region": ("string", "unknown"), **_SIGNALS},
+    "forecast_training_set": {"sku_family": ("string", "unknown"), "region": ("string", "unknown"), **_SIGNALS},
+    "weekly_demand_actual": {"sku_family": ("string", "unknown"), "region": ("string", "unknown")},
+}
+
+# Tables that may be absent altogether: an empty table of these columns stands for one.
+OPTIONAL_TABLES = {
+    "bronze_external_signals_raw": BRONZE["bronze_external_signals_raw"],
+    "sku_names": "sku_id string, sku_name string",
+}
+
+
+def completed(name: str, frame: DataFrame) -> DataFrame:
+    """The table with the optional columns it lacks."""
+    lacking = {c: v for c, v in OPTIONAL_COLUMNS.get(name, {}).items() if c not in frame.columns}
+    return frame.withColumns({c: F.lit(v).cast(kind) for c, (kind, v) in lacking.items()}) if lacking else frame

@@ -17,6 +17,7 @@ from haulcast.workspace import dataset
 # Fixed values of the mapping: plants and DCs that order lines are spread over.
 PLANTS = 25
 DCS = 11
+SITE_PREFIX = "Site "
 
 
 def _tagged(prefix: str, number: Column, width: int) -> Column:
@@ -40,7 +41,7 @@ def nation_region(nation: DataFrame, region: DataFrame) -> DataFrame:
 def _facilities(places: DataFrame, kind: str, prefix: str, label: str, lat: Column, lon: Column) -> DataFrame:
     return places.select(
         _tagged(prefix, F.col("n_nationkey") + 1, 2).alias(f"{kind}_id"),
-        F.concat(F.lit("ADS "), "n_name", F.lit(f" {label}")).alias(f"{kind}_name"),
+        F.concat(F.lit(SITE_PREFIX), "n_name", F.lit(f" {label}")).alias(f"{kind}_name"),
         F.col("n_name").alias(f"{kind}_city"),
         F.lit("ST").alias(f"{kind}_state"),
         lat.alias(f"{kind}_lat"),
@@ -187,7 +188,7 @@ def bronze_production_output_raw(bronze_erp_orders_raw: DataFrame) -> DataFrame:
     return (
         bronze_erp_orders_raw.filter(F.col("actual_ship_date").isNotNull())
         .groupBy(F.col("actual_ship_date").alias("date"), "plant_id", "sku_family")
-        .agg(made.cast("int").alias("units_produced"), (made.cast("double") * kwh_per_unit).alias("energy_kwh"))
+        .agg(made.alias("units_produced"), (made.cast("double") * kwh_per_unit).alias("energy_kwh"))
     )
 
 
@@ -240,8 +241,8 @@ def bronze_inventory_positions_raw(bronze_erp_orders_raw: DataFrame) -> DataFram
     return (
         moved.withColumns(
             {
-                "on_hand_units": (F.col("shipped") * 2 + (sku_no * 31 + month * 5) % 300).cast("int"),
-                "on_order_units": (F.col("owed") + (sku_no + month) % 120).cast("int"),
+                "on_hand_units": F.col("shipped") * 2 + (sku_no * 31 + month * 5) % 300,
+                "on_order_units": F.col("owed") + (sku_no + month) % 120,
                 "safety_stock_units": safety,
             }
         )

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import inspect
 import uuid
-from collections.abc import Callable, Collection, Mapping
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import date
 from functools import cached_property
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulcast.config import EngineConfig
+from haulcast.schemas import BRONZE, OPTIONAL_TABLES, completed
 
 # Physical tables of the test schema that the Bronze adapters read.
 SOURCE_TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
@@ -33,6 +34,15 @@ class Node:
     comment: str
 
 
+@dataclass(frozen=True)
+class Status:
+    """What became of a dataset: ``ready``, ``written``, ``placeholder`` (an empty optional table) or ``skipped``."""
+
+    name: str
+    state: str
+    missing: tuple[str, ...] = ()
+
+
 DATASETS: dict[str, Node] = {}
 QUERIES: dict[str, Node] = {}
 
@@ -81,16 +91,20 @@ class Workspace:
         source_dir: str | None = None,
         config: EngineConfig | None = None,
         tables: Mapping[str, DataFrame] | None = None,
-        published: Collection[str] = (),
+        published: Collection[str] | Mapping[str, Sequence[str]] = (),
     ):
-        """``published`` names datasets that are written to the shared folder when first read."""
+        """``published`` names datasets that are written to the shared folder when first read; a mapping also gives the
+        columns by whose ranges each is laid out, so that filters on them skip files and row groups.
+
+        Tables passed in or found get the optional columns they lack (``schemas.OPTIONAL_COLUMNS``).
+        """
         _load_definitions()
         self.spark = spark
         self.source_dir = source_dir
         self.config = config or EngineConfig()
-        self._fixed: dict[str, DataFrame] = dict(tables or {})  # passed in or written out
+        self._fixed = {n: completed(n, f) for n, f in (tables or {}).items()}  # passed in or written out
         self._derived: dict[str, DataFrame] = {}
-        self._published = frozenset(published)
+        self._published = dict(published) if isinstance(published, Mapping) else dict.fromkeys(published, ())
         self._pending: list[str] = []
         self._written_out: set[str] = set()  # fixed by materialize, not passed in
         self._parent: Workspace | None = None  # resolves published datasets that a branch leaves as they are
@@ -125,7 +139,7 @@ class Workspace:
         """The dataset as read back from the shared folder; unwritten on a cluster that names none."""
         from haulcast.sources import sinks
 
-        return sinks.write_new(frame, self._folder, name) if self._folder else frame
+        return sinks.write_new(frame, self._folder, name, self._published[name]) if self._folder else frame
 
     def _reached(self, name: str) -> bool:
         """Whether what sets this branch apart from its parent bears on a dataset."""
@@ -146,9 +160,95 @@ class Workspace:
         shared = sinks.shared_folder(self.spark)
         return shared and f"{shared}/{uuid.uuid4().hex}"
 
+    def _absent(self, name: str) -> bool:
+        """Whether a source table that this workspace would read is not there: it was given other tables instead."""
+        return self.source_dir is None and name not in self._fixed and (name in SOURCE_TABLES or name in BRONZE)
+
+    def missing(self, name: str) -> set[str]:
+        """The absent source tables that a dataset or query reads, directly or through others; empty if it can be built.
+
+        Optional tables are not missing: an absent one stands as an empty table of its columns.
+        """
+        if name in QUERIES:
+            return self._missing_inputs(QUERIES[name])
+        return set() if name in self._fixed else self._missing_dataset(name)
+
+    def _missing_inputs(self, node: Node) -> set[str]:
+        today = "silver_erp_orders" if self.config.as_of is None and self.source_dir is None else "config"
+        inputs = {today if i == "as_of" else i for i in node.inputs} - {"config"}
+        of = (set() if i in self._fixed else self._missing_dataset(i) for i in inputs)
+        return set().union(*of)
+
+    def _missing_dataset(self, name: str) -> set[str]:
+        """As ``missing``, where a query of the same name does not count."""
+        if name in OPTIONAL_TABLES:
+            return set()
+        if self._absent(name) or (name not in DATASETS and name not in SOURCE_TABLES):
+            return {name}
+        return self._missing_inputs(DATASETS[name]) if name in DATASETS else set()
+
+    def report(self, *names: str) -> list[Status]:
+        """For each dataset or query (by default all), whether it can be built and which source tables it lacks."""
+        return [
+            Status(n, "skipped" if lacking else "placeholder" if self._placeholder(n) else "ready", tuple(sorted(lacking)))
+            for n in (names or (*DATASETS, *QUERIES))
+            for lacking in (self.missing(n),)
+        ]
+
+    def _placeholder(self, name: str) -> bool:
+        if self.source_dir is not None or name in self._fixed or name not in OPTIONAL_TABLES:
+            return False
+        return any(i in SOURCE_TABLES and i not in self._fixed or self._reads_source(i) for i in DATASETS[name].inputs)
+
+    def _reads_source(self, name: str) -> bool:
+        """Whether a dataset needs a source table that is absent."""
+        if name in self._fixed or name not in DATASETS:
+            return False
+        return any(i in SOURCE_TABLES and i not in self._fixed or self._reads_source(i) for i in DATASETS[name].inputs)
+
+    def metric(
+        self,
+        view: str,
+        measures: Sequence[str],
+        by: Sequence[str] = (),
+        where: Column | str | None = None,
+        order_by: Sequence[Column | str] = (),
+        limit: int | None = None,
+    ) -> DataFrame:
+        """Measures of a metric view, by its name, at the grain of ``by``; ``where`` may name dimensions only."""
+        from haulcast.operators.metric_view import VIEWS
+
+        if view not in VIEWS:
+            raise KeyError(f"no metric view named {view!r}; there are {sorted(VIEWS)}")
+        return VIEWS[view].query(self[VIEWS[view].source], measures, by, where, order_by, limit)
+
+    def refresh(self, *names: str, schema: str | None = None, path: str | None = None) -> list[Status]:
+        """Build the datasets anew, each after those it reads, and write them as ``materialize`` does.
+
+        A dataset whose source tables are absent is skipped and reported; the others are written all the same.
+        """
+        statuses = {s.name: s for s in self.report(*names)}
+        order: list[str] = []
+
+        def visit(name: str) -> None:
+            if name in DATASETS and name not in order:
+                for i in DATASETS[name].inputs:
+                    visit(i)
+                order.append(name)
+
+        for name in names:
+            visit(name)
+        for name in order:
+            if name in statuses and statuses[name].state != "skipped":
+                self.materialize(name, schema=schema, path=path)
+                statuses[name] = replace(statuses[name], state="written")
+        return [statuses[n] for n in names]
+
     def _resolve(self, name: str) -> DataFrame:
         if name in SOURCE_TABLES and self.source_dir is not None:
             return self.spark.read.parquet(f"{self.source_dir}/{name}.parquet")
+        if self._placeholder(name):
+            return self.spark.createDataFrame([], OPTIONAL_TABLES[name])
         if name not in DATASETS:
             raise KeyError(f"no dataset named {name!r}")
         if name in self._pending:
@@ -218,8 +318,9 @@ class Workspace:
 
         Later datasets and queries of this workspace then start from the written table,
         which also cuts their lineage: a lost executor costs a re-read, not a recompute.
-        A dataset written before is built from its inputs again. Without schema or path, each
-        write goes to a new place; with one, frames read from the replaced files are void.
+        A dataset written before is built from its inputs again. Without schema or path, each write goes to a new
+        place. Under a path it becomes the next version of the dataset (``sinks.read_version`` reads the newest); frames
+        of the version before stay valid. In a schema, frames read from a replaced table are void.
         """
         from haulcast.sources import sinks
 
@@ -233,7 +334,7 @@ class Workspace:
             else:
                 if path is None and self._folder is None:
                     raise ValueError("give a schema or path, or set spark.checkpoint.dir to a folder all executors reach")
-                written = sinks.overwrite_path(frame, f"{path}/{name}") if path else sinks.write_new(frame, self._folder, name)
+                written = sinks.write_version(frame, f"{path}/{name}") if path else sinks.write_new(frame, self._folder, name)
             self._fixed[name] = written
             self._written_out.add(name)
             self._changed = self._changed | {name}

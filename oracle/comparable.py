@@ -35,6 +35,10 @@ RIDGE_FED = frozenset(
 )
 
 
+# Columns that compare to fewer digits: forecast units of a fitted model, and slopes that a solver leaves near zero.
+COARSE = {**dict.fromkeys(RIDGE_FED, UNITS), "late_risk_gradient": ("gradient",)}
+
+
 def rounded(frame: DataFrame, columns: Collection[str] | None = None, coarse: Collection[str] = ()) -> DataFrame:
     """Doubles (all, or the named ones) rounded, those of ``coarse`` to fewer digits."""
     doubles = [f.name for f in frame.schema.fields if isinstance(f.dataType, T.DoubleType)]
@@ -47,4 +51,4 @@ def rounded(frame: DataFrame, columns: Collection[str] | None = None, coarse: Co
 
 def comparable(name: str, frame: DataFrame) -> DataFrame:
     """The result of a registered query as its SQL gives it."""
-    return frame if name in ROW_WISE else rounded(frame, ROUNDED_COLUMNS.get(name), UNITS if name in RIDGE_FED else ())
+    return frame if name in ROW_WISE else rounded(frame, ROUNDED_COLUMNS.get(name), COARSE.get(name, ()))

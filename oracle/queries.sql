@@ -158,10 +158,9 @@ SELECT plant_id, plant_name, plant_city, plant_state, plant_region, plant_lat, p
 SELECT dc_id, dc_name, dc_city, dc_state, dc_region, dc_lat, dc_lon FROM bronze_dc_locations
 
 -- :facility_labels
-SELECT plant_id AS location_id, upper(replace(replace(plant_name, 'ADS ', ''), ' Plant', '')) AS label FROM bronze_plant_locations
+SELECT plant_id AS location_id, upper(replace(plant_name, ' Plant', '')) AS label FROM bronze_plant_locations
 UNION ALL
-SELECT dc_id, upper(replace(replace(replace(replace(replace(dc_name, 'ADS ', ''), ' Distribution', ''), ' Facility', ''),
-                            ' Yard', ''), ' Logistics', '')) FROM bronze_dc_locations
+SELECT dc_id, upper(replace(replace(replace(replace(dc_name, ' Distribution', ''), ' Facility', ''), ' Yard', ''), ' Logistics', '')) FROM bronze_dc_locations
 
 -- :conformed_locations
 SELECT plant_id AS location_id, 'plant' AS location_type FROM bronze_plant_locations
@@ -194,20 +193,18 @@ SELECT shipment_id, truck_id, route_distance_km, total_weight_tons, mode,
 FROM bronze_tms_shipments_raw
 
 -- :order_enrichment season_annual
-SELECT o.order_id, o.order_date, o.customer_id, o.sku_id, o.units_ordered, c.customer_region AS home_region,
-       c.channel AS home_channel, s.sku_family AS rule_family, s.unit_price AS list_price, d.primary_dc_id,
+SELECT o.order_id, o.order_date, o.customer_id, o.sku_id, o.units_ordered, o.customer_region AS home_region,
+       o.channel AS home_channel, o.sku_family, o.unit_price AS list_price, d.primary_dc_id,
        CAST(len(p.plants) AS INTEGER) AS plants_nearby, f.season_annual, f.weekday_factor, e.construction_index, e.precipitation_mm, e.avg_temp_c
 FROM bronze_erp_orders_raw o
-LEFT JOIN customer_dim c ON c.customer_id = o.customer_id
-LEFT JOIN sku_dim s ON s.sku_id = o.sku_id
-LEFT JOIN primary_dc_by_region d ON d.region = c.customer_region
-LEFT JOIN region_plants p ON p.region = c.customer_region
+LEFT JOIN primary_dc_by_region d ON d.region = o.customer_region
+LEFT JOIN region_plants p ON p.region = o.customer_region
 LEFT JOIN calendar_features f ON f.date = o.order_date
-LEFT JOIN bronze_external_signals_raw e ON e.date = o.order_date AND e.region = c.customer_region
+LEFT JOIN bronze_external_signals_raw e ON e.date = o.order_date AND e.region = o.customer_region
 
 -- :inventory_days_of_supply
 SELECT snapshot_date, location_id, sku_id, on_hand_units, safety_stock_units,
-       CAST(round(on_hand_units / greatest(1.0, safety_stock_units / 20.0)) AS INTEGER) AS days_of_supply
+       CAST(round(on_hand_units / greatest(1.0, safety_stock_units / 20.0)) AS BIGINT) AS days_of_supply
 FROM silver_inventory_positions
 
 -- :inventory_position_summary avg_days_of_supply
@@ -222,8 +219,8 @@ SELECT 'nonnegative_shipped' AS rule, count(*) FILTER (WHERE units_shipped >= 0)
 FROM bronze_erp_orders_raw
 
 -- :ensure_numeric
-SELECT o_orderkey, TRY_CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE) AS o_totalprice,
-       TRY_CAST(o_orderpriority AS DOUBLE) AS priority FROM orders
+SELECT order_id, sku_id, TRY_CAST(CAST(unit_price AS VARCHAR) AS DOUBLE) AS unit_price,
+       TRY_CAST(order_status AS DOUBLE) AS status FROM bronze_erp_orders_raw
 
 -- :table_row_counts
 SELECT 'bronze_erp_orders_raw' AS table_name, count(*) AS row_count FROM bronze_erp_orders_raw
@@ -237,6 +234,11 @@ UNION ALL SELECT 'bronze_dc_locations', count(*) FROM bronze_dc_locations
 -- :last_signal construction_index, precipitation_mm, avg_temp_c
 SELECT sku_family, region, last_week, construction_index, precipitation_mm, avg_temp_c FROM series_last_state
 
+-- :weekly_sku_demand
+SELECT order_week AS week, sku_id, sku_family, customer_region AS region, CAST(sum(units_ordered) AS BIGINT) AS actual_units,
+       CAST(sum(units_shipped) AS BIGINT) AS shipped_units, count(*) AS order_lines
+FROM live_orders GROUP BY 1, 2, 3, 4
+
 -- :dense_week_grid
 SELECT g.week, s.sku_family, s.region, coalesce(actual_units, 0) AS actual_units, coalesce(shipped_units, 0) AS shipped_units,
        coalesce(order_lines, 0) AS order_lines
@@ -482,6 +484,10 @@ WHERE a.region = 'ASIA' AND a.sku_family = 'pipe'
 SELECT region, sku_family, sum(forecast_units) AS forecast FROM naive_ma4_future
 WHERE week >= (SELECT d FROM as_of) AND week < (SELECT d + 28 FROM as_of) GROUP BY 1, 2
 
+-- :actual_vs_forecast_month_naive forecast_units
+SELECT region, CAST(sum(actual_units) AS BIGINT) AS actual_units, sum(forecast_units) AS forecast_units
+FROM demand_vs_naive WHERE date_trunc('month', week) = (SELECT date_trunc('month', d) FROM as_of) GROUP BY 1
+
 -- :ape_rows_naive forecast_units, ape
 SELECT week, sku_family, region, actual_units, forecast_units, ape FROM naive_errors
 
@@ -522,6 +528,28 @@ FROM scored_by_rule
 ORDER BY order_date DESC, order_id, customer_region, channel, dc_id, plant_id, sku_family, units_ordered, days_to_request,
          late_risk_prob, late_risk_flag, actual_late
 
+-- :late_risk_this_week_heuristic late_risk_prob
+SELECT order_id, order_date, customer_region, plant_id, dc_id, sku_family, half_up(late_risk_prob, 3) AS late_risk_prob
+FROM scored_by_rule WHERE date_trunc('week', order_date) = (SELECT date_trunc('week', d) FROM as_of)
+
+-- :late_risk_heuristic_metrics auc, accuracy, late_rate
+WITH ranked AS (
+  SELECT actual_late, late_risk_flag, rank() OVER (ORDER BY late_risk_prob) + (count(*) OVER (PARTITION BY late_risk_prob) - 1) / 2.0 AS place
+  FROM scored_by_rule WHERE actual_late IS NOT NULL)
+SELECT (sum(place) FILTER (WHERE actual_late = 1) - sum(actual_late) * (sum(actual_late) + 1) / 2.0)
+         / (sum(actual_late) * sum(1 - actual_late)) AS auc,
+       avg(CASE WHEN actual_late = late_risk_flag THEN 1.0 ELSE 0.0 END) AS accuracy, avg(actual_late) AS late_rate,
+       count(*) AS orders_scored
+FROM ranked
+
+-- :late_risk_gradient gradient:3
+SELECT DISTINCT unnest(['customer_region=' || customer_region, 'channel=' || channel, 'plant_id=' || plant_id, 'dc_id=' || dc_id,
+                        'sku_family=' || sku_family]) AS feature, CAST(0 AS DOUBLE) AS gradient
+FROM late_risk_features WHERE order_date < (SELECT d - 90 FROM as_of) AND is_late IS NOT NULL
+UNION ALL
+SELECT unnest(['units_ordered', 'unit_price', 'days_to_request', 'dow', 'woy', 'month', 'construction_index', 'precipitation_mm',
+               'avg_temp_c', 'intercept']), 0.0
+
 -- :late_risk_top_orders_heuristic late_risk_prob
 SELECT order_id, order_date, customer_region AS region, plant_id, dc_id, sku_family, half_up(late_risk_prob, 3) AS late_risk_prob
 FROM scored_by_rule WHERE late_risk_prob > CAST(0.25 AS DOUBLE)

@@ -6,13 +6,13 @@ SELECT n_nationkey AS k, n_name, r_regionkey, r_name
 FROM nation JOIN region ON n_regionkey = r_regionkey
 
 -- :bronze_plant_locations
-SELECT 'PL' || lpad(CAST(k + 1 AS VARCHAR), 2, '0') AS plant_id, 'ADS ' || n_name || ' Plant' AS plant_name,
+SELECT 'PL' || lpad(CAST(k + 1 AS VARCHAR), 2, '0') AS plant_id, 'Site ' || n_name || ' Plant' AS plant_name,
        n_name AS plant_city, 'ST' AS plant_state, CAST(30.0 + k * 0.75 AS DOUBLE) AS plant_lat,
        CAST(-120.0 + k * 2.5 AS DOUBLE) AS plant_lon, r_name AS plant_region
 FROM places
 
 -- :bronze_dc_locations
-SELECT 'DC' || lpad(CAST(k + 1 AS VARCHAR), 2, '0') AS dc_id, 'ADS ' || n_name || ' Distribution' AS dc_name,
+SELECT 'DC' || lpad(CAST(k + 1 AS VARCHAR), 2, '0') AS dc_id, 'Site ' || n_name || ' Distribution' AS dc_name,
        n_name AS dc_city, 'ST' AS dc_state, 31.0 + k * CAST(0.9 AS DOUBLE) AS dc_lat,
        CAST(-118.0 + k * 3.5 AS DOUBLE) AS dc_lon, r_name AS dc_region
 FROM places
@@ -69,7 +69,7 @@ SELECT 'S' || substr(order_id, 2) AS shipment_id, order_id, plant_id, dc_id,
 FROM trips
 
 -- :bronze_production_output_raw
-SELECT actual_ship_date AS date, plant_id, sku_family, CAST(sum(units_ordered) AS INTEGER) AS units_produced,
+SELECT actual_ship_date AS date, plant_id, sku_family, CAST(sum(units_ordered) AS BIGINT) AS units_produced,
        CAST(sum(units_ordered) AS DOUBLE)
          * CAST(CASE sku_family WHEN 'pipe' THEN 1.9 WHEN 'chambers' THEN 3.4 ELSE 5.2 END AS DOUBLE) AS energy_kwh
 FROM bronze_erp_orders_raw WHERE actual_ship_date IS NOT NULL
@@ -91,11 +91,11 @@ SELECT CAST(date_trunc('month', actual_ship_date) AS DATE), CAST(NULL AS VARCHAR
 
 -- :bronze_inventory_positions_raw
 SELECT m AS snapshot_date, plant_id, dc_id, sku_id,
-       CAST(sum(units_shipped) * 2 + (sku_no * 31 + month(m) * 5) % 300 AS INTEGER) AS on_hand_units,
-       CAST(sum(units_ordered - units_shipped) + (sku_no + month(m)) % 120 AS INTEGER) AS on_order_units,
+       CAST(sum(units_shipped) * 2 + (sku_no * 31 + month(m) * 5) % 300 AS BIGINT) AS on_hand_units,
+       CAST(sum(units_ordered - units_shipped) + (sku_no + month(m)) % 120 AS BIGINT) AS on_order_units,
        CASE sku_family WHEN 'pipe' THEN 200 WHEN 'chambers' THEN 80 ELSE 45 END AS safety_stock_units,
        CAST(round((sum(units_shipped) * 2 + (sku_no * 31 + month(m) * 5) % 300)
-         / greatest(1.0, CASE sku_family WHEN 'pipe' THEN 200 WHEN 'chambers' THEN 80 ELSE 45 END / 20.0)) AS INTEGER)
+         / greatest(1.0, CASE sku_family WHEN 'pipe' THEN 200 WHEN 'chambers' THEN 80 ELSE 45 END / 20.0)) AS BIGINT)
          AS days_of_supply
 FROM stock_moves GROUP BY m, plant_id, dc_id, sku_id, sku_no, sku_family
 
@@ -189,20 +189,28 @@ JOIN bronze_dc_locations d ON d.dc_id = l.dc_id
 -- :recent_orders
 SELECT * FROM silver_erp_orders WHERE order_date >= (SELECT d - 91 FROM as_of)
 
+-- :ordered_skus
+SELECT DISTINCT sku_id, CAST(substr(sku_id, 4) AS BIGINT) AS p_partkey FROM bronze_erp_orders_raw
+
 -- :sku_dim
-SELECT printf('SKU%05d', p_partkey) AS sku_id,
+SELECT sku_id,
        CASE WHEN p_partkey % 10 < 6 THEN 'pipe' WHEN p_partkey % 10 < 8 THEN 'chambers' ELSE 'structures' END AS sku_family,
        CAST(CASE WHEN p_partkey % 10 < 6 THEN 75.0 + (p_partkey % 50) * CAST(1.2 AS DOUBLE)
                  WHEN p_partkey % 10 < 8 THEN 240.0 + (p_partkey % 40) * 2.5
                  ELSE 520.0 + (p_partkey % 30) * 4.0 END AS DOUBLE) AS unit_price
-FROM part
+FROM ordered_skus
+
+-- :ordering_customers
+SELECT DISTINCT customer_id, CAST(substr(customer_id, 2) AS BIGINT) AS c_custkey FROM bronze_erp_orders_raw
+
+-- :plant_regions
+SELECT list(DISTINCT plant_region ORDER BY plant_region) AS names FROM bronze_plant_locations
 
 -- :customer_dim
-SELECT printf('C%06d', c_custkey) AS customer_id,
-       (SELECT list(r_name ORDER BY r_regionkey) FROM region)[c_custkey % (SELECT count(*) FROM region) + 1] AS customer_region,
+SELECT customer_id, (SELECT names FROM plant_regions)[c_custkey % (SELECT len(names) FROM plant_regions) + 1] AS customer_region,
        CASE WHEN c_custkey % 10 < 5 THEN 'distributor' WHEN c_custkey % 10 < 8 THEN 'contractor'
             WHEN c_custkey % 10 < 9 THEN 'DOT' ELSE 'ag' END AS channel
-FROM customer
+FROM ordering_customers
 
 -- :primary_dc_by_region
 SELECT dc_region AS region, min(dc_id) AS primary_dc_id FROM bronze_dc_locations GROUP BY 1
@@ -211,8 +219,7 @@ SELECT dc_region AS region, min(dc_id) AS primary_dc_id FROM bronze_dc_locations
 SELECT plant_region AS region, list(plant_id ORDER BY plant_id) AS plants FROM bronze_plant_locations GROUP BY 1
 
 -- :calendar_spine
-SELECT CAST(unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS DATE) AS date
-FROM orders
+SELECT CAST(unnest(generate_series(min(order_date), max(order_date), INTERVAL 1 DAY)) AS DATE) AS date FROM bronze_erp_orders_raw
 
 -- :calendar_features
 SELECT date, CAST(dayofyear(date) AS INTEGER) AS doy, CAST(dayofweek(date) + 1 AS INTEGER) AS dow,

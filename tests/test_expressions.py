@@ -41,8 +41,8 @@ def test_severity_borders(spark):
 
 
 def test_labels_and_formats(spark):
-    assert one(spark, E.without_words("n", E.PLANT_NAME_WORDS), n="ADS Hamilton Plant") == "HAMILTON"
-    assert one(spark, E.without_words("n", E.DC_NAME_WORDS), n="ADS Cabot Yard") == "CABOT"
+    assert one(spark, E.without_words("n", ("Site ", *E.PLANT_NAME_WORDS)), n="Site Hamilton Plant") == "HAMILTON"
+    assert one(spark, E.without_words("n", ("Site ", *E.DC_NAME_WORDS)), n="Site Cabot Yard") == "CABOT"
     assert one(spark, E.percent_text("r"), r=0.8534) == "85.3%"
     assert one(spark, E.dollar_text("r"), r=1234.5) == "$1,234.50"
     assert one(spark, E.count_text("r"), r=1234567) == "1,234,567"
