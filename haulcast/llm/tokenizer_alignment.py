@@ -2,8 +2,8 @@
 
 Both tokenizers encode every whole text. Where tokens of both end at the same byte and the next token of both begins with a
 space (or the text ends), an anchor cuts the document into windows of token ids. A window is aligned once for its tuple of
-ids and remembered: its cuts, its groups as text and its links. Documents are dealt with in blocks of a bounded size of
-text; a block lists its distinct windows and id pairs once, so that what is counted and shuffled for the corpus is one
+ids and remembered: its groups as text and its links. Documents are dealt with in blocks of a bounded size of text; a
+block lists its distinct id pairs once and its documents by their numbers, so that what is counted for the corpus is one
 row for each block and pair, never one for each token.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,13 @@ from haulcast.llm.words import blocks, ragged_take
 
 BLOCK_BYTES = 16 << 20  # text of a block
 CHUNK_BYTES = 1 << 20  # text whose tokens are held at a time
-REMEMBERED = 400_000  # windows kept in a task's memory between blocks
+REMEMBERED = 500_000  # windows, and groups, kept in a task's memory between blocks
 SECOND = np.uint32(1 << 31)  # marks ids of the second tokenizer in a window's key
 
+# A row for each document (its distinct pairs by number, and how often it holds each, as bytes) and for each distinct pair.
 WRITTEN = """
-block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, windows array<int>,
-window int, pairs array<int>, pair int, a int, b int, docs int
+block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_pairs int, pairs binary,
+times binary, pair int, a int, b int, docs int
 """
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -91,29 +93,46 @@ class PieceTokens:
         return np.array(self.processor.encode(text, num_threads=1), np.uint32)
 
 
-class Aligned:
-    """One alignment: groups as text, their number, and the linked pairs as one integer each, repeats included."""
+class Alignments:
+    """Alignments of windows that a task remembers by their ids: groups as text, their number, linked pairs with repeats.
 
-    __slots__ = ("n_groups", "pairs", "text")
+    A linked pair is one integer. The groups that windows consist of are remembered too.
+    """
 
-    def __init__(self, key: bytes, a: Vocabulary, b: Vocabulary):
-        ids = np.frombuffer(key, np.uint32)
-        first, second = ids[ids < SECOND].tolist(), (ids[ids >= SECOND] - SECOND).tolist()
-        groups, pairs, i, j, end_a, end_b = [], [], 0, 0, 0, 0
-        from_a, from_b = 0, 0
-        while i < len(first) or j < len(second):
-            if end_a <= end_b and i < len(first):
-                end_a += int(a.lengths[first[i]])
-                i += 1
-            else:
-                end_b += int(b.lengths[second[j]])
+    def __init__(self, a: Vocabulary, b: Vocabulary):
+        self.lengths = a.lengths.tolist(), b.lengths.tolist()
+        self.windows: dict[bytes, tuple[str, int, list[int]]] = {}
+        self.groups: dict[tuple, tuple[str, list[int]]] = {}
+
+    def forget(self) -> None:
+        if len(self.windows) > REMEMBERED:
+            self.windows.clear()
+        if len(self.groups) > REMEMBERED:
+            self.groups.clear()
+
+    def group(self, first: list[int], second: list[int]) -> tuple[str, list[int]]:
+        key = (tuple(first), tuple(second))
+        if (known := self.groups.get(key)) is None:
+            text = ",".join(map(str, first)) + "|" + ",".join(map(str, second))
+            known = self.groups[key] = (text, [x << 32 | y for x in first for y in second])
+        return known
+
+    def window(self, key: bytes, first: list[int], second: list[int]) -> tuple[str, int, list[int]]:
+        """Cut where tokens of both end at the same byte, and remember under ``key``."""
+        (of_a, of_b), texts, pairs = self.lengths, [], []
+        j = from_a = from_b = end_a = end_b = 0
+        for i, token in enumerate(first, 1):
+            end_a += of_a[token]
+            while end_b < end_a:
+                end_b += of_b[second[j]]
                 j += 1
             if end_a == end_b:
-                left, right = first[from_a:i], second[from_b:j]
-                groups.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-                pairs += [x << 32 | y for x in left for y in right]
+                text, linked = self.group(first[from_a:i], second[from_b:j])
+                texts.append(text)
+                pairs += linked
                 from_a, from_b = i, j
-        self.text, self.n_groups, self.pairs = ";".join(groups), len(groups), np.array(pairs, np.int64)
+        made = self.windows[key] = (";".join(texts), len(texts), pairs)
+        return made
 
 
 def anchors(a: np.ndarray, b: np.ndarray, first: Vocabulary, second: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -140,16 +159,18 @@ def window_keys(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray
 class Block:
     """The documents of up to ``BLOCK_BYTES`` of text, their distinct windows and their distinct pairs."""
 
-    def __init__(self, number: int, known: dict[bytes, Aligned], a: ByteTokens, b: PieceTokens):
+    def __init__(self, number: int, known: Alignments, a: ByteTokens, b: PieceTokens):
         self.number, self.known, self.a, self.b = number, known, a, b
-        self.place: dict[bytes, int] = {}
-        self.windows: list[Aligned] = []
+        self.place: dict[bytes, int] = {}  # of the block's distinct windows, whose alignments follow
+        self.texts: list[str] = []
+        self.n_groups: list[int] = []
+        self.pairs: list[list[int]] = []
         self.docs: list[tuple] = []
         self.size = 0
 
     def add(self, doc_id: int | None, text: str) -> None:
         self.size += len(text)
-        nothing = (doc_id, 0, 0, 0, 0, "", np.zeros(0, np.int32))
+        nothing = (doc_id, 0, 0, "", np.zeros(0, np.int32))
         if not text:
             self.docs.append(nothing)
             return
@@ -160,63 +181,77 @@ class Block:
             return
         at_a, at_b = anchors(a, b, first, second)
         keys = window_keys(a, b, at_a, at_b)
-        place, n_groups, n_links = self.place, 0, 0
-        found, texts = [], []
-        for key in keys:
+        found = list(map(self.place.get, keys))
+        if None in found:
+            self._place_new(keys, found, a.tolist(), b.tolist(), [0, *at_a.tolist()], [0, *at_b.tolist()])
+        digest = hashlib.sha256(";".join(map(self.texts.__getitem__, found)).encode()).hexdigest()
+        self.docs.append((doc_id, len(a), len(b), digest, np.array(found, np.int32)))
+
+    def _place_new(self, keys: list[bytes], found: list, a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> None:
+        """Align the windows that the block has not met, and fill in their places."""
+        place, known = self.place, self.known
+        for k, at in enumerate(found):
+            if at is not None:
+                continue
+            key = keys[k]
             at = place.get(key)
             if at is None:
-                window = self.known.get(key)
-                if window is None:
-                    window = self.known[key] = Aligned(key, first, second)
-                at = place[key] = len(self.windows)
-                self.windows.append(window)
-            else:
-                window = self.windows[at]
-            found.append(at)
-            texts.append(window.text)
-            n_groups += window.n_groups
-            n_links += len(window.pairs)
-        digest = hashlib.sha256(";".join(texts).encode()).hexdigest()
-        self.docs.append((doc_id, len(a), len(b), n_groups, n_links, digest, np.array(found, np.int32)))
+                made = known.windows.get(key) or known.window(key, a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]])
+                at = place[key] = len(self.texts)
+                self.texts.append(made[0])
+                self.n_groups.append(made[1])
+                self.pairs.append(made[2])
+            found[k] = at
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        """Rows of the documents, of the distinct windows, and of the distinct pairs with the documents that hold them."""
-        names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "windows")
-        yield self._rows(len(self.docs), **dict(zip(names, zip(*self.docs))))
-        if not self.windows:
-            return
-        sizes = np.array([len(w.pairs) for w in self.windows])
-        codes, inverse = np.unique(np.concatenate([w.pairs for w in self.windows]), return_inverse=True)
-        inverse, starts = inverse.astype(np.int32), np.cumsum(sizes) - sizes
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(inverse)].astype(np.int32)), pa.array(inverse))
-        yield self._rows(len(sizes), window=np.arange(len(sizes)), pairs=lists)
-        docs = np.zeros(len(codes), np.int32)
-        for *_, found in self.docs:
-            windows = np.unique(found)
-            docs[np.unique(ragged_take(inverse, starts, sizes, windows))] += 1
-        yield self._rows(len(codes), pair=np.arange(len(codes)), a=codes >> 32, b=codes & 0xFFFFFFFF, docs=docs)
+        """Rows of the documents, and of the distinct pairs with the number of documents that hold them."""
+        sizes, n_groups = np.fromiter(map(len, self.pairs), np.int64, len(self.pairs)), np.array(self.n_groups, np.int64)
+        flat = np.fromiter(chain.from_iterable(self.pairs), np.int64, int(sizes.sum()))
+        codes, inverse = np.unique(flat, return_inverse=True)
+        starts, docs, links = np.cumsum(sizes) - sizes, np.zeros(len(codes), np.int32), []
+        for *_, windows in self.docs:
+            held, times = np.unique(ragged_take(inverse, starts, sizes, windows), return_counts=True)
+            docs[held] += 1
+            links.append((n_groups[windows].sum(), times.sum(), len(held), narrow(held), narrow(times)))
+        doc_id, n_a, n_b, digest, _ = zip(*self.docs)
+        named = dict(zip(("n_groups", "n_links", "n_pairs", "pairs", "times"), zip(*links)))
+        yield self._rows(len(doc_id), doc_id=doc_id, n_a=n_a, n_b=n_b, groups_sha256=digest, **named)
+        if len(codes):
+            yield self._rows(len(codes), pair=np.arange(len(codes)), a=codes >> 32, b=codes & 0xFFFFFFFF, docs=docs)
 
     def _rows(self, n: int, **columns) -> pa.RecordBatch:
         arrays = [
             pa.array(np.full(n, self.number)) if f.name == "block"
             else pa.nulls(n, f.type) if f.name not in columns
-            else columns[f.name] if isinstance(columns[f.name], pa.Array)
             else pa.array(columns[f.name], f.type)
             for f in _ARROW
         ]
         return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
 
-_KIND = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+def narrow(values: np.ndarray) -> bytes:
+    """Non-negative integers in the narrowest type that holds them all."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def widened(rows: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """What ``narrow`` made of several arrays, end to end; the width follows from the number of values."""
+    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+    parts = [np.frombuffer(r, kinds[len(r) // n]).astype(np.int64) for r, n in zip(rows, counts.tolist()) if n]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
+_KIND = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 _ARROW = pa.schema([(c.split()[0], _KIND[c.split()[1]]) for c in WRITTEN.replace("\n", " ").split(",")])
 
 
 def aligned(docs: DataFrame, byte_json: str, pattern: str, piece_model: bytes) -> DataFrame:
-    """Rows of ``WRITTEN``: documents, windows and pairs of every block, told apart by which columns are null."""
+    """Rows of ``WRITTEN``: documents and pairs of every block, told apart by which columns are null."""
     files = docs.sparkSession.sparkContext.broadcast((byte_json, pattern, piece_model))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, known = ByteTokens(*files.value[:2]), PieceTokens(files.value[2]), {}
+        a, b = ByteTokens(*files.value[:2]), PieceTokens(files.value[2])
+        known = Alignments(a.vocabulary, b.vocabulary)
         number = TaskContext.get().partitionId() << 32
         block = Block(number, known, a, b)
         for whole in batches:
@@ -225,8 +260,7 @@ def aligned(docs: DataFrame, byte_json: str, pattern: str, piece_model: bytes) -
                     block.add(doc_id, text or "")
                 if block.size >= BLOCK_BYTES:
                     yield from block.batches()
-                    if len(known) > REMEMBERED:
-                        known.clear()
+                    known.forget()
                     number += 1
                     block = Block(number, known, a, b)
         if block.docs:
@@ -235,25 +269,17 @@ def aligned(docs: DataFrame, byte_json: str, pattern: str, piece_model: bytes) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(align, WRITTEN)
 
 
-def _scored(key: tuple, own: pa.Table, pairs: pa.Table) -> pa.Table:
-    """One block: links' counts summed for each distinct window, then for each document."""
-    n = len(pairs)
+def _scored(key: tuple, docs: pa.Table, pairs: pa.Table) -> pa.Table:
+    """One block: the counts of its pairs summed over each document's links."""
     order = np.argsort(pairs.column("pair").to_numpy())
     count, best = pairs.column("count").to_numpy()[order], pairs.column("best").to_numpy()[order].astype(np.int64)
-    held = own.column("window").is_valid()
-    windows, docs = own.filter(held), own.filter(own.column("windows").is_valid())
-    windows = windows.take(pa.array(np.argsort(windows.column("window").to_numpy()))).combine_chunks()
-    sums = [np.zeros(len(windows), np.int64)] * 2
-    if n:
-        lists = windows.column("pairs").combine_chunks()
-        flat, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
-        sums = [np.add.reduceat(x[flat], bounds) for x in (best, count)]
-    lists = docs.column("windows").combine_chunks()
-    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    sizes = docs.column("n_pairs").to_numpy().astype(np.int64)
+    held, times = (widened(docs.column(c).to_pylist(), sizes) for c in ("pairs", "times"))
+    ends = np.cumsum(sizes)
     totals = []
-    for x in sums:
-        running = np.r_[0, np.cumsum(x[flat])]
-        totals.append(pa.array(running[ends] - running[np.r_[0, ends[:-1]]], pa.int64()))
+    for value in (best, count):
+        running = np.r_[0, np.cumsum(times * value[held])]
+        totals.append(pa.array(running[ends] - running[ends - sizes], pa.int64()))
     kept = {name: docs.column(name) for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
     return pa.table(kept | {"n_best": totals[0], "count_sum": totals[1], "groups_sha256": docs.column("groups_sha256")})
 
