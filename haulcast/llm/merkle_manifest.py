@@ -56,11 +56,12 @@ def ranked(rows: DataFrame, group: str, order: Sequence[Column], name: str) -> D
 @dataclass(frozen=True)
 class Manifest:
     """``leaves``: what was given, with ``tree`` (number of the source) and ``rank``; ``store``: ``digest, children``;
-    ``trees``: ``tree, source, n, digest`` of every source; ``root``: its digest, None for an empty table."""
+    ``trees``: ``tree, source, n, digest`` of every source; ``top``: the root's row, none for an empty table."""
 
     leaves: DataFrame
     store: DataFrame
     trees: DataFrame
+    top: DataFrame
     root: str | None
     n_trees: int
     tallest: int
@@ -105,11 +106,12 @@ def build(leaves: DataFrame) -> Manifest:
     subroots = publish(reduce(DataFrame.unionByName, tops), "subroots")
     above = subroots.select(F.lit(0).alias("tree"), F.col("tree").alias("at"), F.lit(n_trees).alias("n"), "digest")
     more, top = _fold(above, sum(n_trees > FANOUT**k for k in range(63 // BITS)), "source-level")
-    root = reduce(DataFrame.unionByName, top).first()
+    top = publish(reduce(DataFrame.unionByName, top), "top")
+    root = top.first()
     empty = given.select(F.col("leaf").alias("digest"), F.array("leaf").alias("children")).limit(0)
     store = reduce(DataFrame.unionByName, [*records, *more, empty]).groupBy("digest").agg(F.first("children").alias("children"))
     trees = sources.join(subroots, "tree").select("tree", F.col("named").alias("source"), F.col("size").alias("n"), "digest")
-    return Manifest(placed, publish(store, "store"), publish(trees, "subroots"), root and root["digest"], n_trees, tallest)
+    return Manifest(placed, publish(store, "store"), publish(trees, "subroots"), top, root and root["digest"], n_trees, tallest)
 
 
 def _step(nodes: DataFrame, store: DataFrame) -> DataFrame:
@@ -142,16 +144,11 @@ def prove(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
 
     A segment is ``digit, others``: the request's place among its siblings, and their digests from left to right.
     """
-    spark, rows = manifest.leaves.sparkSession, manifest.leaves if requests is None else requests
+    rows = manifest.leaves if requests is None else requests
     levels = sum(manifest.n_trees > FANOUT**k for k in range(63 // BITS))
     nothing = F.array().cast("array<struct<digit:int,others:string>>")
-    start = spark.range(0 if manifest.root is None else 1).select(
-        F.lit(0).cast("long").alias("tree"),
-        F.col("id").alias("at"),
-        F.lit(levels).alias("left"),
-        F.lit(manifest.root or "").alias("digest"),
-        nothing.alias("path"),
-    )
+    none = F.lit(0).cast("long")
+    start = manifest.top.select(none.alias("tree"), none.alias("at"), F.lit(levels).alias("left"), "digest", nothing.alias("path"))
     wanted = None if requests is None else requests.select("tree").distinct()
     subroots = _descend(start, manifest.store, levels, 0).select(F.col("at").alias("tree"), "digest", "path")
     if wanted is not None:
