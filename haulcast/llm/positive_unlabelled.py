@@ -1,8 +1,8 @@
 """Quality classifier by positive-unlabelled learning: the non-negative unbiased risk is minimised in numpy.
 
-Trusted positives and unlabelled texts are bounded samples (``MOST_ROWS`` each, by hash of id and text); the scorer is
-applied to every whole text in Arrow batches. The driver sees vectors of features, never texts. The prior is the share
-of positives among learnable labels.
+Trusted positives and unlabelled texts are bounded samples (about ``MOST_ROWS`` each, by hash of id and text); the scorer
+is applied to every whole text in Arrow batches. The driver sees weights, never texts or their features. The prior is
+estimated from the scores of positives and unlabelled texts; negative labels are never read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BUCKETS = 512  # hashed shapes of words
 EPOCHS = 60
 RATE = 0.02
 DECAY = 1e-3
+LEAST_ROWS = 100  # scores of either kind that an estimate of the prior needs
+PRIOR = 0.85  # stands where there are fewer
 DENSE = 11
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SHAPE = str.maketrans({**{c: "a" for c in "bcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "123456789"}})
@@ -92,60 +94,96 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return w, mean, spread
 
 
-def sampled(texts: DataFrame, chosen: DataFrame, most: int) -> np.ndarray:
-    """Features of up to ``most`` rows of ``chosen``, those of the smallest ``key``, with a last column of ones.
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from scores of rows that the scorer was not fitted on.
 
-    Only keys are sorted; the broadcast table has at most ``most`` of them. Repeated rows share a key and count each.
+    Above any score, the unlabelled hold at least the prior's share of what the positives hold there. Every score so gives
+    an upper bound, their ratio with its sampling error against it; the estimate is the ratio where the bound is smallest.
     """
-    picked = publish(chosen.select("key").orderBy("key").limit(most).distinct(), "sample-keys")
+    p, u = np.sort(positive)[::-1], np.sort(unlabelled)[::-1]
+    held_p = np.arange(1, len(p) + 1) / len(p)
+    held_u = np.searchsorted(-u, -p, "right") / len(u)
+    error = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    best = int(np.argmin((held_u + error) / held_p))
+    return min(0.95, max(0.05, float(held_u[best] / held_p[best])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in blocks(whole):
-                vectors = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary())], ["vector"])
-
-    rows = texts.join(F.broadcast(picked), "key", "left_semi").select("text").mapInArrow(run, "vector binary")
-    rows = publish(rows.limit(most), "sample")
-    out = np.ones((rows.count(), DENSE + BUCKETS + 1), np.float32)
-    for i, row in enumerate(rows.toLocalIterator()):
-        out[i, :-1] = np.frombuffer(row["vector"], np.float32)
-    return out
+
+def learn(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Weights, means, deviations and the prior. One half of either sample orders the other half to estimate the prior."""
+    halves = [(x[::2].copy(), x[1::2].copy()) for x in (positive, unlabelled)]
+    prior = PRIOR
+    if all(len(x) >= LEAST_ROWS for pair in halves for x in pair):
+        w, mean, spread = fit(halves[0][0], halves[1][0], 0.5)
+        scores = [((x[:, :-1] - mean) / spread).clip(-8, 8) @ w[:-1] + w[-1] for _, x in halves]
+        prior = class_prior(*scores)
+    return *fit(positive, unlabelled, prior), prior
+
+
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """Distinct ``key`` of about ``most`` rows at most: those whose hash falls below a share of its range.
+
+    Nothing is sorted and no task sees more than its own rows; repeated rows share a key and count once.
+    """
+    n = rows.agg(F.approx_count_distinct("key", 0.01)).first()[0]
+    below = F.col("key") <= F.lit(-(2**63) + (2**64 - 1) * min(most, n) // max(n, 1))
+    return rows.where(below).select("key").distinct()
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = MOST_ROWS) -> tuple:
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``; ``learnable`` is over doc_id.
 
-    Labels outside ``learnable`` are never read. Without positives, or with no label 0, the prior is kept inside 0.05
-    to 0.95; an empty sample gives a model that scores every text with the prior.
+    Only label 1 is read, and no label outside ``learnable``; the prior is estimated from the positives and the unlabelled,
+    and is ``PRIOR`` where half of either sample has fewer than ``LEAST_ROWS``.
+    Both samples are learnt from in one task, which returns the weights. Without positives or texts every text gets 0.5.
     """
-    known = labels.where(learnable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    prior = min(0.95, max(0.05, share if share is not None else 0.5))
-    texts = docs.where(learnable).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    positive = sampled(texts, texts.select("doc_id", "key").join(known.where("quality = 1"), "doc_id"), most)
-    unlabelled = sampled(texts, texts, most)
-    if not len(positive) or not len(unlabelled):
-        w = np.zeros(DENSE + BUCKETS + 1)
-        w[-1] = np.log(prior / (1 - prior))
-        return w, np.zeros(DENSE + BUCKETS), np.ones(DENSE + BUCKETS)
-    return fit(positive, unlabelled, prior)
-
-
-def score(docs: DataFrame, model: tuple) -> DataFrame:
-    """The rows of ``docs`` with ``quality_score`` (0 to 1) appended; a null text is empty. Any other columns are carried
-    (one of that name is replaced); an empty table gives no rows."""
+    known = labels.where(learnable & (F.col("quality") == 1)).select("doc_id").distinct()
+    keyed = docs.where(learnable).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    named = keyed.join(known, "doc_id", "left_semi").select("key")
+    keys = sampled(named, most).select("key", F.lit(True).alias("positive"))
+    keys = publish(keys.unionByName(sampled(keyed.select("key"), most).select("key", F.lit(False).alias("positive"))), "sample-keys")
+    texts = keyed.join(F.broadcast(keys.select("key").distinct()), "key", "left_semi").select("key", "text")
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks(whole):
+                made = [features(t).tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.binary())], ["key", "vector"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        for batch in batches:
+            held = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float32).reshape(len(batch), -1)
+            chosen = batch.column("positive").to_numpy(zero_copy_only=False)
+            for side, parts in samples.items():
+                parts.append(np.column_stack([held[chosen == side], np.ones((chosen == side).sum(), np.float32)]))
+        positive, unlabelled = (np.concatenate(x) if x else np.zeros((0, 0), np.float32) for x in samples.values())
+        if len(positive) and len(unlabelled):
+            parts = [pa.array([x], pa.list_(pa.float64())) for x in learn(positive, unlabelled)[:3]]
+            yield pa.RecordBatch.from_arrays(parts, ["weights", "means", "deviations"])
+
+    made = publish(texts.mapInArrow(vectors, "key long, vector binary").dropDuplicates(["key"]), "sample")
+    ordered = made.join(keys, "key").repartition(1).sortWithinPartitions("key")
+    model = ordered.select("positive", "vector").mapInArrow(run, "weights array<double>, means array<double>, deviations array<double>")
+    model = publish(model, "weights").first()
+    if model is None:
+        return np.zeros(DENSE + BUCKETS + 1), np.zeros(DENSE + BUCKETS), np.ones(DENSE + BUCKETS)
+    return np.array(model.weights), np.array(model.means), np.array(model.deviations)
+
+
+def score(docs: DataFrame, model: tuple, name: str = "quality_score") -> DataFrame:
+    """The rows of ``docs`` with a score (0 to 1) appended as ``name``; a null text is empty. Any other columns are carried
+    (one of that name is replaced); repeated rows stay; an empty table gives no rows."""
     w, mean, spread = model
-    rest = [c for c in docs.columns if c != "quality_score"]
+    rest = [c for c in docs.columns if c != name]
+    given = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])  # names without dots for the call
+    text = f"c{rest.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks(whole):
-                x = np.array([features(t) for t in batch.column("text").to_pylist()])
+            for batch in blocks(whole, text):
+                x = np.array([features(t) for t in batch.column(text).to_pylist()])
                 z = ((x - mean) / spread).clip(-8, 8) @ w[:-1] + w[-1]
                 value = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, value], [*batch.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, value], [*batch.schema.names, "score"])
 
-    given = docs.select(*[f"`{c}`" for c in rest])
-    return given.mapInArrow(run, StructType([*given.schema.fields, StructField("quality_score", DoubleType())]))
+    return given.mapInArrow(run, StructType([*given.schema.fields, StructField("score", DoubleType())])).toDF(*rest, name)
