@@ -19,9 +19,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a score of 0.5 or more, by a model of the labels and of the rows that came this far."""
+    """Rows with a score of 0.5 or more, by a model of the labels and of the rows that came this far.
+
+    All columns stay, whatever their names; a null text scores as an empty one, repeated rows score alike.
+    """
     model = positive_unlabelled.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return positive_unlabelled.score(docs, model).where("quality_score >= 0.5").drop("quality_score")
+    score = "_".join(["score", *docs.columns])  # no column has this name
+    return positive_unlabelled.score(docs, model, score).where(F.col(f"`{score}`") >= 0.5).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of its source takes it."""
-    return repeated(systematic_mix(docs)).select(*docs.columns)
+    return repeated(systematic_mix(docs)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
