@@ -39,16 +39,15 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 
 class Vocabulary:
-    """The bytes of every id end to end, where each begins, how long it is, and whether it begins with a space."""
+    """The bytes of every id, how long they are, and whether they begin with a space."""
 
     def __init__(self, tokens: list[bytes]):
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.tokens = tokens
         self.lengths = np.array([len(t) for t in tokens], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
         self.spaced = np.array([t[:1] == b" " for t in tokens])
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return ragged_take(self.bytes, self.starts, self.lengths, ids).tobytes()
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 def byte_of() -> dict[str, int]:
@@ -73,8 +72,8 @@ class ByteTokens:
         )
         self.vocabulary = Vocabulary([vocabulary.get(i, b"") for i in range(max(vocabulary) + 1)])
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(" " + text), np.uint32)
+    def encode(self, text: str) -> list[int]:
+        return self.encoding.encode_ordinary(" " + text)
 
 
 class PieceTokens:
@@ -89,20 +88,20 @@ class PieceTokens:
             ]
         )
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.processor.encode(text, num_threads=1), np.uint32)
+    def encode(self, text: str) -> list[int]:
+        return self.processor.encode(text, num_threads=1)
 
 
 class Alignments:
-    """Alignments of windows that a task remembers by their ids: groups as text, their number, linked pairs with repeats.
+    """Alignments that a task remembers by their ids: groups as text, their number, linked pairs with repeats.
 
-    A linked pair is one integer. The groups that windows consist of are remembered too.
+    A key holds, group after group, the ids of the first tokenizer and the marked ids of the second. A linked pair is one
+    integer. The groups that windows consist of are remembered too.
     """
 
-    def __init__(self, a: Vocabulary, b: Vocabulary):
-        self.lengths = a.lengths.tolist(), b.lengths.tolist()
+    def __init__(self):
         self.windows: dict[bytes, tuple[str, int, list[int]]] = {}
-        self.groups: dict[tuple, tuple[str, list[int]]] = {}
+        self.groups: dict[bytes, tuple[str, list[int]]] = {}
 
     def forget(self) -> None:
         if len(self.windows) > REMEMBERED:
@@ -110,50 +109,41 @@ class Alignments:
         if len(self.groups) > REMEMBERED:
             self.groups.clear()
 
-    def group(self, first: list[int], second: list[int]) -> tuple[str, list[int]]:
-        key = (tuple(first), tuple(second))
-        if (known := self.groups.get(key)) is None:
-            text = ",".join(map(str, first)) + "|" + ",".join(map(str, second))
-            known = self.groups[key] = (text, [x << 32 | y for x in first for y in second])
-        return known
-
-    def window(self, key: bytes, first: list[int], second: list[int]) -> tuple[str, int, list[int]]:
-        """Cut where tokens of both end at the same byte, and remember under ``key``."""
-        (of_a, of_b), texts, pairs = self.lengths, [], []
-        j = from_a = from_b = end_a = end_b = 0
-        for i, token in enumerate(first, 1):
-            end_a += of_a[token]
-            while end_b < end_a:
-                end_b += of_b[second[j]]
-                j += 1
-            if end_a == end_b:
-                text, linked = self.group(first[from_a:i], second[from_b:j])
-                texts.append(text)
-                pairs += linked
-                from_a, from_b = i, j
-        made = self.windows[key] = (";".join(texts), len(texts), pairs)
+    def group(self, key: bytes) -> tuple[str, list[int]]:
+        ids = np.frombuffer(key, np.uint32)
+        first, second = ids[ids < SECOND].tolist(), (ids[ids >= SECOND] - SECOND).tolist()
+        text = ",".join(map(str, first)) + "|" + ",".join(map(str, second))
+        made = self.groups[key] = (text, [x << 32 | y for x in first for y in second])
+        return made
+
+    def window(self, key: bytes, groups: list[bytes]) -> tuple[str, int, list[int]]:
+        """The alignment of a window that consists of the groups, remembered under ``key``."""
+        known = self.groups
+        parts = [known.get(g) or self.group(g) for g in groups]
+        pairs = [p for _, linked in parts for p in linked]
+        made = self.windows[key] = (";".join([text for text, _ in parts]), len(parts), pairs)
         return made
 
 
-def anchors(a: np.ndarray, b: np.ndarray, first: Vocabulary, second: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """For the tokens of one text, how many of either tokenizer stand before each anchor, the last anchor being the end."""
+def shared_ends(a: np.ndarray, b: np.ndarray, first: Vocabulary, second: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the tokens of one text, how many of either tokenizer stand before each end that both share, and which of those
+    ends are anchors: the next tokens of both begin with a space, or the text ends."""
     ends_a, ends_b = np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b])
-    _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-    at_a, at_b = at_a + 1, at_b + 1
-    inner = at_a < len(a)
-    kept = ~inner
-    kept[inner] = first.spaced[a[at_a[inner]]] & second.spaced[b[at_b[inner]]]
-    return at_a[kept], at_b[kept]
+    near = np.searchsorted(ends_b, ends_a)  # both end with the text, so no place is beyond
+    at_a = np.flatnonzero(ends_b[near] == ends_a)
+    at_a, at_b = at_a + 1, near[at_a] + 1
+    anchor = np.ones(len(at_a), bool)
+    anchor[:-1] = first.spaced[a[at_a[:-1]]] & second.spaced[b[at_b[:-1]]]
+    return at_a, at_b, anchor
 
 
-def window_keys(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> list[bytes]:
-    """Each window's ids, those of the first tokenizer before the marked ones of the second, as bytes."""
+def in_groups(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> bytes:
+    """The ids group by group, those of the first tokenizer before the marked ones of the second."""
     both = np.empty(len(a) + len(b), np.uint32)
     size_a, size_b = np.diff(at_a, prepend=0), np.diff(at_b, prepend=0)
     both[np.arange(len(a)) + np.repeat(at_b - size_b, size_a)] = a
     both[np.arange(len(b)) + np.repeat(at_a, size_b)] = b | SECOND
-    data, ends = both.tobytes(), (4 * (at_a + at_b)).tolist()
-    return [data[s:e] for s, e in zip([0, *ends], ends)]
+    return both.tobytes()
 
 
 class Block:
@@ -174,20 +164,23 @@ class Block:
         if not text:
             self.docs.append(nothing)
             return
-        first, second = self.a.vocabulary, self.b.vocabulary
-        a, b, own = self.a.encode(text), self.b.encode(text), (" " + text).encode()
-        if first.joined(a) != own or second.joined(b) != own:
+        ids_a, ids_b, own = self.a.encode(text), self.b.encode(text), (" " + text).encode()
+        if self.a.vocabulary.joined(ids_a) != own or self.b.vocabulary.joined(ids_b) != own:
             self.docs.append(nothing)
             return
-        at_a, at_b = anchors(a, b, first, second)
-        keys = window_keys(a, b, at_a, at_b)
+        a, b = np.array(ids_a, np.uint32), np.array(ids_b, np.uint32)
+        at_a, at_b, anchor = shared_ends(a, b, self.a.vocabulary, self.b.vocabulary)
+        data, cuts = in_groups(a, b, at_a, at_b), [0, *(4 * (at_a + at_b)).tolist()]
+        windows = [0, *(np.flatnonzero(anchor) + 1).tolist()]
+        ends = list(map(cuts.__getitem__, windows))
+        keys = [data[s:e] for s, e in zip(ends, ends[1:])]
         found = list(map(self.place.get, keys))
         if None in found:
-            self._place_new(keys, found, a.tolist(), b.tolist(), [0, *at_a.tolist()], [0, *at_b.tolist()])
+            self._place_new(keys, found, data, cuts, windows)
         digest = hashlib.sha256(";".join(map(self.texts.__getitem__, found)).encode()).hexdigest()
         self.docs.append((doc_id, len(a), len(b), digest, np.array(found, np.int32)))
 
-    def _place_new(self, keys: list[bytes], found: list, a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> None:
+    def _place_new(self, keys: list[bytes], found: list, data: bytes, cuts: list[int], windows: list[int]) -> None:
         """Align the windows that the block has not met, and fill in their places."""
         place, known = self.place, self.known
         for k, at in enumerate(found):
@@ -196,7 +189,10 @@ class Block:
             key = keys[k]
             at = place.get(key)
             if at is None:
-                made = known.windows.get(key) or known.window(key, a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]])
+                made = known.windows.get(key)
+                if made is None:
+                    ends = cuts[windows[k] : windows[k + 1] + 1]
+                    made = known.window(key, [data[s:e] for s, e in zip(ends, ends[1:])])
                 at = place[key] = len(self.texts)
                 self.texts.append(made[0])
                 self.n_groups.append(made[1])
@@ -210,7 +206,7 @@ class Block:
         codes, inverse = np.unique(flat, return_inverse=True)
         starts, docs, links = np.cumsum(sizes) - sizes, np.zeros(len(codes), np.int32), []
         for *_, windows in self.docs:
-            held, times = np.unique(ragged_take(inverse, starts, sizes, windows), return_counts=True)
+            held, times = counted(ragged_take(inverse, starts, sizes, windows), len(codes))
             docs[held] += 1
             links.append((n_groups[windows].sum(), times.sum(), len(held), narrow(held), narrow(times)))
         doc_id, n_a, n_b, digest, _ = zip(*self.docs)
@@ -229,6 +225,15 @@ class Block:
         return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
 
+def counted(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values below n, ascending, and how often each comes: by whichever way costs less."""
+    if 8 * len(values) < n:
+        return np.unique(values, return_counts=True)
+    times = np.bincount(values, minlength=n)
+    held = np.flatnonzero(times)
+    return held, times[held]
+
+
 def narrow(values: np.ndarray) -> bytes:
     """Non-negative integers in the narrowest type that holds them all."""
     return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
@@ -251,7 +256,7 @@ def aligned(docs: DataFrame, byte_json: str, pattern: str, piece_model: bytes) -
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = ByteTokens(*files.value[:2]), PieceTokens(files.value[2])
-        known = Alignments(a.vocabulary, b.vocabulary)
+        known = Alignments()
         number = TaskContext.get().partitionId() << 32
         block = Block(number, known, a, b)
         for whole in batches:
