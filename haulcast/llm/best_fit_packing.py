@@ -32,20 +32,23 @@ def best_fit(size: np.ndarray, source: np.ndarray, cluster: np.ndarray, capacity
     clusters: list[int] = []
     sources: list[list[int]] = []
     bins, starts = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    last, tightest = None, (0, -1)
     for i, (need, s, c) in enumerate(zip(size.tolist(), source.tolist(), cluster.tolist())):
-        s_bit, c_bit = 1 << s, 1 << c
-        at = bisect_left(order, (need, -1))
+        s_bit, c_bit = 1 << s, 1 << c if c >= 0 else 0
+        # For a piece like the one before, bins passed over then still conflict, and none has come among them since.
+        at = bisect_left(order, tightest if (need, s, c) == last else (need, -1))
         while at < len(order):
             b = order[at][1]
             if not clusters[b] & c_bit and not sources[b][-1] & s_bit:
                 break
             at += 1
         if at < len(order):
-            residual, b = order.pop(at)
+            tightest = residual, b = order.pop(at)
         else:
-            residual, b = capacity, len(clusters)
+            residual, b = tightest = capacity, len(clusters)
             clusters.append(0)
             sources.append([0] * per_source)
+        last = (need, s, c)
         bins[i], starts[i] = b, capacity - residual
         clusters[b] |= c_bit
         for level, held in enumerate(sources[b]):
@@ -58,13 +61,14 @@ def best_fit(size: np.ndarray, source: np.ndarray, cluster: np.ndarray, capacity
 
 
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
-    """``doc_id, copy, piece, n_words, bin_id, start`` for every piece of every row of ``docs(doc_id, text, source)``.
+    """``doc_id, row, piece, n_words, bin_id, start`` for every piece of every row of ``docs(doc_id, text, source)``.
 
     A document of more than ``capacity`` words is cut into full pieces and a rest, so every word is packed once.
     No bin holds two pieces of one duplicate cluster (texts equal up to white space and case) nor more than
     ``per_source`` of a source; pieces of one document conflict with each other too. Null and wordless texts are one
-    piece of 0 words without conflicts of size. A null source is a source of its own. ``copy`` numbers repeated ids
-    within a group; a null id is carried. Other columns are not read; an empty table gives no rows.
+    piece of 0 words and belong to no cluster. A null source is a source of its own. ``row`` numbers the rows, so that the
+    pieces of repeated ids can be told apart; a null id is carried. Other columns are not read; an empty table gives no rows.
+    Pieces are packed in groups of about ``GROUP_WORDS`` words; the tightest bin is that of the group.
     """
     spaces = r"[\x20\x09-\x0D]+"
     words = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), spaces, " ")))
@@ -85,14 +89,15 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, per_source: int
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_words", "doc_id", "row", "piece"], ascending=[False, True, True, True])
+        order = ["n_words", "cluster", "source", "doc_id", "row", "piece"]  # equal pieces follow each other
+        rows = rows.sort_values(order, ascending=[False, *[True] * 5])
         source, cluster = pd.factorize(rows["source"])[0], pd.factorize(rows["cluster"])[0]
+        cluster = np.where(rows["n_words"].to_numpy() > 0, cluster, -1)
         bins, starts = best_fit(rows["n_words"].to_numpy(), source, cluster, capacity, per_source)
-        out = rows[["doc_id", "piece", "n_words"]].copy()
-        out["copy"] = rows.groupby(["doc_id", "piece"], dropna=False).cumcount()
+        out = rows[["doc_id", "row", "piece", "n_words"]].copy()
         out["bin_id"], out["start"] = (rows["group"].to_numpy() << 32) + bins, starts
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    schema = "doc_id long, piece long, n_words long, copy long, bin_id long, start long"
+    schema = "doc_id long, row long, piece long, n_words long, bin_id long, start long"
     return pieces.groupBy("group").applyInPandas(pack, schema)
