@@ -77,6 +77,22 @@ def pairs_of(a: Block, b: Block, threshold: float, same: bool) -> Iterator[tuple
                 yield left[link], right[link]
 
 
+def united(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after linking x[i] with y[i]: everything that links reach has the smallest label among it.
+
+    Pairs whose ends agree drop out; each pass links the labels of the rest and follows them to their ends.
+    """
+    while True:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        apart = low != high
+        if not apart.any():
+            return label
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def tile_links(threshold: float):
     """Grouped step over one tile: rows of two blocks (side 0 and 1), or of one block met with itself (side 0 only)."""
 
@@ -87,26 +103,20 @@ def tile_links(threshold: float):
             blocks.append(Block(part["row"].to_numpy(), part["copies"].to_numpy(), vectors))
         a, b = blocks[0], blocks[-1]
         same = len(blocks) == 1
-        label: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := label.get(x, x)) != x:
-                label[x] = label.get(up, up)
-                x = up
-            return x
-
         if same and group["other"].iloc[0]:  # the block it should meet is empty
             return pd.DataFrame({"row": a.rows, "links": a.links, "label": a.rows})
+        rows = np.concatenate([z.rows for z in blocks])
+        order = np.argsort(rows)
+        rank = np.empty(len(rows), np.int64)  # labels are ranks of rows, so the smallest row names a class
+        rank[order] = np.arange(len(rows))
+        of_a, of_b = rank[: len(a.rows)], rank[-len(b.rows) :]
+        label = np.arange(len(rows))
         for left, right in pairs_of(a, b, threshold, same):
             np.add.at(a.links, left, b.copies[right])
             np.add.at(b.links, right, a.copies[left])
-            for x, y in zip(a.rows[left].tolist(), b.rows[right].tolist()):
-                x, y = root(x), root(y)
-                if x != y:
-                    label[max(x, y)] = min(x, y)
-        rows = np.concatenate([z.rows for z in blocks])
+            label = united(label, of_a[left], of_b[right])
         links = np.concatenate([z.links for z in blocks])
-        return pd.DataFrame({"row": rows, "links": links, "label": [root(x) for x in rows.tolist()]})
+        return pd.DataFrame({"row": rows, "links": links, "label": rows[order[label[rank]]]})
 
     return find
 
