@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from haulcast.llm.words import blocks
 
-MOST_PAGES = 400  # bound of the sample of labelled pages
+MOST_PAGES = 400  # about as many labelled pages are sampled
+LONGEST = 200_000  # characters that a sampled page stays below
 BUILT_TIMES = 3  # how often each built page counts
 BUCKETS = 256  # hashed tags and class words
 DENSE = 6
@@ -204,10 +205,25 @@ def train(pages: list[str]) -> Potentials:
     return Potentials(dense, names, pair)
 
 
+def in_forms(tree: Tree) -> np.ndarray:
+    """Whether a node belongs to a form, but for forms that wrap at least half of the page's text."""
+    size = np.array([len(t.strip()) for t in tree.text], np.int64)
+    for i in range(len(size) - 1, 0, -1):
+        size[tree.parent[i]] += size[i]
+    inside = np.zeros(len(size), bool)
+    for i in range(1, len(size)):
+        inside[i] = inside[tree.parent[i]] or (tree.tag[i] == "form" and 2 * size[i] < size[0])
+    return inside
+
+
 def marginals(tree: Tree, p: Potentials) -> np.ndarray:
-    """Each node's probability of content: messages from the leaves up, then from the root down."""
+    """Each node's probability of content: messages from the leaves up, then from the root down.
+
+    Forms are known not to be content, so their nodes have next to no potential of it.
+    """
     dense, index = features(tree)
     z = np.clip(dense @ p.dense + p.names[index].sum(axis=1), -12, 12)
+    z[in_forms(tree)] = -60
     up = np.stack([np.zeros(len(z)), z], axis=1)  # own potential and all messages from below
     message = np.zeros_like(up)
     for i in range(len(z) - 1, 0, -1):
@@ -234,10 +250,14 @@ def main_text(html: str | None, p: Potentials) -> str:
     return " ".join(t for t in (re.sub(r"\s+", " ", "".join(x)).strip() for x in found.values()) if t)
 
 
-def labelled_pages(pages: DataFrame, most: int = MOST_PAGES) -> list[str]:
-    """The built pages and at most ``most`` pages of the table that mark their article, by hash of the html."""
-    marked = pages.where(F.lower("html").contains("<article") & (F.length("html") < 200_000))
-    return built_pages() * BUILT_TIMES + [r["html"] for r in marked.select("html").orderBy(F.xxhash64("html"), "html").limit(most).collect()]
+def labelled_pages(pages: DataFrame, most: int = MOST_PAGES, longest: int = LONGEST) -> list[str]:
+    """The built pages, and about ``most`` pages of the table that mark their article and have fewer than ``longest``
+    characters: those whose hash falls below a share of its range, so no task sends more than its own."""
+    marked = pages.where(F.lower("html").contains("<article") & (F.length("html") < longest))
+    marked = marked.select("html", F.xxhash64("html").alias("key"))
+    n = marked.agg(F.approx_count_distinct("key", 0.01)).first()[0]
+    below = F.col("key") <= F.lit(-(2**63) + (2**64 - 1) * min(most, n) // max(n, 1))
+    return built_pages() * BUILT_TIMES + sorted(r["html"] for r in marked.where(below).dropDuplicates(["key"]).collect())
 
 
 def extract(pages: DataFrame, p: Potentials) -> DataFrame:
