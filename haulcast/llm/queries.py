@@ -38,7 +38,8 @@ def scored_only(modulus: int, remainder: int) -> Column:
 def op1_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the sequence files it was written to."""
     tokenizer = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
-    return read_documents(write_sequences(table(spark, sf_dir, "documents"), new_path(spark, "sequences"), tokenizer))
+    files = write_sequences(table(spark, sf_dir, "documents"), new_path(spark, "sequences"), tokenizer, by_words=True)
+    return read_documents(files)
 
 
 def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +135,7 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(
-        F.lit(-1).cast("long").alias("conv_id"),
+        (F.floor(F.col("id") / 2) - 1).alias("conv_id"),  # -1, not as a literal: joins keep it as a key
         F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(tricky).alias("text"),
