@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpus_pipeline import near_duplicates
-from haulcast.llm import dom_marginals, log_bilinear, positive_unlabelled
+from haulcast.llm import dom_marginals, log_bilinear, positive_unlabelled, sequence_files
+from haulcast.llm import licence_scan as licence_scan_module
 from haulcast.llm.best_fit_packing import best_fit, best_fit_packing
-from haulcast.llm.embedding_near_dedup import embedding_near_dedup
+from haulcast.llm.embedding_near_dedup import embedding_near_dedup, united
 from haulcast.llm.licence_scan import TEMPLATES, licence_scan
 from haulcast.llm.ngram_jaccard_join import ngram_jaccard_join
 from haulcast.llm.robust_outliers import robust_outliers
@@ -77,6 +79,19 @@ def test_sequence_files_round_trip(spark, docs):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
+def test_sequences_by_words_are_those_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(sequence_files, "REMEMBERED", 200)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    pick = np.random.default_rng(4)
+    odd = [*"aZ9 .,'\t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2028\u3000\u0301\u03a3\u0130\ufb01\U0001f600\u200d", "<|endoftext|>", "'s", "\u00e9", "ab", None]
+    given += ["".join(x for x in pick.choice(odd, 30) if x) for _ in range(2000)] + [None, ""]
+    by_words, whole = sequence_files.ByWords(tokenizer), sequence_files.WholeTexts(tokenizer)
+    for i in range(0, len(given), 300):
+        for a, b in zip(by_words(pa.array(given[i : i + 300], pa.string())), whole(pa.array(given[i : i + 300], pa.string()))):
+            assert a.tolist() == b.tolist()
+
+
 def test_memory_mapped_sequences(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     files = write_sequences(docs, new_path(spark, "sequences"), Path(path).read_text(), length=16).collect()
@@ -205,6 +220,54 @@ def test_best_fit_takes_the_tightest_compatible_bin():
         assert bins[i] == k
 
 
+def plain_best_fit(size, source, cluster, capacity, per_source):
+    held: list[list[int]] = []
+    for i in range(len(size)):
+        fits = [
+            (capacity - sum(size[j] for j in b), k)
+            for k, b in enumerate(held)
+            if capacity - sum(size[j] for j in b) >= max(size[i], 1)
+            and (cluster[i] < 0 or cluster[i] not in [cluster[j] for j in b])
+            and sum(source[j] == source[i] for j in b) < per_source
+        ]
+        k = min(fits)[1] if fits else len(held)
+        if k == len(held):
+            held.append([])
+        held[k].append(i)
+    return [next(k for k, b in enumerate(held) if i in b) for i in range(len(size))]
+
+
+def test_best_fit_of_equal_pieces_in_a_row():
+    """Large clusters, whose searches start where the last one ended, against a plain search."""
+    rng = np.random.default_rng(8)
+    rows = sorted(zip((-rng.integers(0, 40, 400)).tolist(), rng.integers(0, 3, 400).tolist(), rng.integers(0, 2, 400).tolist()))
+    size, cluster, source = np.array([-r[0] for r in rows]), np.array([r[1] if r[0] else -1 for r in rows]), np.array([r[2] for r in rows])
+    assert best_fit(size, source, cluster, 100, 3)[0].tolist() == plain_best_fit(size, source, cluster, 100, 3)
+
+
+def test_many_wordless_and_equal_texts_pack_in_seconds():
+    start = time.monotonic()
+    n = 100_000
+    bins, _ = best_fit(np.r_[np.full(n, 3), np.zeros(n, int)], np.zeros(2 * n, int), np.r_[np.zeros(n, int), np.full(n, -1)], 2048, 16)
+    assert len(set(bins[:n].tolist())) == n  # copies of one text never share a bin
+    assert time.monotonic() - start < 30
+
+
+def test_packed_pieces_keep_their_rows_and_conflicts(spark):
+    text, long = prose(1, 40), prose(2, 1300)
+    rows = [(1, text, "a")] * 5 + [(1, long, "a"), (1, long, "b"), (None, None, None), (2, " ", "a"), (3, prose(5, 30), None)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, source string, size string, row string")
+    got = best_fit_packing(docs, capacity=500, per_source=2).collect()
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r.row, []).append((r.piece, r.n_words))
+    assert sorted(sorted(p) for p in pieces.values()) == sorted([[(0, 40)]] * 5 + [[(0, 500), (1, 500), (2, 300)]] * 2 + [[(0, 0)]] * 2 + [[(0, 30)]])
+    bins = {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r.n_words)
+    assert all(sizes.count(40) <= 1 and sizes.count(300) <= 1 and sum(sizes) <= 500 for sizes in bins.values())
+
+
 def test_near_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 16))
@@ -247,6 +310,30 @@ def test_a_licence_line_of_every_family(spark):
     assert got == {i: ([f], [1]) for i, f in enumerate(NOTICES)}
 
 
+def test_notices_of_other_licences_are_unknown(spark):
+    lines = ["Licensed under the European Union Public License, version 1.2.", "He was to be free of charge to any person in the end.", "Released under the MIT License."]
+    rows = [(i, f"{prose(i, 30)}\n{t}\n{prose(i + 50, 30)}") for i, t in enumerate(lines)] + [(9, "\n".join(lines))]
+    got = {r.doc_id: (r.families, r.unknown) for r in licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == ([], [1]) and got[2] == (["mit"], []) and got[9][0] == ["mit"] and 0 in got[9][1] and 2 not in got[9][1]
+
+
+def test_no_text_with_a_template_window_is_passed_over(spark):
+    """The compiled pattern over whole texts finds whatever the comparison of words finds."""
+    rng = np.random.default_rng(6)
+    vocabulary = sorted({w for many in TEMPLATES.values() for t in many for w in t.split()}) + ["x", "é", "4"]
+    gaps = [" ", "\n", ", ", "", "-", ".", " \n# "]
+    windows = sorted(set().union(*(licence_scan_module._windows(t) for many in TEMPLATES.values() for t in many)))
+    texts = []
+    for _ in range(1500):
+        words_ = list(rng.choice(vocabulary, 8)) + str(rng.choice(windows)).split() + list(rng.choice(vocabulary, 4))
+        texts.append("".join(w.upper() if rng.random() < 0.2 else w for x in words_ for w in (x, str(rng.choice(gaps)))))
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    exact = licence_scan_module._meets_template(licence_scan_module.tokens(F.col("text")))
+    got = frame.select(exact.alias("exact"), F.lower("text").rlike(licence_scan_module.may_meet_template()).alias("may")).collect()
+    assert sum(r.exact for r in got) > 300
+    assert not any(r.exact and not r.may for r in got)
+
+
 WRAPPED = [
     ("bsd", """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions
@@ -294,6 +381,58 @@ def test_main_text(spark):
     page = "<nav><ul><li><a>Menu</a></ul></nav><article><h1>T &amp; U</h1><p>One <b>two<br>\n three.<p>Four.</article><div class=comments><p>Nice.</p></div><footer>End</footer>"
     assert dom_marginals.main_text(page, p) == "T & U One two three. Four."
     assert dom_marginals.main_text(None, p) == "" == dom_marginals.main_text("", p)
+    form = "<article><h1>Title</h1><p>One two three, and four five six.</p><form><p>Subscribe now, please.</p><input></form><p>Seven eight nine, ten eleven.</p></article>"
+    assert dom_marginals.main_text(form, p) == "Title One two three, and four five six. Seven eight nine, ten eleven."
+    wrapped = f"<form>{form.replace('<form>', '<div>').replace('</form>', '</div>')}</form>"
+    assert "Seven eight nine, ten eleven." in dom_marginals.main_text(wrapped, p)
+
+
+def test_labelled_pages_are_bounded_and_the_same_however_split(spark):
+    rows = [(i, f"<article><p>{prose(i, 30)}</p></article>") for i in range(500)] + [(1000, "<article><p>x</p></article>")] * 300
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    built = len(dom_marginals.built_pages()) * dom_marginals.BUILT_TIMES
+    got = dom_marginals.labelled_pages(pages, most=50)
+    assert 20 < len(got) - built < 100
+    assert got == dom_marginals.labelled_pages(pages.repartition(9), most=50)
+
+
+def test_labels_of_links_reach_the_smallest_row():
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 0), (50, 30), (400, 390), (300, 5000)):
+        x, y = rng.integers(0, n, m), rng.integers(0, n, m)
+        plain = np.arange(n)
+        for _ in range(n):
+            for i, j in zip(x, y):
+                plain[i] = plain[j] = min(plain[i], plain[j])
+        assert united(np.arange(n), x, y).tolist() == plain.tolist()
+
+
+def test_vectors_of_odd_kinds(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (None, [2.0, 0.1]), (None, [0.0, 1.0]), (5, [1e-30, 0.0]), (5, [1e30, 1e29]), (6, None)]
+    got = embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    found = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr)
+    assert found == sorted([(1, 3, 1, True), (2, 0, 2, True), (None, 3, 1, False), (None, 0, None, True), (5, 3, 1, False), (5, 3, 1, False), (6, 0, 6, True)], key=repr)
+
+
+def test_class_prior_from_scores():
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.9):
+        positive, negative = rng.normal(2, 1, 20_000), rng.normal(-2, 1, 20_000)
+        n = int(20_000 * share)
+        mixed = np.r_[rng.normal(2, 1, n), negative[: 20_000 - n]]
+        assert abs(positive_unlabelled.class_prior(positive, mixed) - min(0.95, share)) < 0.05
+
+
+def test_quality_scores_of_odd_rows(spark):
+    rows = [(i, prose(i, 120), 1, "x") for i in range(120)] + [(200 + i, "### $$ " * 60, 0, "x") for i in range(60)]
+    rows += [(900, None, 1, "x"), (901, "", 0, "x"), (None, prose(3, 100), 1, "x"), rows[0], rows[0]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int, `key.quality_score` string")
+    model = positive_unlabelled.train(table, table.select("doc_id", "quality"), F.lit(True), most=150)
+    got = positive_unlabelled.score(table, model).collect()
+    again = positive_unlabelled.train(table.repartition(7), table.select("doc_id", "quality").repartition(3), F.lit(True), most=150)
+    assert all(np.allclose(a, b) for a, b in zip(model, again))
+    assert len(got) == len(rows) and all(0 <= r.quality_score <= 1 for r in got)
+    assert len({r.quality_score for r in got if r.doc_id == 0}) == 1
 
 
 def test_quality_on_held_out_labels(spark):
