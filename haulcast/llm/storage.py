@@ -42,8 +42,3 @@ def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this application; results not yet written can't be read afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def source_bytes(frame: DataFrame) -> int:
-    """Spark's own size estimate of what a frame reads, from file listings."""
-    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
