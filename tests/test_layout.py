@@ -212,3 +212,10 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         sinks.shared_folder(Session())
+
+
+def test_facility_labels_drop_the_company_name(spark):
+    plants = spark.createDataFrame([("P1", "ADS Findlay North Plant")], "plant_id string, plant_name string")
+    dcs = spark.createDataFrame([("D1", "ADS Cabot Yard"), ("D2", None)], "dc_id string, dc_name string")
+    ws = Workspace(spark, tables={"silver_plant_locations": plants, "silver_dc_locations": dcs})
+    assert sorted(ws.run("facility_labels").collect()) == [("D1", "CABOT"), ("D2", None), ("P1", "FINDLAY NORTH")]
