@@ -219,3 +219,14 @@ def test_facility_labels_drop_the_company_name(spark):
     dcs = spark.createDataFrame([("D1", "ADS Cabot Yard"), ("D2", None)], "dc_id string, dc_name string")
     ws = Workspace(spark, tables={"silver_plant_locations": plants, "silver_dc_locations": dcs})
     assert sorted(ws.run("facility_labels").collect()) == [("D1", "CABOT"), ("D2", None), ("P1", "FINDLAY NORTH")]
+
+
+def test_enrichment_joins_customers_and_skus(spark):
+    plants = spark.createDataFrame([("P1", "EAST"), ("P2", "WEST")], "plant_id string, plant_region string")
+    dcs = spark.createDataFrame([("D1", "EAST"), ("D2", "WEST")], "dc_id string, dc_region string")
+    rows = orders(spark, line("O1"), line("O2")).drop("customer_id", "sku_id")
+    ids = F.when(F.col("order_id") == "O1", F.lit("C000003")), F.when(F.col("order_id") == "O1", F.lit("SKU00017"))
+    lines = rows.withColumns({"customer_id": ids[0], "sku_id": ids[1]})
+    ws = Workspace(spark, tables={"bronze_erp_orders_raw": lines, "bronze_plant_locations": plants, "bronze_dc_locations": dcs})
+    found = ws.run("order_enrichment").select("order_id", "home_region", "home_channel", "rule_family", "list_price", "primary_dc_id")
+    assert sorted(found.collect()) == [("O1", "WEST", "distributor", "chambers", 282.5, "D2"), ("O2", None, None, None, None, None)]
