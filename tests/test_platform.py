@@ -277,3 +277,16 @@ def test_without_a_shared_folder_nothing_is_written(spark, small, monkeypatch):
     assert {Path(f).name for f in ws["bronze_plant_locations"].inputFiles()} == {"nation.parquet", "region.parquet"}
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ws.materialize("bronze_plant_locations")
+
+
+def test_shuffles_grow_with_the_source_tables(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "BYTES_PER_PARTITION", 1000)
+    started = []
+    try:
+        for name, rows in (("small", 10_000), ("large", 100_000)):
+            spark.range(rows).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+            assert Workspace(spark, f"{tmp_path}/{name}")["lineitem"].count() == rows
+            started.append(int(spark.conf.get(session.INITIAL_PARTITIONS)))
+        assert started[1] > started[0] > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset(session.INITIAL_PARTITIONS)
