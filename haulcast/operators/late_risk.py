@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -25,6 +27,9 @@ HIGH_RISK = 0.5
 INVERSE_PENALTY = 1.0
 MAX_ITERATIONS = 200
 
+# Training rows that one task holds; they come laid out by date, which leaves the window to few tasks.
+ROWS_A_TASK = 100_000
+
 # Fixed values of the rule-based score: base, three surcharges, bounds.
 RULE_BASE = 0.10
 RULE_SHORT_NOTICE_DAYS, RULE_SHORT_NOTICE = 5, 0.18
@@ -109,14 +114,16 @@ def _pipeline(rows: int) -> Pipeline:
 def train(features: DataFrame) -> PipelineModel:
     """Fit on feature rows. Rows stay on the executors; only coefficients reach the driver.
 
-    The inputs are persisted while the stages pass over them; lost blocks are recomputed.
+    The inputs are dealt evenly and persisted while the stages pass over them; lost blocks are recomputed.
     """
     rows = model_inputs(features).filter(F.col("is_late").isNotNull())
-    rows = rows.select(*CATEGORIES, *NUMBERS, "is_late").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.select(*CATEGORIES, *NUMBERS, "is_late")
+    count = rows.count()
+    if count == 0:
+        raise ValueError("no labelled orders in the training window")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, ceil(count / ROWS_A_TASK))
+    rows = rows.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        count = rows.count()
-        if count == 0:
-            raise ValueError("no labelled orders in the training window")
         return _pipeline(count).fit(rows)
     finally:
         rows.unpersist()

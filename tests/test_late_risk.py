@@ -1,6 +1,7 @@
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from test_medallion import line, orders
 
 from haulcast import EngineConfig, Workspace
@@ -96,3 +97,17 @@ def test_histogram_bins_cover_the_range(spark):
     frame = spark.createDataFrame(rows, "order_id string, order_date date, late_risk_prob double")
     ws = Workspace(spark, tables={"order_late_risk_scored_ml": frame})
     assert {r.bin: r.orders for r in ws.run("risk_histogram").collect()} == {0: 2, 1: 1, 19: 2}
+
+
+def test_training_rows_are_dealt_evenly(spark, monkeypatch):
+    class Counted:
+        def fit(self, rows):
+            return rows.groupBy(F.spark_partition_id()).count().collect()
+
+    monkeypatch.setattr(late_risk, "_pipeline", lambda rows: Counted())
+    monkeypatch.setattr(late_risk, "ROWS_A_TASK", 50)
+    texts = [F.lit("x").alias(c) for c in late_risk.CATEGORIES]
+    numbers = [F.col("id").cast("double").alias(c) for c in late_risk.NUMBERS]
+    one_task = spark.range(0, 2000, 1, 1).select(*texts, *numbers, F.lit(0).alias("is_late"))
+    parts = [r["count"] for r in late_risk.train(one_task)]
+    assert sum(parts) == 2000 and len(parts) == 40 and max(parts) < 100
