@@ -215,24 +215,21 @@ def bronze_external_signals_raw(orders: DataFrame, customer_profile: DataFrame)
 def bronze_inventory_positions_raw(bronze_erp_orders_raw: DataFrame) -> DataFrame:
     """Bronze: month-start stock of every SKU at every plant and DC that moved it.
 
-    Each shipped line feeds its plant and its DC; partial sums shrink the rows before the shuffle.
+    Each shipped line feeds its plant and its DC; partial sums shrink the rows before the shuffle. Plants and DCs are
+    summed up by different tasks, so that a task holds the sums of one side only.
     """
-    at_plant = F.struct(F.col("plant_id"), F.lit(None).cast("string").alias("dc_id"))
-    at_dc = F.struct(F.lit(None).cast("string").alias("plant_id"), F.col("dc_id"))
+    nowhere = F.lit(None).cast("string")
     month = F.month("snapshot_date")
     sku_no = F.substring("sku_id", 4, 20).cast("bigint")
     safety = rules.safety_stock("sku_family")
+    month_start = month_of("actual_ship_date").alias("snapshot_date")
+    shipped = rules.shippable(bronze_erp_orders_raw)
+    rest = ("sku_id", "sku_family", "units_ordered", "units_shipped")
+    at_plants = shipped.select(month_start, "plant_id", nowhere.alias("dc_id"), *rest)
+    at_dcs = shipped.select(month_start, nowhere.alias("plant_id"), "dc_id", *rest)
     moved = (
-        rules.shippable(bronze_erp_orders_raw)
-        .select(
-            month_of("actual_ship_date").alias("snapshot_date"),
-            F.explode(F.array(at_plant, at_dc)).alias("at"),
-            "sku_id",
-            "sku_family",
-            "units_ordered",
-            "units_shipped",
-        )
-        .groupBy("snapshot_date", "at.plant_id", "at.dc_id", "sku_id", "sku_family")
+        at_plants.unionByName(at_dcs)
+        .groupBy("snapshot_date", "plant_id", "dc_id", "sku_id", "sku_family")
         .agg(
             F.sum("units_shipped").alias("shipped"),
             F.sum(F.col("units_ordered") - F.col("units_shipped")).alias("owed"),

@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from haulcast import Workspace
@@ -158,3 +159,11 @@ def test_declared_pipeline_lists_every_medallion_table(spark, small):
         small[name].createOrReplaceTempView(name)
     flow = next(f for f in seen.flows if f.name == "kpi_otif_weekly")
     assert flow.func().schema == small["kpi_otif_weekly"].schema
+
+
+def test_stock_of_plants_and_dcs_is_summed_up_apart(spark):
+    lines = orders(spark, line("O1"), line("O2")).withColumn("plant_id", F.lit(None).cast("string"))
+    lines = lines.withColumn("sku_id", F.lit("SKU00017"))
+    stock = Workspace(spark, tables={"bronze_erp_orders_raw": lines})["bronze_inventory_positions_raw"]
+    assert "Generate" not in stock._jdf.queryExecution().executedPlan().toString()
+    assert [r.plant_id for r in stock.collect()] == [None, None] and stock.where("dc_id is null").count() == 1
