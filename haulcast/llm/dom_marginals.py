@@ -13,7 +13,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -109,31 +111,33 @@ def parse(html: str | None) -> Tree:
     return builder.tree
 
 
+@lru_cache(maxsize=1 << 16)
+def _names(tag: str, words: str) -> tuple[int, ...]:
+    """Buckets of a tag and of the distinct words of its class and id."""
+    return (xxhash.xxh32_intdigest(f"t {tag}") % BUCKETS, *(xxhash.xxh32_intdigest(f"c {w}") % BUCKETS for w in dict.fromkeys(_WORD.findall(words))))
+
+
 def features(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     """Dense features of each node's subtree, and hashed names as index lists (padded with the last, zero column)."""
     n = len(tree.tag)
-    own = np.array([len(t.strip()) for t in tree.text], np.float64)
-    parent = np.array(tree.parent)
-    inside_link = np.zeros(n, bool)
+    parent, inside_link = tree.parent, [False] * n
     for i in range(1, n):
         inside_link[i] = tree.tag[i] == "a" or inside_link[parent[i]]
-    total, linked = own.copy(), own * inside_link
-    marks = np.array([sum(map(t.count, ".,;:!?")) for t in tree.text], np.float64)
+    total = [len(t.strip()) for t in tree.text]
+    linked = [size if inside else 0 for size, inside in zip(total, inside_link)]
+    marks = [sum(map(t.count, ".,;:!?")) if t else 0 for t in tree.text]
     for i in range(n - 1, 0, -1):
-        for values in (total, linked, marks):
-            values[parent[i]] += values[i]
+        up = parent[i]
+        total[up] += total[i]
+        linked[up] += linked[i]
+        marks[up] += marks[i]
+    total, linked, marks = (np.array(x, np.float64) for x in (total, linked, marks))
     is_text = np.array([t == "" for t in tree.tag], np.float64)
     size = np.log1p(total) / 5
     dense = np.stack([size * is_text, size * (1 - is_text), linked / (total + 1), marks / (total + 1) * 10, is_text, np.ones(n)], axis=1)
-    names = [
-        [xxhash.xxh32_intdigest(f"t {tree.tag[i]}") % BUCKETS] + [xxhash.xxh32_intdigest(f"c {w}") % BUCKETS for w in dict.fromkeys(_WORD.findall(tree.words[i]))]
-        for i in range(n)
-    ]
+    names = list(map(_names, tree.tag, tree.words))
     width = max(map(len, names))
-    index = np.full((n, width), BUCKETS, np.int64)
-    for i, found in enumerate(names):
-        index[i, : len(found)] = found
-    return dense, index
+    return dense, np.array([found + (BUCKETS,) * (width - len(found)) for found in names], np.int64)
 
 
 def labels_of(tree: Tree) -> np.ndarray:
@@ -207,7 +211,9 @@ def train(pages: list[str]) -> Potentials:
 
 def in_forms(tree: Tree) -> np.ndarray:
     """Whether a node belongs to a form, but for forms that wrap at least half of the page's text."""
-    size = np.array([len(t.strip()) for t in tree.text], np.int64)
+    if "form" not in tree.tag:
+        return np.zeros(len(tree.tag), bool)
+    size = [len(t.strip()) for t in tree.text]
     for i in range(len(size) - 1, 0, -1):
         size[tree.parent[i]] += size[i]
     inside = np.zeros(len(size), bool)
@@ -216,6 +222,11 @@ def in_forms(tree: Tree) -> np.ndarray:
     return inside
 
 
+def _log_sum(a: float, b: float) -> float:
+    """Logarithm of the sum of two numbers given by their logarithms."""
+    return a + log1p(exp(b - a)) if a > b else b + log1p(exp(a - b))
+
+
 def marginals(tree: Tree, p: Potentials) -> np.ndarray:
     """Each node's probability of content: messages from the leaves up, then from the root down.
 
@@ -224,20 +235,25 @@ def marginals(tree: Tree, p: Potentials) -> np.ndarray:
     dense, index = features(tree)
     z = np.clip(dense @ p.dense + p.names[index].sum(axis=1), -12, 12)
     z[in_forms(tree)] = -60
-    up = np.stack([np.zeros(len(z)), z], axis=1)  # own potential and all messages from below
-    message = np.zeros_like(up)
-    for i in range(len(z) - 1, 0, -1):
-        both = p.pair[relation(tree, i)] + up[i][None, :]
-        message[i] = np.logaddexp(both[:, 0], both[:, 1])
-        message[i] -= message[i].max()
-        up[tree.parent[i]] += message[i]
-    belief = up.copy()
-    for i in range(1, len(z)):
-        rest = belief[tree.parent[i]] - message[i]
-        both = p.pair[relation(tree, i)] + rest[:, None]
-        down = np.logaddexp(both[0], both[1])
-        belief[i] = up[i] + down - down.max()
-    return 1 / (1 + np.exp(belief[:, 0] - belief[:, 1]))
+    n, parent, pair = len(z), tree.parent, p.pair.tolist()
+    kind = [0, *(relation(tree, i) for i in range(1, n))]
+    up_0, up_1 = [0.0] * n, z.tolist()  # own potential and all messages from below, for either label
+    message_0, message_1 = [0.0] * n, [0.0] * n
+    for i in range(n - 1, 0, -1):
+        (p_00, p_01), (p_10, p_11) = pair[kind[i]]
+        to_0, to_1 = _log_sum(p_00 + up_0[i], p_01 + up_1[i]), _log_sum(p_10 + up_0[i], p_11 + up_1[i])
+        most = max(to_0, to_1)
+        message_0[i], message_1[i] = to_0 - most, to_1 - most
+        up_0[parent[i]] += message_0[i]
+        up_1[parent[i]] += message_1[i]
+    for i in range(1, n):  # from here on up is the belief of a node whose parent's is known
+        (p_00, p_01), (p_10, p_11) = pair[kind[i]]
+        rest_0, rest_1 = up_0[parent[i]] - message_0[i], up_1[parent[i]] - message_1[i]
+        to_0, to_1 = _log_sum(p_00 + rest_0, p_10 + rest_1), _log_sum(p_01 + rest_0, p_11 + rest_1)
+        most = max(to_0, to_1)
+        up_0[i] += to_0 - most
+        up_1[i] += to_1 - most
+    return 1 / (1 + np.exp(np.array(up_0) - np.array(up_1)))
 
 
 def main_text(html: str | None, p: Potentials) -> str:

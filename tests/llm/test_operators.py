@@ -456,3 +456,10 @@ def test_model_beats_the_base_on_held_out_text(spark):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     rows = log_bilinear.score(docs.where(held_out), log_bilinear.train(docs, ~held_out)).collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_names_of_nodes_are_hashed_once():
+    dom_marginals._names.cache_clear()
+    tree = dom_marginals.parse('<div class="a b"><p>One.</p><p>Two.</p></div>' * 50)
+    dense, index = dom_marginals.features(tree)
+    assert dom_marginals._names.cache_info().misses == 4 and index.shape == (len(tree.tag), 3) and len(dense) == len(tree.tag)
