@@ -317,6 +317,17 @@ def test_notices_of_other_licences_are_unknown(spark):
     assert got[0] == ([], [1]) and got[2] == (["mit"], []) and got[9][0] == ["mit"] and 0 in got[9][1] and 2 not in got[9][1]
 
 
+def test_every_line_reaches_the_classifier(spark):
+    """Notices that share no three words in a row with a template are unknown too; ordinary lines beside them are not."""
+    lines = ["MIT license applies", "GNU license applies", "Apache license applies", "BSD license terms apply"]
+    rows = [(i, f"{prose(i, 30)}\n{t}\n{prose(i + 50, 30)}") for i, t in enumerate(lines)] + [(9, prose(90, 400))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    meets = licence_scan_module._meets_template(licence_scan_module.tokens(F.col("text")))
+    assert frame.where(meets).count() == 0
+    got = {r.doc_id: (r.families, r.unknown) for r in licence_scan(frame).collect()}
+    assert got == {i: ([], [1]) for i in range(len(lines))} | {9: ([], [])}
+
+
 def test_no_text_with_a_template_window_is_passed_over(spark):
     """The compiled pattern over whole texts finds whatever the comparison of words finds."""
     rng = np.random.default_rng(6)
