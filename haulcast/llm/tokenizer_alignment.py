@@ -28,6 +28,9 @@ from haulcast.llm.words import blocks, ragged_take
 BLOCK_BYTES = 16 << 20  # text of a block
 CHUNK_BYTES = 1 << 20  # text whose tokens are held at a time
 REMEMBERED = 500_000  # windows, and groups, kept in a task's memory between blocks
+LONGEST = 64  # characters of a piece that is kept between blocks
+#: A split pattern none of whose matches spans a space after a character other than white space.
+PARTED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SECOND = np.uint32(1 << 31)  # marks ids of the second tokenizer in a window's key
 
 # A row for each document (its distinct pairs by number, and how often it holds each, as bytes) and for each distinct pair.
@@ -65,6 +68,7 @@ class ByteTokens:
 
     def __init__(self, tokenizer_json: str, pattern: str):
         file, table = json.loads(tokenizer_json), byte_of()
+        self.pattern = pattern
         special = {t["id"] for t in file["added_tokens"]}
         vocabulary = {i: bytes(table[c] for c in t) for t, i in file["model"]["vocab"].items() if i not in special}
         self.encoding = tiktoken.Encoding(
@@ -91,6 +95,10 @@ class PieceTokens:
     def encode(self, text: str) -> list[int]:
         return self.processor.encode(text, num_threads=1)
 
+    def parts_at_spaces(self) -> bool:
+        """Whether no token has a space after another character, so that none spans the place before one."""
+        return not any(b" " in t.lstrip(b" ") for t in self.vocabulary.tokens)
+
 
 class Alignments:
     """Alignments that a task remembers by their ids: groups as text, their number, linked pairs with repeats.
@@ -102,12 +110,15 @@ class Alignments:
     def __init__(self):
         self.windows: dict[bytes, tuple[str, int, list[int]]] = {}
         self.groups: dict[bytes, tuple[str, list[int]]] = {}
+        self.pieces: dict[str, tuple[str, int, list[int], int, int]] = {}
 
     def forget(self) -> None:
         if len(self.windows) > REMEMBERED:
             self.windows.clear()
         if len(self.groups) > REMEMBERED:
             self.groups.clear()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
 
     def group(self, key: bytes) -> tuple[str, list[int]]:
         ids = np.frombuffer(key, np.uint32)
@@ -146,12 +157,31 @@ def in_groups(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray)
     return both.tobytes()
 
 
+def pieces(text: str) -> list[str]:
+    """A text cut at the spaces that stand after another character than white space.
+
+    No token of either tokenizer spans the place before such a space, and none depends on what is beyond it. So a piece
+    with a space before it has the same tokens wherever it stands; one that ends with white space is the last.
+    """
+    parts = text.split(" ")
+    out = parts[:1]
+    for part in parts[1:]:
+        if out[-1] and not out[-1][-1].isspace():
+            out.append(part)
+        else:
+            out[-1] += " " + part
+    return out
+
+
 class Block:
     """The documents of up to ``BLOCK_BYTES`` of text, their distinct windows and their distinct pairs."""
 
     def __init__(self, number: int, known: Alignments, a: ByteTokens, b: PieceTokens):
         self.number, self.known, self.a, self.b = number, known, a, b
-        self.place: dict[bytes, int] = {}  # of the block's distinct windows, whose alignments follow
+        self.place: dict[bytes | str, int] = {}  # of the block's distinct windows and pieces, whose alignments follow
+        self.by_pieces = a.pattern == PARTED and b.parts_at_spaces()
+        self.n_a: list[int] = []  # tokens of a piece; the windows of texts dealt with whole have 0
+        self.n_b: list[int] = []
         self.texts: list[str] = []
         self.n_groups: list[int] = []
         self.pairs: list[list[int]] = []
@@ -160,15 +190,30 @@ class Block:
 
     def add(self, doc_id: int | None, text: str) -> None:
         self.size += len(text)
-        nothing = (doc_id, 0, 0, "", np.zeros(0, np.int32))
-        if not text:
-            self.docs.append(nothing)
+        found, n_a, n_b = self._pieces(text) if self.by_pieces else None, 0, 0
+        if found is not None:
+            n_a, n_b = sum(map(self.n_a.__getitem__, found)), sum(map(self.n_b.__getitem__, found))
+        elif text:
+            found, n_a, n_b = self._whole(text)
+        if not found:
+            self.docs.append((doc_id, 0, 0, "", np.zeros(0, np.int32)))
             return
+        digest = hashlib.sha256(";".join(map(self.texts.__getitem__, found)).encode()).hexdigest()
+        self.docs.append((doc_id, n_a, n_b, digest, np.array(found, np.int32)))
+
+    def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Both tokenizers' ids, None unless both join to a space and the text."""
         ids_a, ids_b, own = self.a.encode(text), self.b.encode(text), (" " + text).encode()
         if self.a.vocabulary.joined(ids_a) != own or self.b.vocabulary.joined(ids_b) != own:
-            self.docs.append(nothing)
-            return
-        a, b = np.array(ids_a, np.uint32), np.array(ids_b, np.uint32)
+            return None
+        return np.array(ids_a, np.uint32), np.array(ids_b, np.uint32)
+
+    def _whole(self, text: str) -> tuple[list[int], int, int]:
+        """The places of a text's windows, and how many tokens it has; no places where the bytes differ."""
+        both = self._encoded(text)
+        if both is None:
+            return [], 0, 0
+        a, b = both
         at_a, at_b, anchor = shared_ends(a, b, self.a.vocabulary, self.b.vocabulary)
         data, cuts = in_groups(a, b, at_a, at_b), [0, *(4 * (at_a + at_b)).tolist()]
         windows = [0, *(np.flatnonzero(anchor) + 1).tolist()]
@@ -177,8 +222,7 @@ class Block:
         found = list(map(self.place.get, keys))
         if None in found:
             self._place_new(keys, found, data, cuts, windows)
-        digest = hashlib.sha256(";".join(map(self.texts.__getitem__, found)).encode()).hexdigest()
-        self.docs.append((doc_id, len(a), len(b), digest, np.array(found, np.int32)))
+        return found, len(a), len(b)
 
     def _place_new(self, keys: list[bytes], found: list, data: bytes, cuts: list[int], windows: list[int]) -> None:
         """Align the windows that the block has not met, and fill in their places."""
@@ -193,12 +237,58 @@ class Block:
                 if made is None:
                     ends = cuts[windows[k] : windows[k + 1] + 1]
                     made = known.window(key, [data[s:e] for s, e in zip(ends, ends[1:])])
-                at = place[key] = len(self.texts)
-                self.texts.append(made[0])
-                self.n_groups.append(made[1])
-                self.pairs.append(made[2])
+                at = place[key] = self._append(*made)
             found[k] = at
 
+    def _append(self, text: str, n_groups: int, pairs: list[int], n_a: int = 0, n_b: int = 0) -> int:
+        for values, value in zip((self.texts, self.n_groups, self.pairs, self.n_a, self.n_b), (text, n_groups, pairs, n_a, n_b)):
+            values.append(value)
+        return len(self.texts) - 1
+
+    def _pieces(self, text: str) -> list[int] | None:
+        """The places of a text's pieces, None if it has to be dealt with whole."""
+        place, known = self.place, self.known.pieces
+        found = list(map(place.get, text.split(" ")))
+        if None not in found:  # whatever is placed is a piece wherever it stands
+            return found
+        parts = pieces(text)
+        own = {p: place.get(p) for p in parts}
+        met = [p for p, at in own.items() if at is None]
+        new = [p for p in met if p not in known]
+        made = dict(zip(new, self._aligned(new) or [])) if new else {}
+        if len(made) < len(new):
+            return None
+        for p in met:
+            alignment = known[p] if p in known else made[p]
+            at = own[p] = self._append(*alignment)
+            if p and not p[-1].isspace():
+                place[p] = at
+                if len(p) <= LONGEST:
+                    known[p] = alignment
+        return list(map(own.__getitem__, parts))
+
+    def _aligned(self, parts: list[str]) -> list[tuple] | None:
+        """Groups as text, their number, linked pairs, tokens of either kind of pieces encoded together; None unless bytes and ends fit."""
+        both = self._encoded(" ".join(parts))
+        if both is None:
+            return None
+        (a, b), first, second = both, self.a.vocabulary, self.b.vocabulary
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        at_a, at_b, _ = shared_ends(a, b, first, second)
+        shared = np.cumsum(first.lengths[a])[at_a - 1]
+        last = np.searchsorted(shared, ends)
+        if not np.array_equal(shared[last], ends):
+            return None
+        data, cuts = in_groups(a, b, at_a, at_b), [0, *(4 * (at_a + at_b)).tolist()]
+        n_a, n_b = np.diff(at_a[last], prepend=0).tolist(), np.diff(at_b[last], prepend=0).tolist()
+        known, out, start = self.known.groups, [], 0
+        for end, x, y in zip((last + 1).tolist(), n_a, n_b):
+            keys = [data[cuts[k] : cuts[k + 1]] for k in range(start, end)]
+            found = [known.get(g) or self.known.group(g) for g in keys]
+            out.append((";".join([t for t, _ in found]), len(found), [p for _, linked in found for p in linked], x, y))
+            start = end
+        return out
+
     def batches(self) -> Iterator[pa.RecordBatch]:
         """Rows of the documents, and of the distinct pairs with the number of documents that hold them."""
         sizes, n_groups = np.fromiter(map(len, self.pairs), np.int64, len(self.pairs)), np.array(self.n_groups, np.int64)

@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import groupby
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -252,3 +253,28 @@ def test_the_faster_encoder_gives_the_library_s_ids():
     for i in range(0, len(points), 2048):
         text = "".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)}.{chr(c)}{chr(c)} 's{chr(c)}" for c in points[i : i + 2048])
         assert faster.encode(text) == library.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_a_piece_is_encoded_once_wherever_it_stands():
+    """Pieces between spaces give the digests, counts and links of whole texts, and no characters are encoded twice."""
+    rng = np.random.default_rng(13)
+    parts = [" ", "  ", "\n", "\t", " ", "　", "\x1c", "a", "the", "'s", "9", "é", "日本", "▁", ".", "!!", "́", "\U0001f600", "<s>", "\x00", "\r\n"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(3000)]
+    a, b = alignment.ByteTokens(Path(BYTES).read_text(), public_tokenizers.PATTERN), alignment.PieceTokens(Path(PIECES).read_bytes())
+    got = []
+    for by_pieces in (True, False):
+        block = alignment.Block(0, alignment.Alignments(), a, b)
+        assert block.by_pieces
+        block.by_pieces = by_pieces
+        for i, text in enumerate(texts):
+            block.add(i, text)
+        docs, pairs = (batch.to_pydict() for batch in block.batches())
+        rows = list(zip(*(docs[n] for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_pairs", "groups_sha256"))))
+        got.append((rows, sorted(zip(pairs["a"], pairs["b"], pairs["docs"]))))
+    assert got[0] == got[1]
+    encoded = []
+    a.encode = lambda text, own=a.encode: encoded.append(text) or own(text)
+    block = alignment.Block(0, alignment.Alignments(), a, b)
+    for i, text in enumerate(["one two three", "three two two", "two four. one"]):
+        block.add(i, text)
+    assert encoded == ["one two three", "four."]
