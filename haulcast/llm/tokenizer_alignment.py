@@ -1,6 +1,7 @@
 """Alignment of two tokenizers over the same bytes: groups of tokens that cover the same range, and how often ids are linked.
 
-Both tokenizers encode every whole text. Where tokens of both end at the same byte and the next token of both begins with a
+Every whole text is encoded, piece by piece between spaces where no token of either tokenizer can span the place before one
+(``pieces``), else at once. A piece is aligned once a block. In a text encoded at once, where tokens of both end at the same byte and the next token of both begins with a
 space (or the text ends), an anchor cuts the document into windows of token ids. A window is aligned once for its tuple of
 ids and remembered: its groups as text and its links. Documents are dealt with in blocks of a bounded size of text; a
 block lists its distinct id pairs once and its documents by their numbers, so that what is counted for the corpus is one
