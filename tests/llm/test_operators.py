@@ -328,6 +328,30 @@ def test_every_line_reaches_the_classifier(spark):
     assert got == {i: ([], [1]) for i in range(len(lines))} | {9: ([], [])}
 
 
+def test_the_classifier_learns_from_every_distinct_line(spark):
+    """Of 6,000 lines in 1,500 texts none is left out, repeated lines count once, and notices keep their weight beside them."""
+    texts = ["\n".join(prose(4 * i + k, 8) + f" {4 * i + k}" for k in range(4)) for i in range(1500)]
+    rows = [*enumerate([*texts, *texts[:50], None, "", " \n-"]), *((2000 + i, f"{prose(i, 30)}\n{t}") for i, t in enumerate(NOTICES.values()))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = licence_scan_module.background(frame, frame)
+    assert {line for t in texts for line in t.split("\n")} <= {" ".join(r.words) for r in lines.where("not meets").collect()}
+    assert lines.count() == 6000 + 2 * len(NOTICES) and lines.where("meets").count() == len(NOTICES)
+    got = {r.doc_id: (r.families, r.unknown) for r in licence_scan(frame).where("n_licences > 0 or size(unknown) > 0").collect()}
+    assert got == {2000 + i: ([f], []) for i, f in enumerate(NOTICES)}
+
+
+def test_the_commonest_grams_are_those_of_a_full_count(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    lines = [[str(w) for w in rng.choice(list("abcdefghij"), rng.integers(0, 9), p=np.arange(1, 11) / 55)] for _ in range(300)]
+    frame = spark.createDataFrame([(w,) for w in lines], "words array<string>")
+    held = Counter(gram for w in lines for gram in set(licence_scan_module._grams(" ".join(w))))
+    want = sorted((-n, len(gram.split()), gram) for gram, n in held.items() if n > 1)
+    for most in (5, 40, 150, 100_000):
+        monkeypatch.setattr(licence_scan_module, "MOST_GRAMS", most)
+        assert licence_scan_module._common(frame) == [gram for _, _, gram in want[:most]]
+    assert licence_scan_module._common(frame.limit(0)) == []
+
+
 def test_no_text_with_a_template_window_is_passed_over(spark):
     """The compiled pattern over whole texts finds whatever the comparison of words finds."""
     rng = np.random.default_rng(6)
